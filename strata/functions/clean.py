@@ -37,12 +37,24 @@ def strict_double(c: Column) -> Column:
     return F.when(c.rlike(NUMERIC_RE), F.trim(c).try_cast("double"))
 
 
+_WS = " \t\n\r\f\u000b"
+
+
+def inequality_sign(c: Column) -> Column:
+    """First non-blank character ('<' or '>' for a matched inequality)."""
+    return F.substring(F.ltrim(c, F.lit(_WS)), 1, 1)
+
+
 def parse_inequality(c: Column, eps: float) -> Column:
-    """F-2: '<a' -> a - eps, '>a' -> a + eps; null when not an inequality."""
-    sign = F.regexp_extract(c, INEQUALITY_RE, 1)
-    num = F.regexp_extract(c, INEQUALITY_RE, 2).try_cast("double")
-    return (F.when(sign == "<", num - F.lit(float(eps)))
-            .when(sign == ">", num + F.lit(float(eps))))
+    """F-2: '<a' -> a - eps, '>a' -> a + eps; null when not an inequality.
+
+    Only values whose first non-blank character is '<' or '>' reach the
+    regex, and only pattern-validated numbers reach the cast (a failed cast
+    is costly; most values are plain numbers)."""
+    sign = inequality_sign(c)
+    matched = sign.isin("<", ">") & c.rlike(INEQUALITY_RE)
+    num = F.regexp_extract(c, INEQUALITY_RE, 2).cast("double")
+    return F.when(matched, F.when(sign == "<", num - F.lit(float(eps))).otherwise(num + F.lit(float(eps))))
 
 
 def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -123,7 +135,7 @@ def quality_issues(raw: DataFrame, plan: RetypePlan, id_col: str) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), q(c).alias("raw_value"),
                                      parse_inequality(q(c), plan.eps[c]).alias("value")) for c in cols])).alias("r"),
     ).select("id", "r.*")
-    return (stacked.where(F.regexp_extract(F.col("raw_value"), INEQUALITY_RE, 1) == "<")
+    return (stacked.where(F.col("value").isNotNull() & (inequality_sign(F.col("raw_value")) == "<"))
             .where(F.col("value") < 0)
             .withColumn("issue", F.lit("negative value after eps")))
 

@@ -26,6 +26,7 @@ class Query:
     sql: str | None
     dbl: Sequence[str] = field(default_factory=tuple)
     ops: str = ""
+    heavy: bool = False  # model fitting: excluded from the default bench
 
 
 REGISTRY: dict[str, Query] = {}
@@ -59,14 +60,14 @@ def sql_round(sql: str, cols: Sequence[str], digits: int = DIGITS) -> str:
     return f"SELECT * REPLACE ({rep}) FROM ({sql})"
 
 
-def register(name: str, sql: str | None = None, dbl: Sequence[str] = (), ops: str = ""):
+def register(name: str, sql: str | None = None, dbl: Sequence[str] = (), ops: str = "", heavy: bool = False):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return round_doubles(fn(spark, sf_dir), dbl)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
-        REGISTRY[name] = Query(name, run, sql_round(sql, dbl) if sql else None, tuple(dbl), ops)
+        REGISTRY[name] = Query(name, run, sql_round(sql, dbl) if sql else None, tuple(dbl), ops, heavy)
         return fn
 
     return deco
@@ -77,6 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: q.fn for n, q in REGISTRY.items()}
 
 
+def heavy_queries() -> set[str]:
+    _load()
+    return {n for n, q in REGISTRY.items() if q.heavy}
+
+
 def oracle_sql() -> dict[str, str]:
     _load()
     return {n: q.sql for n, q in REGISTRY.items() if q.sql}
