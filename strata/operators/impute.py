@@ -88,7 +88,8 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int =
     if not with_nulls:
         return _finish(cur, df, id_col, cols, add_indicator)
     # I-4: predictors by absolute correlation on the initial fill
-    corr_aggs = [F.corr(q(a), q(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    from strata.operators.profile import _pearson  # null (not an error) on a constant column
+    corr_aggs = [_pearson(q(a), q(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     crow = cur.agg(*corr_aggs).first() if corr_aggs else None
     absr = {}
     for i, a in enumerate(cols):
