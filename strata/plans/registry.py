@@ -91,11 +91,6 @@ def oracle_sql() -> dict[str, str]:
 def _load():
     # importing the modules registers their queries
     from strata.plans import q_scored  # noqa: F401
-    try:
-        from strata.plans import q_cohort  # noqa: F401
-    except ImportError:
-        pass
-    try:
-        from strata.plans import q_models  # noqa: F401
-    except ImportError:
-        pass
+    from strata.plans import q_cohort  # noqa: F401
+    from strata.plans import q_models  # noqa: F401
+    from strata.plans import q_io  # noqa: F401
