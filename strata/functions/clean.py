@@ -118,8 +118,11 @@ def apply_retype(df: DataFrame, plan: RetypePlan) -> DataFrame:
 def clean_inequalities(df: DataFrame, id_col: str, eps: float = 0.1,
                        eps_overrides: Mapping[str, float] | None = None,
                        exclude: Sequence[str] = ()) -> tuple[DataFrame, RetypePlan]:
-    """F-1..F-6: id to text, then the whole-column retyping decision."""
-    df = df.withColumn(id_col, q(id_col).cast("string"))
+    """F-1..F-6: id to text, then the whole-column retyping decision.
+    The per-value pattern work is spread over all cores when the input
+    arrives in fewer partitions (see :func:`strata.session.spread`)."""
+    from strata.session import spread
+    df = spread(df.withColumn(id_col, q(id_col).cast("string")), id_col)
     plan = plan_retype(df, eps, eps_overrides, exclude=[id_col, *exclude])
     return apply_retype(df, plan), plan
 

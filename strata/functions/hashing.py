@@ -53,16 +53,26 @@ def md5_seed32(seed, *parts) -> Column:
     return F.conv(F.substring(md5_hex(seed, *parts), 1, 8), 16, 10).cast("long")
 
 
-def mix32_uniform(seed32: Column, stream: Column) -> Column:
-    """Uniform (0, 1) draw number ``stream`` of a row whose 32-bit seed is
-    ``seed32``: xor the seed with the stream's stride multiple, then mix
-    with two multiply-xorshift rounds (all mod 2^32)."""
+def _mix_steps(seed32: Column, stream: Column) -> list[Column]:
+    """The mixer as a list of steps; step k reads only the column written
+    by step k-1 (``_h``), so each is evaluated once per row."""
     m = F.lit(_MASK32)
-    x = seed32.bitwiseXOR((stream.cast("long") * F.lit(_STRIDE)).bitwiseAND(m))
-    x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(_MIX)).bitwiseAND(m)
-    x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(_MIX)).bitwiseAND(m)
-    x = F.shiftright(x, 16).bitwiseXOR(x)
-    return (x.cast("double") + F.lit(0.5)) / F.lit(_TWO32)
+    h = F.col("_h")
+    return [
+        seed32.bitwiseXOR((stream.cast("long") * F.lit(_STRIDE)).bitwiseAND(m)),
+        (F.shiftright(h, 16).bitwiseXOR(h) * F.lit(_MIX)).bitwiseAND(m),
+        (F.shiftright(h, 16).bitwiseXOR(h) * F.lit(_MIX)).bitwiseAND(m),
+        F.shiftright(h, 16).bitwiseXOR(h),
+    ]
+
+
+def with_mix32_uniform(df, seed32: Column, stream: Column, out: str = "_u"):
+    """Add ``out``: uniform (0, 1) draw number ``stream`` of a row whose
+    32-bit seed is ``seed32`` -- xor with the stream's stride multiple, two
+    multiply-xorshift rounds, a final xorshift (all mod 2^32)."""
+    for step in _mix_steps(seed32, stream):
+        df = df.withColumn("_h", step)
+    return df.withColumn(out, (F.col("_h").cast("double") + F.lit(0.5)) / F.lit(_TWO32)).drop("_h")
 
 
 def md5_seed32_sql(seed, *parts_sql: str) -> str:
@@ -70,12 +80,13 @@ def md5_seed32_sql(seed, *parts_sql: str) -> str:
     return f"(('0x' || substr(md5({cat}), 1, 8))::BIGINT)"
 
 
-def mix32_uniform_sql(seed32_sql: str, stream_sql: str) -> str:
-    x = f"xor({seed32_sql}, (CAST({stream_sql} AS BIGINT) * {_STRIDE}) & {_MASK32})"
-    x = f"((xor(({x}) >> 16, ({x})) * {_MIX}) & {_MASK32})"
-    x = f"((xor(({x}) >> 16, ({x})) * {_MIX}) & {_MASK32})"
-    x = f"xor(({x}) >> 16, ({x}))"
-    return f"((CAST({x} AS DOUBLE) + 0.5) / {_TWO32!r})"
+def mix32_uniform_sql(seed32_sql: str, stream_sql: str, src: str, keep: str) -> str:
+    """SELECT {keep}, u FROM src with the same mixer, one step per subquery."""
+    q = f"SELECT {keep}, xor({seed32_sql}, (CAST({stream_sql} AS BIGINT) * {_STRIDE}) & {_MASK32}) AS h FROM {src}"
+    q = f"SELECT {keep}, (xor(h >> 16, h) * {_MIX}) & {_MASK32} AS h FROM ({q})"
+    q = f"SELECT {keep}, (xor(h >> 16, h) * {_MIX}) & {_MASK32} AS h FROM ({q})"
+    q = f"SELECT {keep}, xor(h >> 16, h) AS h FROM ({q})"
+    return f"SELECT {keep}, (CAST(h AS DOUBLE) + 0.5) / {_TWO32!r} AS u FROM ({q})"
 
 
 def poisson1_cdf(k_max: int = 16) -> list[float]:

@@ -23,11 +23,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.functions.hashing import md5_seed32, mix32_uniform, poisson1_weight
+from strata.functions import hashing as H
+from strata.functions.hashing import md5_seed32, poisson1_weight, with_mix32_uniform
 from strata.operators import metrics as M
+from strata.session import spread
+
+REPLICATE_CHUNK = 64  # replicates drawn per numpy pass (rows x chunk matrix)
 
 
 def replicate_weights(df: DataFrame, id_col: str, B: int, seed: int) -> DataFrame:
@@ -38,16 +45,73 @@ def replicate_weights(df: DataFrame, id_col: str, B: int, seed: int) -> DataFram
     """
     r = df.withColumn("_s", md5_seed32(seed, id_col))
     r = r.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    r = r.withColumn("_u", mix32_uniform(F.col("_s"), F.col("replicate")))
+    r = with_mix32_uniform(r, F.col("_s"), F.col("replicate"), "_u")
     return r.withColumn("_w", poisson1_weight(F.col("_u"))).drop("_u", "_s")
 
 
+def numpy_weights(seed32: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """The same Poisson(1) draws as :func:`replicate_weights`, as a
+    (rows x replicates) matrix: identical integer mixer, identical
+    inverse-CDF table (smallest k with u <= F(k))."""
+    mask = np.uint64(H._MASK32)
+    h = seed32.astype(np.uint64)[:, None] ^ ((replicates.astype(np.uint64) * np.uint64(H._STRIDE)) & mask)[None, :]
+    h = (((h >> np.uint64(16)) ^ h) * np.uint64(H._MIX)) & mask
+    h = (((h >> np.uint64(16)) ^ h) * np.uint64(H._MIX)) & mask
+    h = (h >> np.uint64(16)) ^ h
+    u = (h.astype(np.float64) + 0.5) / H._TWO32
+    return np.searchsorted(np.array(H.poisson1_cdf()), u, side="left").astype(np.int64)
+
+
+def replicate_score_groups(df: DataFrame, y: str, p: str, id_col: str, B: int, seed: int,
+                           keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, replicate, p, _tp, _fp): replicate-weighted class counts per
+    distinct score.
+
+    Spark hashes each row's id once (md5) and partitions the rows; inside
+    each task numpy draws the rows x replicates weights chunk by chunk and
+    sums them per (keys, score, label) group of the Arrow batch, so what
+    leaves the task is groups x replicates, not rows x replicates.  The
+    shuffle then adds the per-batch partial sums (a hot score value is
+    split across all tasks that hold it)."""
+    keys = list(keys)
+    base = spread(df.select(*keys, F.col(p).cast("double").alias("_p"), F.col(y).cast("int").alias("_y"),
+                            md5_seed32(seed, id_col).alias("_s")), "_s")
+    gcols = [*keys, "_p", "_y"]
+    key_fields = [f for f in base.schema.fields if f.name in keys]
+    schema = T.StructType([*key_fields, T.StructField("replicate", T.IntegerType()),
+                           T.StructField("_p", T.DoubleType()), T.StructField("_y", T.IntegerType()),
+                           T.StructField("_w", T.LongType())])
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            codes, _ = pd.MultiIndex.from_frame(pdf[gcols]).factorize()
+            order = np.argsort(codes, kind="stable")
+            sc = codes[order]
+            starts = np.flatnonzero(np.r_[True, sc[1:] != sc[:-1]])
+            groups = pdf[gcols].iloc[order[starts]].reset_index(drop=True)
+            seeds = pdf["_s"].to_numpy()[order]
+            n_g = len(starts)
+            for r0 in range(0, B, REPLICATE_CHUNK):
+                reps = np.arange(r0, min(B, r0 + REPLICATE_CHUNK))
+                w = np.add.reduceat(numpy_weights(seeds, reps), starts, axis=0)  # groups x chunk
+                out = {c: np.repeat(groups[c].to_numpy(), len(reps)) for c in gcols}
+                out["replicate"] = np.tile(reps.astype(np.int32), n_g)
+                out["_w"] = w.reshape(-1)
+                yield pd.DataFrame(out)[[*keys, "replicate", "_p", "_y", "_w"]]
+
+    parts = base.mapInPandas(run, schema)
+    return parts.groupBy(*keys, "replicate", F.col("_p").alias(p)).agg(
+        F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0)).cast("long").alias("_tp"),
+        F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0)).cast("long").alias("_fp"))
+
+
 def replicate_metrics(df: DataFrame, y: str = "y", p: str = "p", id_col: str = "id", B: int = 1000,
                       seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """AUROC and AUPRC of every non-degenerate replicate (keys, replicate)."""
     keys = list(keys)
-    w = replicate_weights(df.select(*keys, id_col, y, p), id_col, B, seed)
-    g = M.score_groups(w, y, p, keys=[*keys, "replicate"], weight="_w")
+    g = replicate_score_groups(df, y, p, id_col, B, seed, keys)
     probe = df.select(*keys, p).distinct()
     curve = M.rank_curve(None, y, p, keys=[*keys, "replicate"], grouped=g, probe=probe, probe_factor=B)
     rm = M.rank_metrics_from_curve(curve, [*keys, "replicate"])

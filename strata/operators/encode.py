@@ -2,9 +2,10 @@
 
 The mapping ``(column, value, code)`` is a DataFrame: distinct values per
 categorical column (partial aggregation before the shuffle), numbered
-1..N in code-point order.  Applying it is a left join per column; the
-mapping side is broadcast only after its row count has been checked
-against ``BROADCAST_ROWS``, otherwise it stays a shuffle join.
+1..N in code-point order.  Applying it is a left join per column; no
+broadcast is forced: AQE measures the materialised mapping at run time and
+turns the join into a broadcast join only when it is under the broadcast
+threshold (a high-cardinality "categorical" stays a shuffle join).
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 
 from strata.functions.clean import numeric_columns, q
 
-BROADCAST_ROWS = 1_000_000
-
 
 def ordinal_mapping(df: DataFrame, cols: Sequence[str], start_index: int = 1) -> DataFrame:
     """W-4: one row per (column, distinct non-null value) with its code."""
@@ -38,12 +37,9 @@ def apply_mapping(df: DataFrame, mapping: DataFrame, cols: Sequence[str]) -> Dat
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    n_map = mapping.count()
     out = df
     for c in cols:
         m = mapping.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        if n_map <= BROADCAST_ROWS:
-            m = F.broadcast(m)
         out = out.join(m, q(c).cast("string") == F.col(f"_v_{c}"), "left")
     return out.select(*[F.col(f"_c_{c}").alias(c) if c in cols else q(c) for c in df.columns])
 

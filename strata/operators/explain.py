@@ -33,15 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.clean import q
+from strata.session import spread
 
 MAX_DEPTH = 6  # 2^|S| subsets per leaf
 
 
-def leaf_table(spark, model_path: str, tree_weights: Sequence[float]) -> list[dict]:
+def leaf_table(spark, model_path: str, tree_weights: Sequence[float], class_prob: bool = False) -> list[dict]:
     """Leaves of a saved tree ensemble: weight*value, features with merged
-    intervals and cover ratios."""
+    intervals and cover ratios.  ``class_prob`` uses the leaf's class-1
+    frequency (forest classifiers average these) instead of its prediction."""
     nodes = spark.read.parquet(os.path.join(model_path, "data")).select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.rawCount",
+        "nodeData.leftChild",
         "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
         "nodeData.split.numCategories").collect()  # model nodes: bounded by trees x 2^depth
     trees: dict[int, dict[int, dict]] = {}
@@ -59,7 +62,12 @@ def leaf_table(spark, model_path: str, tree_weights: Sequence[float]) -> list[di
                 for f, lo, hi, ratio in path:
                     cur = feats.setdefault(f, [-math.inf, math.inf, 1.0])
                     cur[0], cur[1], cur[2] = max(cur[0], lo), min(cur[1], hi), cur[2] * ratio
-                leaves.append({"value": w * float(n["prediction"]),
+                if class_prob:
+                    st = n["impurityStats"]
+                    leaf_val = float(st[1]) / float(sum(st)) if st and sum(st) > 0 else 0.0
+                else:
+                    leaf_val = float(n["prediction"])
+                leaves.append({"value": w * leaf_val,
                                "feats": [(f, v[0], v[1], v[2]) for f, v in sorted(feats.items())]})
                 return
             if n["numCategories"] not in (-1, None):
@@ -113,13 +121,18 @@ def tree_shap(df: DataFrame, model, model_path: str, features: Sequence[str], id
               log_odds: bool = True) -> DataFrame:
     """X-1 + X-3: long table (id, feature, value, phi) for every row and
     feature, plus ``base`` per row (same for all rows).  ``log_odds``
-    doubles the Spark GBT margin (its probability is sigmoid(2F))."""
+    doubles the Spark GBT margin (its probability is sigmoid(2F)).  A
+    random-forest classifier is explained in probability units (mean of
+    the trees' class-1 leaf frequencies)."""
     spark = df.sparkSession
-    weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0] * model.getNumTrees
-    scale = 2.0 if log_odds and type(model).__name__ == "GBTClassificationModel" else 1.0
-    if type(model).__name__ == "RandomForestClassificationModel":
-        raise ValueError("use the forest's class-probability trees via tree_shap_forest")
-    leaves = leaf_table(spark, model_path, weights)
+    name = type(model).__name__
+    forest = name == "RandomForestClassificationModel"
+    if forest:
+        weights = [1.0 / model.getNumTrees] * model.getNumTrees
+    else:
+        weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0] * model.getNumTrees
+    scale = 2.0 if log_odds and name == "GBTClassificationModel" else 1.0
+    leaves = leaf_table(spark, model_path, weights, class_prob=forest)
     bc = spark.sparkContext.broadcast(leaves)  # leaves x path features: bounded by the model size
     feats = list(features)
     n_f = len(feats)
@@ -138,8 +151,8 @@ def tree_shap(df: DataFrame, model, model_path: str, features: Sequence[str], id
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("feature", T.StringType()),
                            T.StructField("value", T.DoubleType()), T.StructField("phi", T.DoubleType()),
                            T.StructField("base", T.DoubleType())])
-    return df.select(q(id_col).cast("string").alias(id_col), *[q(c).cast("double").alias(c) for c in feats]) \
-        .mapInPandas(run, schema)
+    rows = df.select(q(id_col).cast("string").alias(id_col), *[q(c).cast("double").alias(c) for c in feats])
+    return spread(rows, id_col).mapInPandas(run, schema)
 
 
 def mean_abs(long: DataFrame) -> DataFrame:

@@ -262,10 +262,9 @@ def model_compare(spark, sf):
 
 # ---------------------------------------------------------------- bootstrap
 def _bootstrap_sql(metric: str) -> str:
-    u = mix32_uniform_sql("s", "r")
-    reps = (f"SELECT r, y, p1, {poisson1_weight_sql('u')} AS w FROM ("
-            f"SELECT r, y, p1, {u} AS u FROM (SELECT y, p1, {md5_seed32_sql(SEED, 'id')} AS s FROM scored), "
-            f"range(0, {B}) t(r))")
+    src = f"(SELECT y, p1, {md5_seed32_sql(SEED, 'id')} AS s FROM scored), range(0, {B}) t(r)"
+    u = mix32_uniform_sql("s", "r", src, "r, y, p1")
+    reps = f"SELECT r, y, p1, {poisson1_weight_sql('u')} AS w FROM ({u})"
     curve = O.rank_curve("reps", "y", "p1", ["r"], weight="w")
     rm = O.rank_metrics_from_curve(curve, ["r"])
     return (f", reps AS ({reps}) SELECT avg({metric}) AS mean, quantile_cont({metric}, 0.025) AS ci_low, "

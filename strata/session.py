@@ -56,3 +56,14 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never localCheckpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, *cols):
+    """Hash-repartition ``df`` across the cluster's cores when its scan has
+    fewer partitions than that (a large, unsplittable file), before a
+    CPU-heavy per-row stage.  An explicit partition count is used, so AQE
+    keeps it; with enough input partitions this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *cols) if cols else df.repartition(target)

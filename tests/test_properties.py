@@ -99,3 +99,28 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() == 1 and "ROC_AUC" in df.columns
+
+
+def test_numpy_bootstrap_weights_equal_spark_expression(spark):
+    s = scored(spark, SF_SMALL).select("id", "y", "p1")
+    a = BS.replicate_score_groups(s, "y", "p1", "id", B=37, seed=5)
+    from strata.operators.metrics import score_groups
+    b = score_groups(BS.replicate_weights(s, "id", 37, 5), "y", "p1", keys=["replicate"], weight="_w")
+    ra = {(r["replicate"], r["p1"]): (r["_tp"], r["_fp"]) for r in a.collect()}
+    rb = {(r["replicate"], r["p1"]): (r["_tp"], r["_fp"]) for r in b.collect()}
+    assert ra == rb and len(ra) > 37
+
+
+def test_forest_shap_additivity_in_probability(spark):
+    data = _train_table(spark)
+    model = TR.fit(data, QC.ENC_FEATS, QC.TARGET, TR.ModelSpec("forest", {"numTrees": 4, "maxDepth": 3}))
+    path = TR.save_model(model, TR.model_dir(spark, "test-rf-shap"))
+    long = EX.tree_shap(data, model, path, QC.ENC_FEATS, QC.ID)
+    per_row = long.groupBy("id").agg(F.sum("phi").alias("s"), F.first("base").alias("b"))
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    va = VectorAssembler(inputCols=QC.ENC_FEATS, outputCol="_x")
+    prob = model.transform(va.transform(data)).select(F.col(QC.ID).alias("id"),
+                                                      vector_to_array("probability")[1].alias("m"))
+    d = per_row.join(prob, "id").select(F.max(F.abs(F.col("b") + F.col("s") - F.col("m")))).first()[0]
+    assert d < 1e-9
