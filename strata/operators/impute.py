@@ -68,13 +68,16 @@ def _gram(df: DataFrame, target: str, preds: Sequence[str], observed: str) -> tu
 def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int = 10, tol: float = 1e-3,
                 ridge: float = 1e-6, n_nearest: int | None = 30, min_value: float | None = None,
                 max_value: float | None = None, add_indicator: bool = False,
-                checkpoint_every: int = 1) -> DataFrame:
+                checkpoint_every: int = 1, sample_posterior: bool = False, seed: int = 0) -> DataFrame:
     """I-3: chained ridge regressions, ascending null count order.
 
     Starts from the median fill (I-1); each round re-predicts every column
     with nulls from its ``n_nearest`` most correlated predictors (I-4,
     absolute pairwise correlation, deterministic ties by name); stops when
     ``max |new - old| < tol * max |observed|`` (I-6) or after ``max_iter``.
+    ``sample_posterior`` (I-5) adds Gaussian noise with the residual
+    standard deviation of the fit, drawn per (seed, id, column, round) by
+    Box-Muller from two md5 uniforms, so reruns and retries agree.
     """
     cols = list(cols)
     counts = df.agg(*[F.sum(q(c).isNull().cast("int")).alias(c) for c in cols]).first()
@@ -111,6 +114,15 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int =
             pred = F.lit(float(beta[0]))
             for w, p in zip(beta[1:], cand):
                 pred = pred + F.lit(float(w)) * q(p)
+            if sample_posterior:
+                n_obs = max(G[0, 0], 1.0)
+                # residual variance from the normal equations: (y'y - beta'X'y) / n
+                yy = cur.where(F.col(f"_o_{c}")).agg(F.sum(q(c) * q(c))).first()[0] or 0.0
+                sigma = float(np.sqrt(max(yy - float(beta @ b), 0.0) / n_obs))
+                u1 = md5_uniform(seed, q(id_col), F.lit(c), F.lit(it), F.lit("a"))
+                u2 = md5_uniform(seed, q(id_col), F.lit(c), F.lit(it), F.lit("b"))
+                z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * np.pi) * u2)
+                pred = pred + F.lit(sigma) * z
             pred = clip(pred, min_value, max_value)
             cur = cur.withColumn(c, F.when(F.col(f"_o_{c}"), q(c)).otherwise(pred))
         if (it + 1) % checkpoint_every == 0:

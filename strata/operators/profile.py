@@ -304,3 +304,10 @@ def correlated_pairs(matrix: DataFrame, columns_order: Sequence[str], threshold:
     return (matrix.where(idx[F.col("Feature_1")] < idx[F.col("Feature_2")])
             .select("Feature_1", "Feature_2", F.abs("Correlation").alias("Correlation"))
             .where(F.col("Correlation") >= F.lit(float(threshold))))
+
+
+def ordered(report: DataFrame, *order: Column) -> DataFrame:
+    """O-1: a small report (rows = features, thresholds, ...) in display
+    order, as one sorted partition; always pass a name as the last key so
+    ties are deterministic.  Never used on cohort-sized tables."""
+    return report.coalesce(1).sortWithinPartitions(*order)

@@ -42,9 +42,10 @@ def prepare(spark: SparkSession, cfg: JobCfg, path: str) -> dict[str, str]:
     arts.update(IO.write_report({"Overview": PR.overview(raw), "Describe_All": PR.describe_all(raw)},
                                 os.path.join(out, "describe_all")))
     corr = PR.corr_matrix(raw, d.corr_method)
+    pairs = PR.correlated_pairs(corr, CL.numeric_columns(raw), d.corr_threshold)
     arts.update(IO.write_report({"Correlation_Matrix": corr,
-                                 "Highly_Correlated_Features": PR.correlated_pairs(
-                                     corr, CL.numeric_columns(raw), d.corr_threshold)},
+                                 "Highly_Correlated_Features": PR.ordered(
+                                     pairs, F.desc("Correlation"), "Feature_1", "Feature_2")},
                                 os.path.join(out, "correlation_analysis")))
     cleaned, plan = CL.clean_inequalities(raw, d.id_col, cfg.imputation.eps, cfg.imputation.eps_overrides)
     cleaned = cut_lineage(cleaned)
@@ -74,15 +75,18 @@ def prepare(spark: SparkSession, cfg: JobCfg, path: str) -> dict[str, str]:
     final = imp
     if cfg.log_transform.enabled:
         log_cols = CL.numeric_columns(imp, [d.id_col, target, *cfg.log_transform.exclude_from_log])
-        neg = CL.negative_report(imp, log_cols)
+        neg = PR.ordered(CL.negative_report(imp, log_cols), F.desc("n_negative"), "min_value", "feature")
         arts["negative_report"] = IO.write_snapshot(neg, os.path.join(out, "negative_value_report"))
         final = CL.apply_log1p(imp, log_cols, check=True)
     arts["final"] = IO.write_snapshot(final, os.path.join(out, f"patient_imputed_{cfg.imputation.method.lower()}"))
     prepared = spark.read.parquet(arts["final"])
     eda = [c for c in prepared.columns if c != d.id_col]
+    arts["dropped_rows"] = IO.write_snapshot(PR.ordered(dropped, F.desc("missing_rate"), "patient_id"),
+                                             os.path.join(out, "dropped_patients"))
     arts.update(IO.write_report({
-        "skewness": PR.skewness(prepared.select(eda), exclude=[target]),
-        "outliers_percentiles": PR.outliers_percentile(prepared.select(eda), exclude=[target]),
+        "skewness": PR.ordered(PR.skewness(prepared.select(eda), exclude=[target]), F.desc("skewness"), "feature"),
+        "outliers_percentiles": PR.ordered(PR.outliers_percentile(prepared.select(eda), exclude=[target]),
+                                           F.desc("n_high_outliers"), "feature"),
         "group_summary": PR.by_target(prepared.select(eda), target),
         "violin_summary": PR.violin_summary(prepared.select(eda), exclude=[target]),
     }, os.path.join(out, "eda")))
@@ -116,7 +120,8 @@ def train_stage(spark: SparkSession, cfg: JobCfg, table: DataFrame) -> dict[str,
     path = TR.save_model(final, os.path.join(out, "final_model"))
     if t.kind == "gbt":
         long = EX.tree_shap(table, final, path, feats, d.id_col)
-        reports.update(IO.write_report({"shap_mean_abs": EX.mean_abs(long)}, os.path.join(out, "shap")))
+        reports.update(IO.write_report({"shap_mean_abs": PR.ordered(EX.mean_abs(long), F.desc("mean_abs_shap"),
+                                                                    "feature")}, os.path.join(out, "shap")))
     if e.find_best_thr:
         best = TH.best_threshold(oof, "y", "p", e.thr_metric, e.thr_min, e.thr_max, e.thr_step).first()
         CA.save_threshold(spark, path, best["best_threshold"], e.thr_metric)

@@ -10,6 +10,7 @@ from strata.operators import encode as EN
 from strata.operators import profile as PR
 from strata.operators.cascade import derive_m2_cohort
 from strata.plans.registry import register
+from strata.session import cut_lineage
 from strata.sources.fixtures import cohort_raw, oracle_cte
 
 # cohort configuration (the reference's preprocessing config, on this view)
@@ -32,8 +33,13 @@ W = oracle_cte("cohort_raw")
 
 
 # ------------------------------------------------------------------ pipeline
+# The cleaned and the encoded cohort are materialised once (reliable
+# checkpoints, like the snapshots the preparation job writes), so the
+# several small aggregations a report needs read them instead of re-deriving
+# the cohort from the raw files each time.
 def _clean(spark, sf):
-    return CL.clean_inequalities(cohort_raw(spark, sf), ID, EPS)
+    cleaned, plan = CL.clean_inequalities(cohort_raw(spark, sf), ID, EPS)
+    return cut_lineage(cleaned), plan
 
 
 def _kept(spark, sf):
@@ -44,7 +50,7 @@ def _kept(spark, sf):
 
 def _encoded(spark, sf):
     enc, _ = EN.ordinal_encode(_kept(spark, sf), CATEGORICAL)
-    return enc
+    return cut_lineage(enc)
 
 
 # ------------------------------------------------------------------- SQL

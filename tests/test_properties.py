@@ -124,3 +124,13 @@ def test_forest_shap_additivity_in_probability(spark):
                                                       vector_to_array("probability")[1].alias("m"))
     d = per_row.join(prob, "id").select(F.max(F.abs(F.col("b") + F.col("s") - F.col("m")))).first()[0]
     assert d < 1e-9
+
+
+def test_posterior_sampling_deterministic_and_observed_kept(spark):
+    enc = QC._encoded(spark, SF_SMALL).select(QC.ID, *QC.ENC_FEATS)
+    a = IM.mice_impute(enc, QC.ID, QC.ENC_FEATS, max_iter=1, sample_posterior=True, seed=3)
+    b = IM.mice_impute(enc, QC.ID, QC.ENC_FEATS, max_iter=1, sample_posterior=True, seed=3)
+    c = IM.mice_impute(enc, QC.ID, QC.ENC_FEATS, max_iter=1, sample_posterior=False)
+    j = a.alias("a").join(b.alias("b"), QC.ID).join(c.alias("c"), QC.ID)
+    assert j.where(F.col("a.day_num") != F.col("b.day_num")).count() == 0
+    assert j.where(F.col("a.day_num") != F.col("c.day_num")).count() > 0
