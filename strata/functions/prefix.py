@@ -27,23 +27,29 @@ ROWS_PER_BUCKET = 500_000
 def running_sums(g: DataFrame, order_col: str, sum_cols: Sequence[str], keys: Sequence[str] = (),
                  descending: bool = True, small_rows: int = SMALL_ROWS,
                  n_buckets: int | None = None, probe: DataFrame | None = None,
-                 probe_factor: int = 1) -> DataFrame:
+                 probe_keys: Sequence[str] | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in ``order_col`` order within
     ``keys``) and ``tot_<c>`` (total within ``keys``) for every ``c``.
 
     ``g`` must hold one row per ``(keys, order_col)`` (aggregate first), so
     the order has no ties and a ROWS frame is exact.
 
-    The size check and the bucket edges are computed on ``probe`` (default
-    ``g``), with the row count multiplied by ``probe_factor``: a caller whose
-    ``g`` is costly to produce (bootstrap replicates) passes the cheap table
-    it was derived from.
+    A window partitioned by ``keys`` is as parallel as the keys allow; only
+    the LARGEST key's row count must be bounded, so that is what is checked
+    (one small aggregation).  The check and the bucket edges use ``probe``
+    (default ``g``) grouped by ``probe_keys`` (default ``keys``): a caller
+    whose ``g`` is costly to produce (bootstrap replicates) passes the cheap
+    table it was derived from, whose groups have the same sizes.
     """
     keys = list(keys)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     probe = g if probe is None else probe
-    stats = probe.agg(F.count(F.lit(1)).alias("n")).first()
-    n = (int(stats["n"]) if stats else 0) * probe_factor
+    pk = keys if probe_keys is None else list(probe_keys)
+    if pk:
+        stats = probe.groupBy(*pk).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("n")).first()
+    else:
+        stats = probe.agg(F.count(F.lit(1)).alias("n")).first()
+    n = int(stats["n"] or 0) if stats else 0
     if n <= small_rows and n_buckets is None:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         wt = Window.partitionBy(*keys)

@@ -75,6 +75,8 @@ def _stats(df: DataFrame, cols: Sequence[str]):
                   *[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(cols)],
                   *[F.min(q(c)).alias(f"a{i}") for i, c in enumerate(cols)],
                   *[F.max(q(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+# a constant column scales by 1: tested with min == max, never std == 0 (a
+# merged std of a constant column can be ~1e-17 on multi-partition input)
 
 
 def scale(df: DataFrame, cols: Sequence[str] | None = None, method: str = "standard",
@@ -94,7 +96,7 @@ def scale(df: DataFrame, cols: Sequence[str] | None = None, method: str = "stand
         i = cols.index(c)
         if method == "standard":
             mu, sd = st[f"m{i}"], st[f"s{i}"]
-            sd = sd if sd else 1.0
+            sd = sd if (sd and st[f"a{i}"] != st[f"b{i}"]) else 1.0
             out.append(((q(c) - F.lit(float(mu or 0.0))) / F.lit(float(sd))).alias(c))
         elif method == "minmax":
             lo, hi = st[f"a{i}"], st[f"b{i}"]

@@ -264,8 +264,11 @@ def pr_points(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = (
         (ctp / (ctp + cfp)).alias("precision"),
         (ctp / F.col("tot__tp")).alias("recall"),
     )
-    end = _one_row_per_key(c, keys, threshold=F.lit(None).cast("double"),
-                           precision=F.lit(1.0), recall=F.lit(0.0))
+    # a key-less aggregate over no rows still yields one row: keep the end
+    # point only where the key had rows (both classes present)
+    end = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.lit(None).cast("double")).alias("threshold"),
+                               F.max(F.lit(1.0)).alias("precision"), F.max(F.lit(0.0)).alias("recall")) \
+        .where(F.col("_n") > 0).drop("_n")
     return pts.unionByName(end)
 
 

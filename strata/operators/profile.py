@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.clean import numeric_columns, q, string_columns
 from strata.functions.prefix import running_sums
+from strata.session import cut_lineage, spread
 
 
 def _pct(c: Column, fracs: Sequence[float], exact: bool = True) -> Column:
@@ -99,13 +100,14 @@ def skewness(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = q(c).cast("double")
-        aggs += [F.skewness(x).alias(f"g{i}"), F.count(x).alias(f"n{i}"), F.stddev_pop(x).alias(f"s{i}")]
+        aggs += [F.skewness(x).alias(f"g{i}"), F.count(x).alias(f"n{i}"),
+                 (F.min(x) == F.max(x)).alias(f"s{i}")]
     a = df.agg(*aggs)
 
     def g1(i):
         n = F.col(f"n{i}").cast("double")
         return (F.when(n < 3, F.lit(None).cast("double"))
-                .when(F.col(f"s{i}") == 0, F.lit(0.0))
+                .when(F.col(f"s{i}"), F.lit(0.0))  # constant column (exact test)
                 .otherwise(F.col(f"g{i}") * F.sqrt(n * (n - 1)) / (n - 2)))
 
     return a.select(_rows([F.struct(F.lit(c).alias("feature"), g1(i).alias("skewness"))
@@ -220,10 +222,14 @@ def _pairs(cols: Sequence[str]) -> list[tuple[int, int]]:
 
 
 def _pearson(x: Column, y: Column) -> Column:
-    """Pairwise-complete Pearson r; null (not an error) on zero variance."""
+    """Pairwise-complete Pearson r; null (not an error) when either side is
+    constant.  Constancy is tested exactly with min = max: a merged
+    ``stddev_pop`` of a constant column can come out as ~1e-17 on
+    multi-partition input instead of 0."""
     xm = F.when(y.isNotNull(), x)
     ym = F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(xm) * F.stddev_pop(ym))
+    const = (F.min(xm) == F.max(xm)) | (F.min(ym) == F.max(ym))
+    return F.when(~const, F.try_divide(F.covar_pop(x, y), F.stddev_pop(xm) * F.stddev_pop(ym)))
 
 
 def corr_matrix(df: DataFrame, method: str = "pearson", digits: int = 3,
@@ -240,6 +246,7 @@ def corr_matrix(df: DataFrame, method: str = "pearson", digits: int = 3,
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "Feature_1 string, Feature_2 string, Correlation double")
     upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    df = spread(df)
     parts = []
     for s in range(0, len(upper), chunk):
         block = upper[s:s + chunk]
@@ -270,19 +277,23 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataF
     upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     if len(names) < 2:
         return spark.createDataFrame([], "Feature_1 string, Feature_2 string, Correlation double")
-    long = df.select(_rows([F.struct(F.lit(k).alias("pair"), q(names[i]).cast("double").alias("a"),
-                                     q(names[j]).cast("double").alias("b")) for k, (i, j) in enumerate(upper)])) \
+    long = spread(df).select(_rows([F.struct(F.lit(k).alias("pair"), q(names[i]).cast("double").alias("a"),
+                                             q(names[j]).cast("double").alias("b"))
+                                    for k, (i, j) in enumerate(upper)])) \
         .select("r.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-
-    def avg_rank(col):
-        cnt = long.groupBy("pair", F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        rs = running_sums(cnt, "v", ["c"], keys=["pair"], descending=False)
-        return rs.select("pair", F.col("v").alias(col),
-                         (F.col("cum_c") - (F.col("c") - 1) / 2.0).alias(f"rank_{col}"))
-
-    ranked = long.join(avg_rank("a"), ["pair", "a"]).join(avg_rank("b"), ["pair", "b"])
-    r = ranked.groupBy("pair").agg(
-        F.try_divide(F.covar_pop("rank_a", "rank_b"), F.stddev_pop("rank_a") * F.stddev_pop("rank_b")).alias("r"))
+    # the pair table feeds the counts and both joins: materialise it once
+    long = cut_lineage(long)
+    # both sides of every pair ranked in one grouped pass: (pair, side, value) counts
+    sides = long.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("v")),
+                                                  F.struct(F.lit(1).alias("side"), F.col("b").alias("v")))).alias("s")) \
+        .select("pair", "s.*")
+    cnt = sides.groupBy("pair", "side", "v").agg(F.count(F.lit(1)).alias("c"))
+    rs = running_sums(cnt, "v", ["c"], keys=["pair", "side"], descending=False)
+    ranks = rs.select("pair", "side", "v", (F.col("cum_c") - (F.col("c") - 1) / 2.0).alias("rank"))
+    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("a"), F.col("rank").alias("rank_a"))
+    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("rank").alias("rank_b"))
+    ranked = long.join(ra, ["pair", "a"]).join(rb, ["pair", "b"])
+    r = ranked.groupBy("pair").agg(_pearson(F.col("rank_a"), F.col("rank_b")).alias("r"))
     pair_names = spark.createDataFrame([(k, names[i], names[j]) for k, (i, j) in enumerate(upper)],
                                        "pair int, f1 string, f2 string")
     full = pair_names.join(r, "pair", "left")

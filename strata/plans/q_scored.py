@@ -210,6 +210,12 @@ def _folded(spark, sf):
     return FO.stratified_folds(scored(spark, sf), "y", "id", K, SEED)
 
 
+def _folded_table(spark, sf):
+    """Folds materialised once for reports that aggregate them several times."""
+    from strata.session import cut_lineage
+    return cut_lineage(_folded(spark, sf))
+
+
 @register("stratified_folds", W + f"SELECT id, y, fold FROM ({FOLDS_SQL})", ops="W-1")
 def stratified_folds(spark, sf):
     return _folded(spark, sf).select("id", "y", "fold")
@@ -233,7 +239,7 @@ FROM ({O.evaluate('f', 'y', 'p1', T, NB_STAGE, ['fold'])})"""
 
 @register("fold_metrics", W + f", f AS ({FOLDS_SQL}) " + FOLD_METRICS_SQL, dbl=EVAL_DBL, ops="E-10 W-1 U-1")
 def fold_metrics(spark, sf):
-    return M.fold_metrics(_folded(spark, sf), "y", "p1", "fold", T, NB_STAGE)
+    return M.fold_metrics(_folded_table(spark, sf), "y", "p1", "fold", T, NB_STAGE)
 
 
 _FOLD_COLS = ["n_train", "n_test", "pos_rate_test", "AUROC", "AUPRC", "Accuracy", "Precision", "Recall", "F1",
