@@ -77,10 +77,11 @@ def describe_all(df: DataFrame, exact: bool = True) -> DataFrame:
         vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
         per = vc.groupBy("feature").agg(F.sum("cnt").alias("count"), F.count(F.lit(1)).alias("unique"),
                                        F.max("cnt").alias("freq"))
-        top = (vc.join(per.select("feature", F.col("freq").alias("cnt")), on=["feature", "cnt"])
+        # per has one row per text column (bounded by the schema): broadcast it
+        top = (vc.join(F.broadcast(per.select("feature", F.col("freq").alias("cnt"))), on=["feature", "cnt"])
                .groupBy("feature").agg(F.min("value").alias("top")))
         names = spark.createDataFrame([(c,) for c in txt], "feature string")
-        t = (names.join(per, "feature", "left").join(top, "feature", "left")
+        t = (names.join(F.broadcast(per), "feature", "left").join(F.broadcast(top), "feature", "left")
              .select("feature", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
                      F.coalesce(F.col("unique"), F.lit(0)).cast("long").alias("unique"), "top",
                      F.col("freq").cast("long").alias("freq"),
