@@ -61,6 +61,41 @@ def calibrate(df: DataFrame, method: str = "sigmoid", y: str = "y", p: str = "p"
     raise ValueError(f"unknown calibration method {method!r}")
 
 
+def fit_calibrator(df: DataFrame, method: str, y: str = "y", p: str = "p"):
+    if method == "sigmoid":
+        return fit_platt(df, y, p)
+    if method == "isotonic":
+        return fit_isotonic(df, y, p)
+    raise ValueError(f"unknown calibration method {method!r}")
+
+
+def calibrated_path(model_path: str) -> str:
+    """S-8: the calibrator lives beside the model as ``<model>_calibrated``."""
+    return model_path.rstrip("/") + "_calibrated"
+
+
+def save_calibrator(model, model_path: str) -> str:
+    path = calibrated_path(model_path)
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_calibrator(model_path: str, method: str):
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+    cls = {"sigmoid": LogisticRegressionModel, "isotonic": IsotonicRegressionModel}[method]
+    path = calibrated_path(model_path)
+    if not os.path.isdir(path) and "://" not in path:
+        raise FileNotFoundError(f"calibrated model not found: {path}")
+    return cls.load(path)
+
+
+def apply_calibrator(model, df: DataFrame, method: str, p: str = "p", out: str = "p_cal") -> DataFrame:
+    if method == "sigmoid":
+        return apply_platt(model, df, p, out)
+    return apply_isotonic(model.copy().setFeaturesCol(p).setPredictionCol("_iso"), df, out)
+
+
 def save_threshold(spark, model_path: str, threshold: float, metric: str) -> str:
     """S-8: the chosen threshold beside the model (one-row JSON)."""
     path = os.path.join(model_path, "best_threshold")

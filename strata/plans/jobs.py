@@ -122,8 +122,16 @@ def train_stage(spark: SparkSession, cfg: JobCfg, table: DataFrame) -> dict[str,
         long = EX.tree_shap(table, final, path, feats, d.id_col)
         reports.update(IO.write_report({"shap_mean_abs": PR.ordered(EX.mean_abs(long), F.desc("mean_abs_shap"),
                                                                     "feature")}, os.path.join(out, "shap")))
-    if e.find_best_thr:
-        best = TH.best_threshold(oof, "y", "p", e.thr_metric, e.thr_min, e.thr_max, e.thr_step).first()
+    scores = oof
+    if e.do_calibration:
+        # M-9: calibrator fitted on out-of-fold scores, saved beside the model
+        cal = CA.fit_calibrator(oof, e.calib_method, "y", "p")
+        CA.save_calibrator(cal, path)
+        scores = CA.apply_calibrator(cal, oof, e.calib_method, "p", "p_cal") \
+            .select("id" if "id" in oof.columns else d.id_col, "y", F.col("p_cal").alias("p"))
+    if e.find_best_thr or e.do_calibration:
+        # E-14 on the (calibrated) out-of-fold scores; S-8 artefact beside the model
+        best = TH.best_threshold(scores, "y", "p", e.thr_metric, e.thr_min, e.thr_max, e.thr_step).first()
         CA.save_threshold(spark, path, best["best_threshold"], e.thr_metric)
     return {"model_path": path, "reports": reports}
 
@@ -137,6 +145,11 @@ def test_stage(spark: SparkSession, cfg: JobCfg, table: DataFrame, model_path: s
     threshold = CA.load_threshold(spark, model_path) if e.do_calibration else e.prob_thr
     model = TR.load_model(cfg.training.kind, model_path)
     scored = TR.score(model, table, feats, cfg.training.kind, d.id_col, target, threshold)
+    if e.do_calibration:
+        cal = CA.load_calibrator(model_path, e.calib_method)
+        scored = CA.apply_calibrator(cal, scored, e.calib_method, "p", "p_cal") \
+            .select(d.id_col, "y", F.col("p_cal").alias("p")) \
+            .withColumn("pred", (F.col("p") >= F.lit(float(threshold))).cast("int"))
     return IO.write_report({
         "Metrics": M.stage_test_row(scored, "y", "p", threshold, e.n_bins, e.do_calibration),
         "Predictions": scored, "ROC": M.roc_points(scored, "y", "p"), "PR": M.pr_points(scored, "y", "p"),

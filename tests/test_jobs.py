@@ -29,7 +29,7 @@ def test_four_jobs(spark):
         data=DataCfg(id_col="id", target_col="target", categorical_cols=("segment",), int_cols=("grade",)),
         imputation=ImputationCfg(method="mice", mice_max_iter=2),
         training=TrainCfg(kind="gbt", params={"maxIter": 3}, n_splits=3),
-        evaluation=EvalCfg(bootstrap_b=20, find_best_thr=True),
+        evaluation=EvalCfg(bootstrap_b=20, find_best_thr=True, do_calibration=True, calib_method="isotonic"),
     )
     arts = jobs.prepare(spark, cfg, csv)
     prepared = spark.read.parquet(arts["final"])
@@ -43,3 +43,11 @@ def test_four_jobs(spark):
     assert spark.read.parquet(test["Metrics"]).count() == 1
     casc = jobs.cascade(spark, cfg, prepared, res["model_path"], res["model_path"])
     assert spark.read.parquet(casc["Agreement_Analysis"]).count() == 7
+
+
+def test_reader_rejects_unknown_extension_and_missing_path(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        IO.read_cohort(spark, "/tmp/cohort.xlsx")
+    with pytest.raises(Exception):
+        IO.read_cohort(spark, "/tmp/definitely-missing-strata/cohort.csv").count()
