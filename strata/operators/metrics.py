@@ -90,10 +90,18 @@ def confusion(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5,
     return grouped.agg(*_confusion_aggs(F.col(y), pred))
 
 
+def _with_bin(df: DataFrame, p: str, n_bins: int) -> DataFrame:
+    """Uniform ``(lo, hi]`` ECE bin of each row, computed once as a column
+    (the aggregates below read it; inlining the CASE into each of them
+    would multiply the generated code)."""
+    return df.withColumn("_ebin", digitize_right(F.col(p), uniform_edges(n_bins)))
+
+
 def _ece_aggs(y: Column, p: Column, n_bins: int) -> tuple[list[Column], Column]:
     """Per-bin sums for ECE with uniform ``(lo, hi]`` bins; p = 0 is in no
-    bin but stays in the denominator (numpy digitize right=True)."""
-    b = digitize_right(p, uniform_edges(n_bins))
+    bin but stays in the denominator (numpy digitize right=True).  Expects
+    the ``_ebin`` column from :func:`_with_bin`."""
+    b = F.col("_ebin")
     aggs = []
     for i in range(1, n_bins + 1):
         inb = b == i
@@ -121,7 +129,7 @@ def threshold_metrics(df: DataFrame, y: str = "y", p: str = "p", threshold: floa
     yc, pc = F.col(y), F.col(p)
     pred = predict_label(pc, threshold)
     ece_aggs, ece = _ece_aggs(yc, pc, n_bins)
-    agg = df.groupBy(*keys).agg(
+    agg = _with_bin(df, p, n_bins).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum((pc - yc) * (pc - yc)).alias("_sse"),
         *_confusion_aggs(yc, pred),
@@ -148,7 +156,8 @@ def ece(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 12,
         keys: Sequence[str] = ()) -> DataFrame:
     """E-3: expected calibration error per key."""
     aggs, expr = _ece_aggs(F.col(y), F.col(p), n_bins)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *aggs).select(*keys, expr.alias("ECE"))
+    return _with_bin(df, p, n_bins).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *aggs) \
+        .select(*keys, expr.alias("ECE"))
 
 
 def brier(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:

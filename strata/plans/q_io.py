@@ -68,7 +68,24 @@ def mapping_json(spark, sf):
     return IO.read_mapping(spark, path)
 
 
-@register("cascade_stream", oracle_cte("scored") + QS.CASCADE_PRED_SQL, ops="C-1 C-5 streaming")
+def _artefact_sql():
+    # the best-threshold oracle, renamed to the artefact's columns
+    inner = oracle_cte("scored") + QS._best_threshold_sql("f1")
+    return f"SELECT best_threshold AS threshold, metric FROM ({inner})"
+
+
+@register("threshold_artefact", _artefact_sql(), dbl=["threshold"], ops="S-8 E-14")
+def threshold_artefact(spark, sf):
+    """E-14's chosen threshold saved beside a model folder and read back."""
+    from strata.operators import calibrate as CA
+    from strata.operators import thresholds as TH
+    best = TH.best_threshold(scored(spark, sf), "y", "p1", "f1").first()
+    folder = IO.scratch_dir(spark, "model")
+    CA.save_threshold(spark, folder, best["best_threshold"], "f1")
+    return spark.read.schema("threshold double, metric string").json(os.path.join(folder, "best_threshold"))
+
+
+@register("cascade_stream", oracle_cte("scored") + QS.CASCADE_PRED_SQL, ops="C-1 C-5 C-6 streaming")
 def cascade_stream(spark, sf):
     """The cascade as a Structured Streaming query over the orders files
     (file source, availableNow trigger, Parquet sink), read back as a table."""

@@ -171,6 +171,12 @@ def impute_mice(spark, sf):
     return IM.impute(_impute_input(spark, sf), QC.ID, FEATS, "mice", max_iter=2, tol=1e-3, n_nearest=30)
 
 
+@register("impute_mice_posterior", ops="I-3 I-5 F-13", heavy=True)
+def impute_mice_posterior(spark, sf):
+    return IM.mice_impute(_impute_input(spark, sf), QC.ID, FEATS, max_iter=1, sample_posterior=True, seed=0,
+                          min_value=0.0, add_indicator=True)
+
+
 @register("impute_forest", ops="I-2 I-8", heavy=True)
 def impute_forest(spark, sf):
     return IM.impute(_impute_input(spark, sf), QC.ID, FEATS, "missforest", max_iter=1, num_trees=10, max_depth=5)
