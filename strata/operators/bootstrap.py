@@ -108,9 +108,15 @@ def replicate_score_groups(df: DataFrame, y: str, p: str, id_col: str, B: int, s
 
 
 def replicate_metrics(df: DataFrame, y: str = "y", p: str = "p", id_col: str = "id", B: int = 1000,
-                      seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
-    """AUROC and AUPRC of every non-degenerate replicate (keys, replicate)."""
+                      seed: int = 42, keys: Sequence[str] = (), score_decimals: int | None = None) -> DataFrame:
+    """AUROC and AUPRC of every non-degenerate replicate (keys, replicate).
+
+    ``score_decimals`` (off by default) rounds the scores first: with
+    continuous scores the shuffled volume is replicates x distinct scores,
+    and rounding to e.g. 6 decimals bounds the distinct scores at 10^6."""
     keys = list(keys)
+    if score_decimals is not None:
+        df = df.withColumn(p, F.round(F.col(p).cast("double"), int(score_decimals)))
     g = replicate_score_groups(df, y, p, id_col, B, seed, keys)
     probe = df.select(*keys, p).distinct()
     curve = M.rank_curve(None, y, p, keys=[*keys, "replicate"], grouped=g, probe=probe, probe_keys=keys)
@@ -119,11 +125,12 @@ def replicate_metrics(df: DataFrame, y: str = "y", p: str = "p", id_col: str = "
 
 
 def bootstrap_ci(df: DataFrame, y: str = "y", p: str = "p", id_col: str = "id", metric: str = "AUROC",
-                 B: int = 1000, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+                 B: int = 1000, seed: int = 42, keys: Sequence[str] = (),
+                 score_decimals: int | None = None) -> DataFrame:
     """Mean, 2.5 % and 97.5 % of ``metric`` (AUROC or AUPRC) over replicates."""
     if metric not in ("AUROC", "AUPRC"):
         raise ValueError("metric must be AUROC or AUPRC")
-    rm = replicate_metrics(df, y, p, id_col, B, seed, keys)
+    rm = replicate_metrics(df, y, p, id_col, B, seed, keys, score_decimals)
     q = F.percentile(F.col(metric), F.array(F.lit(0.025), F.lit(0.975)))
     return (rm.groupBy(*keys)
             .agg(F.avg(metric).alias("mean"), q.alias("_q"), F.count(F.lit(1)).alias("n_replicates"))

@@ -138,3 +138,13 @@ def test_t_quantiles_by_integration():
         return 0.5 + s * h / 3
     for v in (1, 4, 9, 29):
         assert cdf(t975(v), v) == pytest.approx(0.975, abs=1e-7)
+
+
+def test_rank_metrics_two_phase_path_identical(spark):
+    df = spark.range(4000).select((F.col("id") % 2).cast("int").alias("y"),
+                                  F.round(F.rand(11), 3).alias("p"), (F.col("id") % 3).alias("k"))
+    a = {r["k"]: (r["AUROC"], r["AUPRC"]) for r in M.rank_metrics(df, "y", "p", keys=["k"]).collect()}
+    b = {r["k"]: (r["AUROC"], r["AUPRC"]) for r in M.rank_metrics(df, "y", "p", keys=["k"], n_buckets=8).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == pytest.approx(b[k][0], rel=1e-12) and a[k][1] == pytest.approx(b[k][1], rel=1e-12)
