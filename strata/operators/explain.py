@@ -133,12 +133,15 @@ def tree_shap(df: DataFrame, model, model_path: str, features: Sequence[str], id
         weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0] * model.getNumTrees
     scale = 2.0 if log_odds and name == "GBTClassificationModel" else 1.0
     leaves = leaf_table(spark, model_path, weights, class_prob=forest)
-    bc = spark.sparkContext.broadcast(leaves)  # leaves x path features: bounded by the model size
+    try:  # leaves x path features: bounded by the model size
+        bc = spark.sparkContext.broadcast(leaves)
+    except Exception:  # no local SparkContext: ship the small table with the function
+        bc = None
     feats = list(features)
     n_f = len(feats)
 
     def run(batches):
-        lv = bc.value
+        lv = bc.value if bc is not None else leaves
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
             phi, base = shap_values(x, lv, n_f)

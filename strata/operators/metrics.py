@@ -124,21 +124,24 @@ def _ece_aggs(y: Column, p: Column, n_bins: int) -> tuple[list[Column], Column]:
 
 
 def threshold_metrics(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5,
-                      n_bins: int = 12, keys: Sequence[str] = ()) -> DataFrame:
-    """E-1 + E-2 + E-3 per key, one aggregation pass over the rows."""
+                      n_bins: int = 12, keys: Sequence[str] = (), with_counts: bool = False) -> DataFrame:
+    """E-1 + E-2 + E-3 per key, one aggregation pass over the rows.
+    ``with_counts`` also returns n_test and pos_rate_test from the same pass."""
     yc, pc = F.col(y), F.col(p)
     pred = predict_label(pc, threshold)
     ece_aggs, ece = _ece_aggs(yc, pc, n_bins)
     agg = _with_bin(df, p, n_bins).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
+        F.avg(yc.cast("double")).alias("_py"),
         F.sum((pc - yc) * (pc - yc)).alias("_sse"),
         *_confusion_aggs(yc, pred),
         *ece_aggs,
     )
     tn, fp, fn, tp, n = (F.col(c) for c in ("TN", "FP", "FN", "TP", "_n"))
     precision = _div(tp, tp + fp)
+    counts = [n.alias("n_test"), F.col("_py").alias("pos_rate_test")] if with_counts else []
     return agg.select(
-        *keys,
+        *keys, *counts,
         ((tp + tn) / n).alias("Accuracy"),
         precision.alias("Precision"),
         _div(tp, tp + fn).alias("Recall"),
@@ -321,11 +324,9 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5,
              keys: Sequence[str] = ()) -> DataFrame:
     """Rank + thresholded metrics per key: n_test, pos_rate_test, AUROC,
     AUPRC, then the thresholded metrics."""
-    thr = threshold_metrics(df, y, p, threshold, n_bins, keys)
-    prev = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"),
-                                 F.avg(F.col(y).cast("double")).alias("pos_rate_test"))
+    thr = threshold_metrics(df, y, p, threshold, n_bins, keys, with_counts=True)
     rk = rank_metrics(df, y, p, keys).select(*keys, "AUROC", "AUPRC")
-    out = join_on_keys(join_on_keys(prev, rk, keys), thr, keys)
+    out = join_on_keys(thr, rk, keys)
     return out.select(*keys, "n_test", "pos_rate_test", "AUROC", "AUPRC", *METRIC_COLS)
 
 

@@ -43,13 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a scratch one only
     when the cluster named none (local runs and tests)."""
     current = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local SparkContext (remote client)
+        sc = None
+    if not current and sc is not None:
+        current = sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(_CHECKPOINT_KEY, current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
@@ -64,7 +68,10 @@ def spread(df, *cols):
     fewer partitions than that (a large, unsplittable file), before a
     CPU-heavy per-row stage.  An explicit partition count is used, so AQE
     keeps it; with enough input partitions this is a no-op."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no local SparkContext: leave partitioning to the server
         return df
     return df.repartition(target, *cols) if cols else df.repartition(target)
