@@ -4,9 +4,10 @@
   reference's scaler) and project on the first two principal components
   with Spark ML ``PCA`` (the covariance is a distributed aggregate; the
   eigen-decomposition of a d x d matrix runs on the driver).
-* ``decision_grid`` (M-10): refit a model in the 2-D PCA space and score a
-  regular grid spanning the projected data (grid rows are generated by
-  ``spark.range``, partitioned like any table).
+* ``decision_grid`` (M-10): refit a model (logistic, linear SVC or boosted
+  trees) in the 2-D PCA space and score a regular grid spanning the
+  projected data (grid rows are generated by ``spark.range``, partitioned
+  like any table).
 """
 
 from __future__ import annotations
@@ -44,21 +45,21 @@ def separability_pca(df: DataFrame, features: Sequence[str] | str, id_col: str,
 
 
 def decision_grid(df: DataFrame, features: Sequence[str], id_col: str, y: str, n: int = 300,
-                  max_iter: int = 100) -> DataFrame:
-    """M-10: logistic model refit on (pc1, pc2), scored on an n x n grid
-    over the projected range (gx, gy, p)."""
-    from pyspark.ml.classification import LogisticRegression
+                  max_iter: int = 100, kind: str = "logistic", params: dict | None = None) -> DataFrame:
+    """M-10: a model of ``kind`` (logistic | linear_svc | gbt) refit on
+    (pc1, pc2) with class weights, scored on an n x n grid over the
+    projected range (gx, gy, p)."""
+    from strata.operators import train as TR
 
     proj = separability_pca(df, features, id_col, y)
     b = proj.agg(F.min("pc1"), F.max("pc1"), F.min("pc2"), F.max("pc2")).first()
-    va = VectorAssembler(inputCols=["pc1", "pc2"], outputCol="_x")
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter) \
-        .fit(va.transform(proj.withColumn("_y", q(y).cast("double"))))
+    spec = TR.ModelSpec(kind, params or ({"maxIter": max_iter} if kind != "gbt" else {"maxIter": 10}))
+    model = TR.fit(proj, ["pc1", "pc2"], y, spec, final=True)
     spark = df.sparkSession
     x0, x1, y0, y1 = (float(v) for v in b)
     grid = spark.range(n * n).select(
         (F.lit(x0) + (F.col("id") % n) * F.lit((x1 - x0) / max(n - 1, 1))).alias("pc1"),
         (F.lit(y0) + F.floor(F.col("id") / n) * F.lit((y1 - y0) / max(n - 1, 1))).alias("pc2"))
-    scored = model.transform(va.transform(grid))
-    return scored.select(F.col("pc1").alias("gx"), F.col("pc2").alias("gy"),
-                         vector_to_array("probability")[1].alias("p"))
+    va = VectorAssembler(inputCols=["pc1", "pc2"], outputCol="_x")
+    scored = TR.positive_probability(model.transform(va.transform(grid)), kind)
+    return scored.select(F.col("pc1").alias("gx"), F.col("pc2").alias("gy"), "p")

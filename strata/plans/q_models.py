@@ -157,9 +157,19 @@ def separability_pca(spark, sf):
     return EM.separability_pca(table(spark, sf, "embeddings"), "embedding", "vec_id", "label")
 
 
-@register("decision_grid", ops="M-10", heavy=True)
+@register("decision_grid", ops="M-10 M-6", heavy=True)
 def decision_grid(spark, sf):
-    return EM.decision_grid(_train_table(spark, sf), FEATS, QC.ID, QC.TARGET, n=300)
+    return EM.decision_grid(_train_table(spark, sf), FEATS, QC.ID, QC.TARGET, n=300, kind="logistic")
+
+
+@register("decision_grid_svc", ops="M-10 M-7 F-11", heavy=True)
+def decision_grid_svc(spark, sf):
+    return EM.decision_grid(_train_table(spark, sf), FEATS, QC.ID, QC.TARGET, n=300, kind="linear_svc")
+
+
+@register("decision_grid_gbt", ops="M-10 M-1", heavy=True)
+def decision_grid_gbt(spark, sf):
+    return EM.decision_grid(_train_table(spark, sf), FEATS, QC.ID, QC.TARGET, n=300, kind="gbt")
 
 
 def _impute_input(spark, sf):
