@@ -76,18 +76,22 @@ class RetypePlan:
 
 
 def plan_retype(df: DataFrame, eps: float = 0.1, eps_overrides: Mapping[str, float] | None = None,
-                exclude: Sequence[str] = ()) -> RetypePlan:
+                exclude: Sequence[str] = (), id_col: str | None = None) -> RetypePlan:
     """One aggregation pass: does any value match the inequality pattern /
-    the numeric guard, per string column."""
+    the numeric guard, per string column.  With ``id_col`` the same pass
+    counts null ids, which are refused (a null id would otherwise count as
+    present in the row-missingness rate)."""
     cols = string_columns(df, exclude)
     plan = RetypePlan()
-    if not cols:
+    if not cols and id_col is None:
         return plan
-    aggs = []
+    aggs = [F.sum(q(id_col).isNull().cast("int")).alias("_null_ids")] if id_col else []
     for i, c in enumerate(cols):
         aggs.append(F.max(q(c).rlike(INEQUALITY_RE).cast("int")).alias(f"m{i}"))
         aggs.append(F.max(q(c).rlike(NUMERIC_RE).cast("int")).alias(f"n{i}"))
     row = df.agg(*aggs).first()
+    if id_col and (row["_null_ids"] or 0) > 0:
+        raise ValueError(f"{row['_null_ids']} rows have a null {id_col!r}; ids must be present")
     overrides = dict(eps_overrides or {})
     for i, c in enumerate(cols):
         plan.eps[c] = float(overrides.get(c, eps))
@@ -123,7 +127,7 @@ def clean_inequalities(df: DataFrame, id_col: str, eps: float = 0.1,
     arrives in fewer partitions (see :func:`strata.session.spread`)."""
     from strata.session import spread
     df = spread(df.withColumn(id_col, q(id_col).cast("string")), id_col)
-    plan = plan_retype(df, eps, eps_overrides, exclude=[id_col, *exclude])
+    plan = plan_retype(df, eps, eps_overrides, exclude=[id_col, *exclude], id_col=id_col)
     return apply_retype(df, plan), plan
 
 

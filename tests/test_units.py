@@ -148,3 +148,9 @@ def test_rank_metrics_two_phase_path_identical(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert a[k][0] == pytest.approx(b[k][0], rel=1e-12) and a[k][1] == pytest.approx(b[k][1], rel=1e-12)
+
+
+def test_null_id_refused(spark):
+    df = spark.createDataFrame([("1", "<5"), (None, "7")], "id string, lab string")
+    with pytest.raises(ValueError):
+        CL.clean_inequalities(df, "id")
