@@ -257,7 +257,9 @@ def _fold_summary_sql():
 
 @register("fold_summary", W + _fold_summary_sql(), dbl=_FOLD_COLS, ops="A-15 U-1")
 def fold_summary(spark, sf):
-    return M.fold_summary(fold_metrics(spark, sf))
+    from strata.session import cut_lineage
+    # the k-row fold table feeds three union branches: materialise it once
+    return M.fold_summary(cut_lineage(fold_metrics(spark, sf)))
 
 
 @register("model_compare", W + O.evaluate("scored", "y", "p1", T, NB_STAGE, ["model"]), dbl=EVAL_DBL,
