@@ -44,7 +44,7 @@ def main(argv):
           "per-task partial results of a global aggregate (one row per task) or a window over a table whose "
           "size was checked first (distinct scores under the bound, threshold grid, fold rows, bucket "
           "offsets); no cohort-sized table is moved to one partition. Python stages are Arrow-batched "
-          "`mapInPandas` (bootstrap draws, Tree SHAP).\n")
+          "`mapInPandas` (bootstrap draws, Tree SHAP). Cohort-pipeline queries start from the checkpointed cleaned / encoded cohort, so their final plan begins at that snapshot (the upstream work ran in the job that wrote it). Joins of cohort-sized tables show as broadcast here only because AQE measured them small at this scale factor.\n")
     print("| query | shuffles | SinglePartition | broadcast joins | sort-merge joins | Python stages | windows |")
     print("|---|---|---|---|---|---|---|")
     details = []
