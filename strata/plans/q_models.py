@@ -197,3 +197,29 @@ def impute_benchmark(spark, sf):
     return IM.imputation_benchmark(_impute_input(spark, sf).select(QC.ID, *FEATS), QC.ID, FEATS,
                                    methods=("mice", "missforest"), mask_frac=0.10, repeats=1, seed=42,
                                    mice={"max_iter": 2}, forest={"max_iter": 1, "num_trees": 10, "max_depth": 5})
+
+
+# --------------------------------------------------------- V3: documents
+DOC_FEATS = ["n_chars", "n_spaces", "n_dots", "quality"]
+
+
+def _docs(spark, sf):
+    from strata.sources.fixtures import doc_screen
+    return doc_screen(spark, sf).select("id", *[F.col(c).cast("double").alias(c) for c in DOC_FEATS], "y")
+
+
+@register("class_weights_docs", oracle_cte("doc_screen") +
+          "SELECT n_neg, n_pos, n_neg / greatest(n_pos, 1) AS scale_pos_weight FROM ("
+          "SELECT CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg, "
+          "CAST(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos FROM doc_screen)",
+          dbl=["scale_pos_weight"], ops="A-13 M-2")
+def class_weights_docs(spark, sf):
+    from strata.operators.profile import class_counts
+    return class_counts(_docs(spark, sf), "y")
+
+
+@register("cv_gbt_docs", ops="M-1 M-2 M-3 W-1", heavy=True)
+def cv_gbt_docs(spark, sf):
+    """Class-weighted boosted trees on the imbalanced document label."""
+    oof, _ = TR.cross_validate(_docs(spark, sf), DOC_FEATS, "y", "id", GBT, k=5, seed=42)
+    return oof
