@@ -3,7 +3,6 @@ encoding, scaling and profiling."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from strata.functions import clean as CL
 from strata.operators import encode as EN

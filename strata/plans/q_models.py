@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.functions.clean import q
 from strata.operators import calibrate as CA
 from strata.operators import embed as EM
 from strata.operators import encode as EN
