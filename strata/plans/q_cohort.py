@@ -3,7 +3,6 @@ encoding, scaling and profiling."""
 
 from __future__ import annotations
 
-
 from strata.functions import clean as CL
 from strata.operators import encode as EN
 from strata.operators import profile as PR

@@ -4,7 +4,6 @@ cascade, thresholded and rank metrics, curves, folds, bootstrap, thresholds.
 
 from __future__ import annotations
 
-
 from strata.functions.hashing import md5_seed32_sql, mix32_uniform_sql, poisson1_weight_sql
 from strata.operators import bootstrap as BS
 from strata.operators import cascade as C
