@@ -1,7 +1,8 @@
 """Imputation (I-1..I-9, F-12, F-13, J-8).
 
-* ``median_fill`` (I-1): exact medians of all columns in one aggregation,
-  then ``coalesce``.
+* ``median_fill`` (I-1): exact medians of all columns (by default from
+  distinct-value counts and running sums, so no column is buffered in one
+  task), then ``coalesce``.
 * ``mice_impute`` (I-3..I-7): chained ridge regressions.  Each step needs
   only the Gram matrix ``X'X`` / ``X'y`` of the observed rows of one target
   column over its nearest predictors: one distributed aggregation whose
@@ -31,14 +32,21 @@ from strata.functions.hashing import md5_uniform
 from strata.session import cut_lineage
 
 
-def medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[str, float | None]:
+def medians(df: DataFrame, cols: Sequence[str], exact: bool | str = "distributed") -> dict[str, float | None]:
+    """Exact medians (``percentile``), approximate ones (``exact=False``), or
+    exact ones computed without a per-column value buffer
+    (``exact="distributed"``, see :func:`strata.operators.profile.exact_quantiles`)."""
+    if exact == "distributed":
+        from strata.operators.profile import exact_quantiles
+        got = {r["feature"]: r["value"] for r in exact_quantiles(df, cols, [0.5]).collect()}  # one row per column
+        return {c: (None if got.get(c) is None else float(got[c])) for c in cols}
     aggs = [(F.percentile(q(c).cast("double"), F.lit(0.5)) if exact
              else F.percentile_approx(q(c).cast("double"), 0.5, 10000)).alias(f"m{i}") for i, c in enumerate(cols)]
     row = df.agg(*aggs).first()
     return {c: (None if row[f"m{i}"] is None else float(row[f"m{i}"])) for i, c in enumerate(cols)}
 
 
-def median_fill(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def median_fill(df: DataFrame, cols: Sequence[str], exact: bool | str = "distributed") -> DataFrame:
     """I-1: fill nulls with each column's exact median."""
     med = medians(df, cols, exact)
     return df.select(*[F.coalesce(q(c).cast("double"), F.lit(med[c])).alias(c) if c in med else q(c)

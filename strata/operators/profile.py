@@ -323,3 +323,35 @@ def ordered(report: DataFrame, *order: Column) -> DataFrame:
     order, as one sorted partition; always pass a name as the last key so
     ties are deterministic.  Never used on cohort-sized tables."""
     return report.coalesce(1).sortWithinPartitions(*order)
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], fracs: Sequence[float],
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """Exact, linearly interpolated quantiles (numpy 'linear', Spark
+    ``percentile``) without holding a column's values in one buffer:
+    (keys, feature, frac, value).
+
+    Distinct values are counted per (keys, feature) (partial aggregation),
+    running counts give each distinct value its rank range (two-phase when a
+    feature has many distinct values), and the order statistics at ranks
+    floor / ceil of frac * (n - 1) are selected by a filter on that range,
+    so no join and no single-partition step is needed."""
+    keys = list(keys)
+    long = df.select(*[q(k) for k in keys], _rows([F.struct(F.lit(c).alias("feature"),
+                                                            q(c).cast("double").alias("v")) for c in cols])) \
+        .select(*keys, "r.*").where(F.col("v").isNotNull())
+    cnt = long.groupBy(*keys, "feature", "v").agg(F.count(F.lit(1)).alias("c"))
+    rs = running_sums(cnt, "v", ["c"], keys=[*keys, "feature"], descending=False)
+    fr = rs.withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
+    pos = F.col("frac") * (F.col("tot_c") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    start = F.col("cum_c") - F.col("c")  # 0-based rank of this value's first copy
+    picked = fr.where(((start <= lo) & (lo < F.col("cum_c"))) | ((start <= hi) & (hi < F.col("cum_c"))))
+    g = picked.groupBy(*keys, "feature", "frac").agg(
+        F.max(F.when((start <= lo) & (lo < F.col("cum_c")), F.col("v"))).alias("_lo"),
+        F.max(F.when((start <= hi) & (hi < F.col("cum_c")), F.col("v"))).alias("_hi"),
+        F.first(pos).alias("_pos"))
+    w = F.col("_pos") - F.floor(F.col("_pos"))
+    return g.select(*keys, "feature", "frac",
+                    F.when(w == 0, F.col("_lo")).otherwise(
+                        (F.lit(1.0) - w) * F.col("_lo") + w * F.col("_hi")).alias("value"))

@@ -154,3 +154,21 @@ def test_null_id_refused(spark):
     df = spark.createDataFrame([("1", "<5"), (None, "7")], "id string, lab string")
     with pytest.raises(ValueError):
         CL.clean_inequalities(df, "id")
+
+
+def test_exact_quantiles_distributed_equal_percentile(spark):
+    df = spark.range(3000).select(F.round(F.rand(5) * 50, 1).alias("a"),
+                                  F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") % 17).alias("b"),
+                                  (F.col("id") % 3).alias("k"))
+    fr = [0.01, 0.25, 0.5, 0.99]
+    got = {(r["k"], r["feature"], r["frac"]): r["value"] for r in PR.exact_quantiles(df, ["a", "b"], fr, ["k"]).collect()}
+    ref = df.groupBy("k").agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(f) for f in fr])).alias(c)
+                                for c in ("a", "b")]).collect()
+    for r in ref:
+        for c in ("a", "b"):
+            for f, v in zip(fr, r[c]):
+                assert got[(r["k"], c, f)] == pytest.approx(v, rel=1e-12, abs=1e-12)
+    two = {(r["k"], r["feature"], r["frac"]): r["value"] for r in
+           PR.exact_quantiles(df.repartition(4), ["a"], [0.5], ["k"]).collect()}
+    assert all(two[key] == pytest.approx(got[key]) for key in two)
+    assert median_fill(df.select("b"), ["b"], exact="distributed").agg(F.max("b")).first()[0] is not None
