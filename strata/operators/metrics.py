@@ -288,10 +288,12 @@ def pr_points(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = (
 # E-8: calibration curve
 # ----------------------------------------------------------------------------
 def quantile_edges(df: DataFrame, p: str, n_bins: int) -> list[float]:
-    """Exact linear-interpolated quantile edges (one small aggregate)."""
+    """Exact linear-interpolated quantile edges (n_bins + 1 values read on
+    the driver), computed without buffering the scores in one task."""
+    from strata.operators.profile import exact_quantiles
     fr = [float(x) for x in np.linspace(0.0, 1.0, n_bins + 1)]
-    row = df.agg(F.percentile(F.col(p), F.array(*[F.lit(f) for f in fr])).alias("q")).first()
-    return [float(v) for v in row["q"]]
+    got = {r["frac"]: r["value"] for r in exact_quantiles(df, [p], fr).collect()}
+    return [float(got[f]) for f in fr]
 
 
 def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10,

@@ -23,17 +23,28 @@ from strata.functions.prefix import running_sums
 from strata.session import cut_lineage, spread
 
 
-def _pct(c: Column, fracs: Sequence[float], exact: bool = True) -> Column:
-    arr = F.array(*[F.lit(float(f)) for f in fracs])
-    if exact:
-        return F.percentile(c, arr)
-    return F.percentile_approx(c, [float(f) for f in fracs], 10000).cast("array<double>")
-
-
 def _rows(structs: list[Column]) -> Column:
     return F.explode(F.array(*structs)).alias("r")
 
 
+def quantile_table(df: DataFrame, cols: Sequence[str], fracs: Sequence[float], names: Sequence[str],
+                   keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """(keys, feature, <name per frac>): exact quantiles from
+    :func:`exact_quantiles` (no per-column buffer), or approximate ones.
+    One row per (keys, feature): bounded by the schema x key count."""
+    keys = list(keys)
+    if exact:
+        long = exact_quantiles(df, cols, fracs, keys)
+        return long.groupBy(*keys, "feature").agg(
+            *[F.max(F.when(F.col("frac") == F.lit(float(f)), F.col("value"))).alias(n) for f, n in zip(fracs, names)])
+    a = df.groupBy(*[q(k) for k in keys]).agg(
+        *[F.percentile_approx(q(c).cast("double"), [float(f) for f in fracs], 10000).alias(f"p{i}")
+          for i, c in enumerate(cols)])
+    return a.select(*keys, _rows([F.struct(F.lit(c).alias("feature"),
+                                           *[F.col(f"p{i}")[j].alias(n) for j, n in enumerate(names)])
+                                  for i, c in enumerate(cols)])).select(*keys, "r.*")
+
+
 # ---------------------------------------------------------------- A-1 / A-2
 def overview(df: DataFrame) -> DataFrame:
     """A-1: one row per column with its type and the table's row count."""
@@ -62,15 +73,16 @@ def describe_all(df: DataFrame, exact: bool = True) -> DataFrame:
         for i, c in enumerate(num):
             x = q(c).cast("double")
             aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                     F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
-                     _pct(x, [0.25, 0.5, 0.75], exact).alias(f"p{i}")]
+                     F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
         a = df.agg(*aggs)
-        parts.append(a.select(_rows([F.struct(
+        basic = a.select(_rows([F.struct(
             F.lit(c).alias("feature"), F.col(f"n{i}").cast("long").alias("count"),
             F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"),
             F.lit(None).cast("long").alias("freq"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-            F.col(f"a{i}").alias("min"), F.col(f"p{i}")[0].alias("q25"), F.col(f"p{i}")[1].alias("q50"),
-            F.col(f"p{i}")[2].alias("q75"), F.col(f"b{i}").alias("max")) for i, c in enumerate(num)])).select("r.*"))
+            F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max")) for i, c in enumerate(num)])).select("r.*")
+        qt = quantile_table(df, num, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], exact=exact)
+        parts.append(basic.join(F.broadcast(qt), "feature", "left").select(
+            "feature", "count", "unique", "top", "freq", "mean", "std", "min", "q25", "q50", "q75", "max"))
     if txt:
         long = df.select(_rows([F.struct(F.lit(c).alias("feature"), q(c).alias("value")) for c in txt])) \
             .select("r.*").where(F.col("value").isNotNull())
@@ -124,12 +136,13 @@ def outliers_percentile(df: DataFrame, exclude: Sequence[str] = (), lower_q: flo
     if not cols:
         return df.sparkSession.createDataFrame([], "feature string")
     lo_name, hi_name = f"q{int(lower_q * 100)}", f"q{int(upper_q * 100)}"
-    b = df.agg(*[_pct(q(c).cast("double"), [lower_q, upper_q], exact).alias(f"p{i}")
-                 for i, c in enumerate(cols)]).first()
+    # bounds: one row per feature (bounded by the schema), read on the driver
+    qt = {r["feature"]: (r["lo"], r["hi"]) for r in
+          quantile_table(df, cols, [lower_q, upper_q], ["lo", "hi"], exact=exact).collect()}
     aggs = []
     kept = []
     for i, c in enumerate(cols):
-        bounds = b[f"p{i}"]
+        bounds = qt.get(c)
         if bounds is None or bounds[0] is None:
             continue  # all-null column: no row, as the reference skips it
         lo, hi = float(bounds[0]), float(bounds[1])
@@ -155,14 +168,17 @@ def by_target(df: DataFrame, target: str, exclude: Sequence[str] = (), exact: bo
     aggs = []
     for i, c in enumerate(cols):
         x = q(c).cast("double")
-        med = F.percentile(x, F.lit(0.5)) if exact else F.percentile_approx(x, 0.5, 10000)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), med.cast("double").alias(f"d{i}"),
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     g = df.groupBy(q(target).alias(target)).agg(*aggs)
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").cast("long").alias("count"),
-                        F.col(f"m{i}").alias("mean"), F.col(f"d{i}").alias("median"), F.col(f"s{i}").alias("std"),
+                        F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
                         F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max")) for i, c in enumerate(cols)]
-    return g.select(q(target), _rows(structs)).select(target, "r.*")
+    basic = g.select(q(target), _rows(structs)).select(target, "r.*")
+    med = quantile_table(df, cols, [0.5], ["median"], keys=[target], exact=exact)
+    # both sides: one row per (class, feature)
+    return basic.join(F.broadcast(med), [target, "feature"], "left").select(
+        target, "feature", "count", "mean", "median", "std", "min", "max")
 
 
 def category_by_target(df: DataFrame, category: str, target: str) -> DataFrame:
@@ -186,13 +202,13 @@ def violin_summary(df: DataFrame, exclude: Sequence[str] = (), exact: bool = Tru
     aggs = []
     for i, c in enumerate(cols):
         x = q(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
-                 _pct(x, [0.25, 0.5, 0.75], exact).alias(f"p{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     a = df.agg(*aggs)
-    return a.select(_rows([F.struct(
+    basic = a.select(_rows([F.struct(
         F.lit(c).alias("feature"), F.col(f"n{i}").cast("long").alias("n"), F.col(f"a{i}").alias("min"),
-        F.col(f"p{i}")[0].alias("q25"), F.col(f"p{i}")[1].alias("q50"), F.col(f"p{i}")[2].alias("q75"),
         F.col(f"b{i}").alias("max")) for i, c in enumerate(cols)])).select("r.*")
+    qt = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], exact=exact)
+    return basic.join(F.broadcast(qt), "feature", "left").select("feature", "n", "min", "q25", "q50", "q75", "max")
 
 
 def violin_density(df: DataFrame, exclude: Sequence[str] = (), n_bins: int = 20) -> DataFrame:
@@ -352,6 +368,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], fracs: Sequence[float],
         F.max(F.when((start <= hi) & (hi < F.col("cum_c")), F.col("v"))).alias("_hi"),
         F.first(pos).alias("_pos"))
     w = F.col("_pos") - F.floor(F.col("_pos"))
+    # equal neighbours return the value itself (an interpolated copy can be
+    # 1 ulp off, which moves data points across bin edges)
     return g.select(*keys, "feature", "frac",
-                    F.when(w == 0, F.col("_lo")).otherwise(
-                        (F.lit(1.0) - w) * F.col("_lo") + w * F.col("_hi")).alias("value"))
+                    F.when((w == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
+                        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * w).alias("value"))
