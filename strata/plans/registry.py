@@ -63,6 +63,8 @@ def sql_round(sql: str, cols: Sequence[str], digits: int = DIGITS) -> str:
 def register(name: str, sql: str | None = None, dbl: Sequence[str] = (), ops: str = "", heavy: bool = False):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from strata.session import ship_package
+            ship_package(spark)
             return round_doubles(fn(spark, sf_dir), dbl)
 
         run.__name__ = name

@@ -36,6 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,3 +76,36 @@ def spread(df, *cols):
     except Exception:  # no local SparkContext: leave partitioning to the server
         return df
     return df.repartition(target, *cols) if cols else df.repartition(target)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``strata`` importable in the Python workers (the Arrow-batched
+    stages reference its functions): zip the package into the session's
+    checkpoint folder once per context and ``addPyFile`` it."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the package must be installed server-side
+        return
+    if id(sc) in _SHIPPED:
+        return
+    import uuid
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    folder = os.path.join(ensure_checkpoint_dir(spark), "pyfiles")
+    if "://" in folder and not folder.startswith("file:"):
+        return  # non-local filesystem: ship with --py-files instead
+    folder = folder.replace("file:", "")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"strata-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
