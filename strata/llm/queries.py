@@ -27,7 +27,16 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters)}
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.secret_scans import BASE, scan_secrets, span_text
+    docs = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return docs.select("doc_id", *[of(k) for k in BASE], F.sha2(span_text(base), 256).alias("base_sha256"),
+                       span_text(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
