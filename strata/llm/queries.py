@@ -36,7 +36,15 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                        span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_secret_scans)}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.common import cut
+    from strata.llm.simhash import hex_of, simhash_components, with_fingerprints
+    marked = with_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3)
+    return simhash_components(cut(marked.select("doc_id", "_llm_fp")), max_bits=2).select(
+        "doc_id", hex_of().alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_secret_scans, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
