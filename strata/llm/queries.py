@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import table
+from strata.llm.common import prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -44,7 +46,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", hex_of().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_secret_scans, op5_simhash)}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.common import cut
+    from strata.llm.mixing import mix_sources, sized
+    docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix_sources(cut(docs.drop("text"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op5_simhash, op7_mixing)
+
+
+def _prepared(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {f.__name__: _prepared(f) for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
