@@ -53,7 +53,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(cut(docs.drop("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op5_simhash, op7_mixing)
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op5_simhash, op7_mixing, op8_packing)
 
 
 def _prepared(query):
