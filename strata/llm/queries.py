@@ -38,6 +38,13 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                        span_text(F.col("spans")).alias("spans"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.quality import fit, held_out, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score(docs, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.common import cut
     from strata.llm.simhash import hex_of, simhash_components, with_fingerprints
@@ -58,7 +65,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op5_simhash, op7_mixing, op8_packing)
+_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op4_quality, op5_simhash, op7_mixing, op8_packing)
 
 
 def _prepared(query):
