@@ -65,7 +65,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op4_quality, op5_simhash, op7_mixing, op8_packing)
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.rp_forest import link_vectors
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return link_vectors(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
+_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op4_quality, op5_simhash, op7_mixing, op8_packing,
+        op9_embedding_dedup)
 
 
 def _prepared(query):
@@ -80,5 +87,5 @@ QUERIES = {f.__name__: _prepared(f) for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    from strata.llm import url_filters
-    return {"op2_url_filters": url_filters.ORACLE}
+    from strata.llm import rp_forest, url_filters
+    return {"op2_url_filters": url_filters.ORACLE, "op9_embedding_dedup": rp_forest.ORACLE}
