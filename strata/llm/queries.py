@@ -53,6 +53,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", hex_of().alias("fingerprint"), "component_id")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.posting_lists import nearest
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.common import cut
     from strata.llm.mixing import mix_sources, sized
@@ -71,7 +77,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(rows).select("vec_id", "n_links", "component_id", "kept")
 
 
-_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op4_quality, op5_simhash, op7_mixing, op8_packing,
+_ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op4_quality, op5_simhash, op6_nearest, op7_mixing, op8_packing,
         op9_embedding_dedup)
 
 
