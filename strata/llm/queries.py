@@ -77,8 +77,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(rows).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 _ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op4_quality, op5_simhash, op6_nearest, op7_mixing, op8_packing,
-        op9_embedding_dedup)
+        op9_embedding_dedup, op10_suffix_dedup)
 
 
 def _prepared(query):
@@ -93,5 +98,6 @@ QUERIES = {f.__name__: _prepared(f) for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    from strata.llm import rp_forest, url_filters
-    return {"op2_url_filters": url_filters.ORACLE, "op9_embedding_dedup": rp_forest.ORACLE}
+    from strata.llm import rp_forest, suffix_dedup, url_filters
+    return {"op2_url_filters": url_filters.ORACLE, "op9_embedding_dedup": rp_forest.ORACLE,
+            "op10_suffix_dedup": suffix_dedup.ORACLE}
