@@ -42,7 +42,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a scratch one only
-    when the cluster named none (local runs and tests)."""
+    when none is named and the session runs on this machine alone."""
     current = spark.conf.get(_CHECKPOINT_KEY, None)
     try:
         sc = spark.sparkContext
@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if not current and sc is not None:
         current = sc.getCheckpointDir()
+    if not current and sc is not None and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not current:
         current = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(_CHECKPOINT_KEY, current)
@@ -78,34 +80,36 @@ def spread(df, *cols):
     return df.repartition(target, *cols) if cols else df.repartition(target)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``strata`` importable in the Python workers (the Arrow-batched
     stages reference its functions): zip the package into the session's
-    checkpoint folder once per context and ``addPyFile`` it."""
+    checkpoint folder, whatever its file system, once per application and
+    ``addPyFile`` it, so that executors that start later fetch it too."""
     try:
         sc = spark.sparkContext
     except Exception:  # remote session: the package must be installed server-side
         return
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
+    import io
     import uuid
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    folder = os.path.join(ensure_checkpoint_dir(spark), "pyfiles")
-    if "://" in folder and not folder.startswith("file:"):
-        return  # non-local filesystem: ship with --py-files instead
-    folder = folder.replace("file:", "")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"strata-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for dirpath, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    name = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles/strata-{uuid.uuid4().hex[:8]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(name)
+    _SHIPPED[sc.applicationId] = name
