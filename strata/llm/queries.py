@@ -79,7 +79,9 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.suffix_dedup import remove_repeats
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 _ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op4_quality, op5_simhash, op6_nearest, op7_mixing, op8_packing,
