@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import cut, keep_columns, prepare
@@ -164,13 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
         F.min(y).alias("y"))
     known = cut(known)
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("_llm_id"), "_llm_id")
-    known = cut(known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).drop("k"))
+    order = (F.xxhash64("_llm_id"), F.col("_llm_id"))
+    known = cut(known.filter("y = 0").orderBy(*order).limit(rows).union(
+        known.filter("y = 1").orderBy(*order).limit(rows)))
     # at most 2 x rows ids
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     sample = (docs.select(i.alias("_llm_i"), text.alias("t")).filter(F.octet_length("t") <= longest)
               .join(F.broadcast(known), F.col("_llm_i") == F.col("_llm_id"))
-              .groupBy("_llm_id").agg(F.min(F.struct("t", "y")).alias("s")).orderBy(F.xxhash64("_llm_id"), "_llm_id")
+              .groupBy("_llm_id").agg(F.min(F.struct("t", "y")).alias("s")).orderBy(*order)
               .select("s.t", "s.y").collect())
     ys = [int(r["y"]) for r in sample]
     net = train([r["t"] for r in sample], ys, **params)

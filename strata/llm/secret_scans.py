@@ -130,24 +130,25 @@ def _ranked(found: Column, kind: str) -> Column:
                                                  F.lit(kind).alias("kind")))
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``spans``: array of (start, end, kind), in code points with an
+def scan_secrets(docs: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
+    """Add ``spans`` (or ``name``): array of (start, end, kind), in code points with an
     exclusive end, by start, then kind in the order of ``KINDS``.
 
     Base kinds are found by their patterns, leftmost and non-overlapping per
     kind; entropy findings are added and may overlap them; the allow-list
     only suppresses entropy findings.  Null and empty texts have no spans;
-    every input row stays once; an input column ``spans`` is replaced.
+    every input row stays once; an input column of that
+    name is replaced.
     """
     prepare(docs.sparkSession)
-    df = docs.select(*keep_columns(docs, ["spans"]), text_of(text_col).alias("_llm_text"))
+    df = docs.select(*keep_columns(docs, [name]), text_of(text_col).alias("_llm_text"))
     for kind, (pattern, _, _) in BASE.items():
         df = _matches(df, "_llm_text", f"_llm_{kind}", pattern)
     df = _matches(df, "_llm_text", "_llm_candidate", CANDIDATE)
     df = df.withColumn("_llm_candidate", F.filter("_llm_candidate", lambda m: ~m["match"].rlike("|".join(ALLOWED))))
     found = F.array_sort(F.concat(*map(_base_spans, BASE), *map(_entropy_spans, CLASSES)))
     spans = F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"]))
-    return df.withColumn("spans", spans).drop("_llm_text", "_llm_candidate", *[f"_llm_{k}" for k in BASE])
+    return df.withColumn(name, spans).drop("_llm_text", "_llm_candidate", *[f"_llm_{k}" for k in BASE])
 
 
 def span_text(spans: Column) -> Column:
@@ -160,12 +161,12 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     """Rows of ``docs`` with every span of their text replaced by ``mark``
     (touching and overlapping spans by one mark).  Texts without a span are
     untouched, a null one too; the columns stay as they are."""
-    found = scan_secrets(docs.withColumn("_llm_row", F.col(f"`{text_col}`")), text_col)
+    found = scan_secrets(docs.withColumn("_llm_row", F.col(f"`{text_col}`")), text_col, "_llm_spans")
     state = "struct<at:bigint,out:string>"
     text = F.col("_llm_row")
     # each step takes the text between the last span's end and this start;
     # spans come in order of their starts, an overlap only moves the end on
-    pairs = F.zip_with("spans", F.array_repeat(text, F.size("spans")), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+    pairs = F.zip_with("_llm_spans", F.array_repeat(text, F.size("_llm_spans")), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
     built = F.aggregate(
         pairs, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(state),
         lambda acc, p: F.struct(
@@ -173,7 +174,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
             F.when((p["s"]["start"] > acc["at"]) | (acc["out"] == ""), F.concat(
                 acc["out"], F.substr(p["t"], (acc["at"] + 1).cast("int"), (p["s"]["start"] - acc["at"]).cast("int")),
                 F.lit(mark))).otherwise(acc["out"]).alias("out")).cast(state))
-    found = found.withColumn("_llm_built", F.when(F.size("spans") > 0, built))
-    text = F.when(F.size("spans") > 0, F.concat(F.col("_llm_built.out"), F.substr(
+    found = found.withColumn("_llm_built", F.when(F.size("_llm_spans") > 0, built))
+    text = F.when(F.size("_llm_spans") > 0, F.concat(F.col("_llm_built.out"), F.substr(
         F.col("_llm_row"), (F.col("_llm_built.at") + 1).cast("int")))).otherwise(F.col("_llm_row"))
     return found.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
