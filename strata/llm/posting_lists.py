@@ -22,7 +22,8 @@ SAMPLE = 20_000       # distinct vectors that the centroids are fitted on
 LIST = 256            # vectors of a list, while the sample allows as many centroids
 MOST_LISTS = 1024     # centroids kept in memory; more vectors make longer lists
 DEGREE = 24           # neighbours of a centroid in the graph
-BEAM = 96             # centroids that a search keeps
+BEAM = 96             # centroids that a query's search keeps
+INDEX_BEAM = 24       # the same for an indexed vector, which needs its nearest lists only
 CLOSURE = 1.03        # a vector joins lists up to this ratio of its nearest distance
 PRUNE = 1.16          # a query reads lists up to this ratio
 BLOCK = 4096          # vectors of a list scanned together
@@ -72,7 +73,7 @@ class CentroidGraph:
         self.links = np.array([sorted(t) + [i] * (width - len(t)) for i, t in enumerate(to)])
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
 
-    def search(self, x):
+    def search(self, x, beam: int = BEAM):
         """Distances to the centroids that the search reached, infinite for
         the others (vectors x centroids)."""
         import numpy as np
@@ -84,7 +85,7 @@ class CentroidGraph:
         first = self.entries
         found[:, first] = norm[:, None] + self.square[first] - 2 * x @ self.c[first].T
         left[:, first] = True
-        beam = min(BEAM, k)
+        beam = min(beam, k)
         alive = rows
         while len(alive):
             bound = np.partition(found[alive], beam - 1, axis=1)[:, beam - 1]
@@ -106,7 +107,7 @@ class CentroidGraph:
         return np.sqrt(np.maximum(found, 0))
 
 
-def _assign(centroids, ratio: float):
+def _assign(centroids, ratio: float, beam: int):
     """Batches of ``(key, v, ...)`` -> the same rows, one per chosen list."""
     def run(batches):
         import numpy as np
@@ -114,7 +115,7 @@ def _assign(centroids, ratio: float):
         for b in batches:
             for k in range(0, len(b), 512):
                 part = b.iloc[k:k + 512]
-                d = graph.search(matrix(part["v"]))
+                d = graph.search(matrix(part["v"]), beam)
                 row, to = np.nonzero(d <= ratio * d.min(axis=1, keepdims=True))
                 yield part.iloc[row].assign(list=to.astype(np.int32))
     return run
@@ -179,10 +180,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, vector_col: str =
     lists = min(MOST_LISTS, 1 << max(0, round(math.log2(max(1, n / LIST)))))
     centroids = balanced_centroids(matrix(sample["v"]), lists, seed)
 
-    posts = cut(index.mapInPandas(_assign(centroids, closure), "v array<float>, ids array<long>, list int")
+    posts = cut(index.mapInPandas(_assign(centroids, closure, INDEX_BEAM), "v array<float>, ids array<long>, list int")
                 .withColumn("h", F.xxhash64("ids")))
     asked = cut(clean(queries, "query_id").filter(has_dim).mapInPandas(
-        _assign(centroids, prune), "query_id long, v array<float>, list int"))
+        _assign(centroids, prune, BEAM), "query_id long, v array<float>, list int"))
     size = posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vb"))
     asks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qb"))
     # one row per list, at most MOST_LISTS
