@@ -178,11 +178,12 @@ def linear_shap(df: DataFrame, weights: Sequence[float], features: Sequence[str]
 def group_parents(ranking: DataFrame, parents: Sequence[str], value_col: str = "mean_abs_shap") -> DataFrame:
     """X-4 / F-15 / U-2: sum the scores of one-hot columns named
     ``<parent>_``, ``<parent>=`` or ``<parent>__`` (case-insensitive) into
-    their parent; other features keep their own score."""
-    parent = F.lit(None).cast("string")
-    for p in parents:
-        pat = "(?i)^" + "".join("\\" + ch if not ch.isalnum() else ch for ch in p) + "(_|=|__)"
-        parent = F.when(parent.isNull() & F.col("feature").rlike(pat), F.lit(p)).otherwise(parent)
+    their parent; other features keep their own score.  Of several parents
+    that fit (``segment`` and ``segment_x``) the longest one counts."""
+    parent, name = F.lit(None).cast("string"), F.lower("feature")
+    for p in sorted(parents, key=len):
+        fits = name.startswith(f"{p.lower()}_") | name.startswith(f"{p.lower()}=")
+        parent = F.when(fits, F.lit(p)).otherwise(parent)
     return (ranking.withColumn("_parent", F.coalesce(parent, F.col("feature")))
             .groupBy(F.col("_parent").alias("feature")).agg(F.sum(value_col).alias(value_col)))
 

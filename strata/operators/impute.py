@@ -89,9 +89,8 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int =
     """
     cols = list(cols)
     counts = df.agg(*[F.sum(q(c).isNull().cast("int")).alias(c) for c in cols]).first()
+    cols = _observed(df, cols, counts)
     with_nulls = sorted([c for c in cols if counts[c] > 0], key=lambda c: (counts[c], c))
-    all_null = [c for c in cols if counts[c] == df.count()] if with_nulls else []
-    with_nulls = [c for c in with_nulls if c not in all_null]
     base = df.select(q(id_col), *[q(c).cast("double").alias(c) for c in cols],
                      *[q(c).isNotNull().alias(f"_o_{c}") for c in cols],
                      *[q(c) for c in df.columns if c not in cols and c != id_col])
@@ -153,6 +152,13 @@ def _finish(cur: DataFrame, df: DataFrame, id_col: str, cols: Sequence[str], add
     return cur.select(*out, *[q(c) for c in extra])
 
 
+def _observed(df: DataFrame, cols: Sequence[str], counts) -> list[str]:
+    """The columns with a value in some row.  A column without any can
+    neither be predicted nor predict; it passes through as it is."""
+    n = df.count()
+    return [c for c in cols if (counts[c] or 0) < n]
+
+
 def forest_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int = 10, num_trees: int = 100,
                   max_depth: int = 10, seed: int = 42, tol: float = 1e-3) -> DataFrame:
     """I-2: iterative random-forest imputation (Spark ML regressor per
@@ -163,7 +169,10 @@ def forest_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int
 
     cols = list(cols)
     counts = df.agg(*[F.sum(q(c).isNull().cast("int")).alias(c) for c in cols]).first()
+    cols = _observed(df, cols, counts)
     with_nulls = sorted([c for c in cols if counts[c] > 0], key=lambda c: (counts[c], c))
+    if not with_nulls:
+        return df
     base = df.select(q(id_col), *[q(c).cast("double").alias(c) for c in cols],
                      *[q(c).isNotNull().alias(f"_o_{c}") for c in cols],
                      *[q(c) for c in df.columns if c not in cols and c != id_col])

@@ -163,7 +163,9 @@ def outliers_percentile(df: DataFrame, exclude: Sequence[str] = (), lower_q: flo
 # --------------------------------------------------------------- A-10 / A-11
 def by_target(df: DataFrame, target: str, exclude: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """A-10: per target class and feature: count, mean, median, std (sample),
-    min, max.  One ``groupBy(target)`` aggregation for all features."""
+    min, max.  One ``groupBy(target)`` aggregation for all features.  Rows
+    without a target belong to no class."""
+    df = df.filter(q(target).isNotNull())
     cols = numeric_columns(df, [target, *exclude])
     aggs = []
     for i, c in enumerate(cols):

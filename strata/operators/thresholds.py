@@ -11,19 +11,26 @@ Ties go to the lowest threshold.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _grid(lo: float, hi: float, step: float, denom: int = 100) -> list[int]:
-    a, b, s = round(lo * denom), round(hi * denom), round(step * denom)
-    return list(range(a, b + 1, s))
+def _grid(lo: float, hi: float, step: float) -> tuple[list[int], int]:
+    """The grid as integers over a power of ten that holds all three exactly."""
+    exact = [Decimal(str(x)) for x in (lo, hi, step)]
+    if exact[2] <= 0:
+        raise ValueError(f"the step must be positive, not {step}")
+    denom = 10 ** max(0, *(-x.as_tuple().exponent for x in exact))
+    a, b, s = (int(x * denom) for x in exact)
+    return list(range(a, b + 1, s)), denom
 
 
 def threshold_grid(df: DataFrame, y: str = "y", p: str = "p", lo: float = 0.30, hi: float = 0.70,
-                   step: float = 0.01, denom: int = 100) -> DataFrame:
+                   step: float = 0.01) -> DataFrame:
     """Confusion counts, F1 and Youden's J at every grid threshold."""
-    grid = _grid(lo, hi, step, denom)
+    grid, denom = _grid(lo, hi, step)
     pc = F.col(p)
     idx = F.lit(-1)
     for j, t in enumerate(grid):  # highest cleared threshold wins

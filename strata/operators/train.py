@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -32,20 +33,24 @@ from strata.functions.clean import q, sigmoid
 from strata.operators.folds import stratified_folds
 from strata.session import cut_lineage, ensure_checkpoint_dir
 
-# fixed values: two-sided 95 % Student t quantiles t(0.975, df) for
-# df = 1..30; larger df use the normal quantile 1.959963984540054
-T975 = [12.706204736174707, 4.302652729749464, 3.182446305284263, 2.7764451051977934, 2.570581835636314,
-        2.4469118511449692, 2.3646242515927844, 2.306004135204166, 2.2621571628540993, 2.2281388519649385,
-        2.200985160082949, 2.1788128296634177, 2.1603686564610127, 2.1447866879169273, 2.131449545559323,
-        2.1199052992210112, 2.1098155778331806, 2.10092204024096, 2.0930240544082634, 2.0859634472658364,
-        2.0796138447276626, 2.0738730679040147, 2.0686576104190406, 2.0638985616280205, 2.059538552753294,
-        2.055529438642871, 2.0518305164802833, 2.048407141795244, 2.045229642132703, 2.0422724563012373]
-
 
 def t975(df: int) -> float:
+    """The 0.975 quantile of Student's t with ``df`` degrees of freedom, by
+    bisection on the integrated density (0 below one degree)."""
     if df < 1:
         return 0.0
-    return T975[df - 1] if df <= len(T975) else 1.959963984540054
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    nodes, weights = np.polynomial.legendre.leggauss(64)
+
+    def half(t: float) -> float:  # the mass between 0 and t
+        x = (nodes + 1) * t / 2
+        return float(scale * t / 2 * (weights @ (1 + x * x / df) ** (-(df + 1) / 2)))
+
+    lo, hi = 1.0, 13.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if half(mid) < 0.475 else (lo, mid)
+    return (lo + hi) / 2
 
 
 @dataclass

@@ -40,7 +40,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 def type_columns(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
     """S-10: a text column becomes bigint when every non-null token is an
-    integer, double when every non-null token is numeric, else stays text;
+    integer that fits, double when every non-null token is numeric (so is a
+    column with a larger integer), else stays text;
     an all-null column stays text."""
     df = null_tokens_to_null(df, tokens)
     cols = string_columns(df)
@@ -50,7 +51,7 @@ def type_columns(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
     for i, c in enumerate(cols):
         present = q(c).isNotNull()
         aggs += [F.sum(present.cast("int")).alias(f"n{i}"),
-                 F.sum((present & q(c).rlike(INT_TOKEN)).cast("int")).alias(f"i{i}"),
+                 F.sum((present & q(c).rlike(INT_TOKEN) & F.trim(q(c)).try_cast("long").isNotNull()).cast("int")).alias(f"i{i}"),
                  F.sum((present & q(c).rlike(NUM_TOKEN)).cast("int")).alias(f"d{i}")]
     row = df.agg(*aggs).first()
     out = []
@@ -68,8 +69,10 @@ def type_columns(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
     return df.select(*out)
 
 
-def read_cohort(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
-    """S-1..S-3: read a cohort file by extension."""
+def read_cohort(spark: SparkSession, path: str, typed: bool = True, multi_line: bool = False) -> DataFrame:
+    """S-1..S-3: read a cohort file by extension.  CSV quotes are doubled
+    inside quoted cells; ``multi_line`` also reads line breaks inside them,
+    at the price that a file is no longer split among tasks."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     fmt = SUPPORTED.get(ext)
     if fmt is None:
@@ -78,6 +81,7 @@ def read_cohort(spark: SparkSession, path: str, typed: bool = True) -> DataFrame
         # every column as text (no inference pass), empty cells kept as ''
         df = (spark.read.option("header", True).option("inferSchema", False)
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .option("escape", '"').option("multiLine", multi_line)
               .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
         return type_columns(df) if typed else df
     if fmt == "parquet":
@@ -87,7 +91,7 @@ def read_cohort(spark: SparkSession, path: str, typed: bool = True) -> DataFrame
 
 def write_cohort_csv(df: DataFrame, path: str) -> str:
     """CSV sink with a header (nulls written as empty cells)."""
-    (df.write.mode("overwrite").option("header", True).option("emptyValue", "")
+    (df.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 

@@ -172,3 +172,37 @@ def test_exact_quantiles_distributed_equal_percentile(spark):
            PR.exact_quantiles(df.repartition(4), ["a"], [0.5], ["k"]).collect()}
     assert all(two[key] == pytest.approx(got[key]) for key in two)
     assert median_fill(df.select("b"), ["b"], exact="distributed").agg(F.max("b")).first()[0] is not None
+
+
+def test_thresholds_of_any_step():
+    from strata.operators.thresholds import _grid
+    assert _grid(0.3, 0.7, 0.01) == (list(range(30, 71)), 100)
+    assert _grid(0.3, 0.31, 0.005) == ([300, 305, 310], 1000)
+    assert _grid(0.305, 0.35, 0.015) == ([305, 320, 335, 350], 1000)
+
+
+def test_t_quantile_beyond_thirty_degrees():
+    assert t975(30) == pytest.approx(2.0422724563012373, abs=1e-9)
+    assert t975(31) == pytest.approx(2.0395134463964077, abs=1e-9)
+
+
+def test_ordinary_tables_that_used_to_fail(spark, tmp_path):
+    from strata.operators import explain, folds, impute, profile
+    from strata.sources import io
+    path = tmp_path / "c.csv"
+    path.write_text('id,a,b\n1,"a ""big"" one",99999999999999999999\n2,x,5\n')
+    df = io.read_cohort(spark, str(path))
+    assert df.collect()[0].a == 'a "big" one' and dict(df.dtypes)["b"] == "double"
+    rows = spark.createDataFrame([(i, float(i), None if i % 5 == 0 else 2.0 * i, None) for i in range(40)],
+                                 "id long, a double, b double, c double")
+    done = impute.mice_impute(rows, "id", ["a", "b", "c"], max_iter=2)
+    assert done.filter("b is null").count() == 0
+    full = rows.select("id", "a")
+    assert impute.forest_impute(full, "id", ["a"], max_iter=1, num_trees=2).count() == 40
+    with pytest.raises(ValueError, match="8 rows"):
+        folds.stratified_folds(rows.withColumn("y", (rows.b > 9).cast("int")), "y", "id")
+    t = spark.createDataFrame([(1, 1.0), (None, 5.0)], "t int, x double")
+    assert [r.t for r in profile.by_target(t, "t").collect()] == [1]
+    r = spark.createDataFrame([("segment_A", 1.0), ("segment_x_B", 2.0)], "feature string, mean_abs_shap double")
+    assert {x.feature: x.mean_abs_shap for x in explain.group_parents(r, ["segment", "segment_x"]).collect()} == {
+        "segment": 1.0, "segment_x": 2.0}
