@@ -302,7 +302,7 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("crowd", [4096, 2])
+@pytest.mark.parametrize("crowd", [4096, 2, 1])
 def test_repeats_against_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     passage, other = prose(25), prose(60)
