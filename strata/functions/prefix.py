@@ -4,9 +4,8 @@
 ``Exchange SinglePartition``: one task sorts everything.  Both helpers here
 split the ordered domain into buckets, compute per-bucket totals (a table of
 ``keys x buckets`` rows), turn those into offsets with a small window, and
-finish with a window partitioned by ``(keys, bucket)``.  Under a size bound
-checked at run time the plain window is used instead, since it is cheaper
-on small inputs.
+finish with a window partitioned by ``(keys, bucket)``.  Inputs of every size
+take this path.
 """
 
 from __future__ import annotations
@@ -18,15 +17,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Inputs with at most this many rows use the one-phase window.
-SMALL_ROWS = 200_000
-# Target rows per bucket in the two-phase path.
+# Target rows per bucket.
 ROWS_PER_BUCKET = 500_000
 
 
 def running_sums(g: DataFrame, order_col: str, sum_cols: Sequence[str], keys: Sequence[str] = (),
-                 descending: bool = True, small_rows: int = SMALL_ROWS,
-                 n_buckets: int | None = None, probe: DataFrame | None = None,
+                 descending: bool = True, n_buckets: int | None = None, probe: DataFrame | None = None,
                  probe_keys: Sequence[str] | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in ``order_col`` order within
     ``keys``) and ``tot_<c>`` (total within ``keys``) for every ``c``.
@@ -34,12 +30,15 @@ def running_sums(g: DataFrame, order_col: str, sum_cols: Sequence[str], keys: Se
     ``g`` must hold one row per ``(keys, order_col)`` (aggregate first), so
     the order has no ties and a ROWS frame is exact.
 
-    A window partitioned by ``keys`` is as parallel as the keys allow; only
-    the LARGEST key's row count must be bounded, so that is what is checked
-    (one small aggregation).  The check and the bucket edges use ``probe``
-    (default ``g``) grouped by ``probe_keys`` (default ``keys``): a caller
-    whose ``g`` is costly to produce (bootstrap replicates) passes the cheap
-    table it was derived from, whose groups have the same sizes.
+    A null order value is below every number and NaN above (Spark's own
+    order); each has a bucket.  A null key is a key like any other.
+
+    Buckets are cut at quantiles of ``order_col``; their number follows the
+    LARGEST key's row count (one small aggregation).  The count and the bucket
+    edges use ``probe`` (default ``g``) grouped by ``probe_keys`` (default
+    ``keys``): a caller whose ``g`` is costly to produce (bootstrap
+    replicates) passes the cheap table it was derived from, whose groups have
+    the same sizes.
     """
     keys = list(keys)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
@@ -50,37 +49,37 @@ def running_sums(g: DataFrame, order_col: str, sum_cols: Sequence[str], keys: Se
     else:
         stats = probe.agg(F.count(F.lit(1)).alias("n")).first()
     n = int(stats["n"] or 0) if stats else 0
-    if n <= small_rows and n_buckets is None:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        wt = Window.partitionBy(*keys)
-        out = g
-        for c in sum_cols:
-            out = out.withColumn(f"cum_{c}", F.sum(c).over(w)).withColumn(f"tot_{c}", F.sum(c).over(wt))
-        return out
-
     nb = n_buckets or min(4096, max(8, math.ceil(n / ROWS_PER_BUCKET)))
     fracs = [i / nb for i in range(1, nb)]
-    edges = probe.agg(F.percentile_approx(order_col, fracs, 10000).alias("q")).first()["q"] or []
-    splits = [-math.inf] + sorted({float(e) for e in edges if e is not None}) + [math.inf]
-    bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol="_bucket_d").transform(g)
-    bucketed = bucketed.withColumn("_bucket", F.col("_bucket_d").cast("int")).drop("_bucket_d")
+    x = F.col(order_col).cast("double")
+    finite = probe.where(F.abs(x) < float("inf"))  # neither null nor NaN
+    edges = finite.agg(F.percentile_approx(x, fracs, 10000).alias("q")).first()["q"] if fracs else None
+    splits = [-math.inf, *sorted({float(e) + 0.0 for e in edges or [0.0]}), math.inf]
+    bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol="_bucket_d", handleInvalid="keep").transform(g)
+    bucketed = bucketed.withColumn("_bucket", F.coalesce(F.col("_bucket_d").cast("int"), F.lit(-1))).drop("_bucket_d")
 
     border = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     totals = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wb = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     wk = Window.partitionBy(*keys)
     offsets = totals.select(
-        *keys, "_bucket",
-        *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_of"),
+        *[F.sum(f"_bt_{c}").over(wb).alias(f"_off_{c}") for c in sum_cols],
         *[F.sum(f"_bt_{c}").over(wk).alias(f"tot_{c}") for c in sum_cols],
     )
     # offsets has keys x buckets rows; AQE turns this into a broadcast join
     # when its measured size is under the broadcast threshold.
-    joined = bucketed.join(offsets, on=[*keys, "_bucket"], how="inner")
+    same = F.col("_bucket") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    joined = bucketed.join(offsets, same, "inner")
     w = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = list(g.columns)
     for c in sum_cols:
-        joined = joined.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(w))
-    return joined.drop("_bucket", *[f"_off_{c}" for c in sum_cols])
+        off, own = F.col(f"_off_{c}"), F.sum(c).over(w)
+        joined = joined.withColumn(f"cum_{c}", F.coalesce(off + own, off, own))
+        out += [f"cum_{c}", f"tot_{c}"]
+    return joined.select(*out)
 
 
 def global_row_number(df: DataFrame, keys: Sequence[str], hash_col: str, tie_col: str,

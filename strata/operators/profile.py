@@ -289,7 +289,7 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataF
     """W-3 + A-5 (spearman): for each pair, average ranks (ties share the
     mean position) over the rows where both values are present, then
     Pearson on the ranks.  Ranks come from distinct-value counts and
-    running sums per pair (two-phase when large), joined back on
+    two-phase running sums per pair, joined back on
     (pair, value): no window over a whole pair."""
     spark = df.sparkSession
     names = list(cols)
@@ -350,8 +350,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], fracs: Sequence[float],
     (keys, feature, frac, value).
 
     Distinct values are counted per (keys, feature) (partial aggregation),
-    running counts give each distinct value its rank range (two-phase when a
-    feature has many distinct values), and the order statistics at ranks
+    two-phase running counts give each distinct value its rank range, and the order statistics at ranks
     floor / ceil of frac * (n - 1) are selected by a filter on that range,
     so no join and no single-partition step is needed."""
     keys = list(keys)

@@ -206,3 +206,35 @@ def test_ordinary_tables_that_used_to_fail(spark, tmp_path):
     r = spark.createDataFrame([("segment_A", 1.0), ("segment_x_B", 2.0)], "feature string, mean_abs_shap double")
     assert {x.feature: x.mean_abs_shap for x in explain.group_parents(r, ["segment", "segment_x"]).collect()} == {
         "segment": 1.0, "segment_x": 2.0}
+
+
+@pytest.mark.parametrize("n_buckets", [None, 1, 2, 5])
+def test_running_sums_keep_null_and_nan(spark, n_buckets):
+    nan, inf = float("nan"), float("inf")
+    values = [None, nan, inf, -inf, 0.0, 0.25, 0.5, 0.75, 1.0]
+    rows = [(k, v, i + 1) for k in ("a", None) for i, v in enumerate(values)] + [("only null", None, 3), ("only nan", nan, 4)]
+    g = spark.createDataFrame(rows, "k string, p double, c long").repartition(3)
+    place = lambda v: (v is not None, v is not None and v != v, 0.0 if v is None or v != v else v)
+    for descending in (True, False):
+        want = {}
+        for k in {r[0] for r in rows}:
+            mine, run = sorted([r for r in rows if r[0] == k], key=lambda r: place(r[1]), reverse=descending), 0
+            for _, v, c in mine:
+                run += c
+                want[k, place(v)] = (run, sum(r[2] for r in mine))
+        got = running_sums(g, "p", ["c"], keys=["k"], descending=descending, n_buckets=n_buckets).collect()
+        assert len(got) == len(rows)
+        assert {(r["k"], place(r["p"])): (r["cum_c"], r["tot_c"]) for r in got} == want
+
+
+def test_quantiles_and_rank_metrics_of_many_buckets_with_null_and_nan(spark, monkeypatch):
+    from strata.functions import prefix
+    monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", 10)
+    nan = float("nan")
+    df = spark.createDataFrame([(i % 2, None if i % 10 == 0 else nan if i % 10 == 1 else i / 100.0) for i in range(300)],
+                               "y int, x double")
+    got = {r["frac"]: r["value"] for r in PR.exact_quantiles(df, ["x"], [0.0, 0.5, 1.0]).collect()}
+    kept = sorted(i / 100.0 for i in range(300) if i % 10 > 1)
+    assert got[0.0] == kept[0] and got[0.5] == (kept[134] + kept[135]) / 2 and got[1.0] != got[1.0]
+    row = M.rank_metrics(df, "y", "x").first()
+    assert (row["n_pos"], row["n_neg"]) == (150, 150)
