@@ -4,8 +4,9 @@ Centroids come from a bounded sample, halved again and again at the median,
 so every list gets the same share of the sample.  A graph over the centroids
 is searched in memory; a vector goes to its nearest list and to every list
 whose centroid is nearly as close (boundary vectors are replicated).  A query
-reads the lists whose centroid distance is within a ratio of the nearest one.
-Lists are scanned in blocks, so a long list is many tasks.
+reads the lists whose centroid distance is within a ratio of the nearest one;
+where these hold too few vectors it reads on, list by list in the order of
+their centroids.  Lists are scanned in blocks, so a long list is many tasks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ CLOSURE = 1.03        # a vector joins lists up to this ratio of its nearest dis
 PRUNE = 1.16          # a query reads lists up to this ratio
 BLOCK = 4096          # vectors of a list scanned together
 QUERIES = 512         # queries scanned together
+MORE = 8              # lists a query reads when those in its ratio hold too few vectors; then 4 times as many, up to all
 
 
 def balanced_centroids(x, lists: int, seed: int = 3):
@@ -121,6 +123,20 @@ def _assign(centroids, ratio: float, beam: int):
     return run
 
 
+def _assign_first(centroids, m: int):
+    """As ``_assign``, to the ``m`` nearest lists."""
+    def run(batches):
+        import numpy as np
+        square = (centroids ** 2).sum(axis=1)
+        for b in batches:
+            for k in range(0, len(b), 512):
+                part = b.iloc[k:k + 512]
+                # without the vector's own square, the same for all lists
+                to = np.argsort(square - 2 * matrix(part["v"]) @ centroids.T, axis=1, kind="stable")[:, :m]
+                yield part.iloc[np.repeat(np.arange(len(part)), to.shape[1])].assign(list=to.ravel().astype(np.int32))
+    return run
+
+
 def _scan(k: int):
     def run(left, right):
         import numpy as np
@@ -157,8 +173,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, vector_col: str =
     Vectors that are null, zero or hold null or non-finite components, and
     rows without an id, take no part, nor do vectors of another length than
     most.  Rows with an equal vector are indexed once with their ``k + 1``
-    smallest ids (a larger id cannot be among the nearest ``k``).  Where all
-    lists together hold fewer than ``k`` candidates, all are returned.
+    smallest ids (a larger id cannot be among the nearest ``k``).  A query
+    whose lists hold fewer than ``k`` candidates reads further ones, in the
+    end all; only where the whole table has fewer, fewer are returned.
     """
     spark = rows.sparkSession
     prepare(spark)
@@ -182,19 +199,35 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, vector_col: str =
 
     posts = cut(index.mapInPandas(_assign(centroids, closure, INDEX_BEAM), "v array<float>, ids array<long>, list int")
                 .withColumn("h", F.xxhash64("ids")))
-    asked = cut(clean(queries, "query_id").filter(has_dim).mapInPandas(
-        _assign(centroids, prune, BEAM), "query_id long, v array<float>, list int"))
-    size = posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vb"))
-    asks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qb"))
-    # one row per list, at most MOST_LISTS
-    blocks = cut(size.join(asks, "list"))
-    posts = posts.join(F.broadcast(blocks), "list").select(
-        "v", "ids", "list", F.pmod("h", F.col("vb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("c"))
-    asked = asked.join(F.broadcast(blocks), "list").select(
-        "v", "query_id", "list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("b"),
-        F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("c"))
-    found = posts.groupBy("list", "b", "c").cogroup(asked.groupBy("list", "b", "c")).applyInPandas(
-        _scan(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    sizes = cut(posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")))
+
+    def scanned(asked):
+        size = sizes.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("vb"))
+        asks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qb"))
+        # one row per list, at most MOST_LISTS
+        blocks = cut(size.join(asks, "list"))
+        of_list = posts.join(F.broadcast(blocks), "list").select(
+            "v", "ids", "list", F.pmod("h", F.col("vb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("c"))
+        asked = asked.join(F.broadcast(blocks), "list").select(
+            "v", "query_id", "list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("b"),
+            F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("c"))
+        return of_list.groupBy("list", "b", "c").cogroup(asked.groupBy("list", "b", "c")).applyInPandas(
+            _scan(k), "query_id long, vec_id long, score double").distinct()
+
+    def ranked(found):
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+            "query_id", "rank", "vec_id", "score")
+
+    asking, to = cut(clean(queries, "query_id").filter(has_dim)), "query_id long, v array<float>, list int"
+    best = cut(ranked(scanned(cut(asking.mapInPandas(_assign(centroids, prune, BEAM), to)))))
+    read, every = 1, len(centroids)
+    while read < every:
+        enough = best.groupBy("query_id").count().filter(F.col("count") >= k)
+        asking = cut(asking.join(enough, "query_id", "left_anti"))
+        if asking.isEmpty():
+            break
+        read = min(max(MORE, 4 * read), every)
+        more = scanned(cut(asking.mapInPandas(_assign_first(centroids, read), to)))
+        best = cut(ranked(best.select("query_id", "vec_id", "score").union(more).distinct()))
+    return best

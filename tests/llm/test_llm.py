@@ -180,6 +180,22 @@ def test_nearest(spark):
     assert posting_lists.nearest(df.limit(0), df).count() == 0
 
 
+def test_nearest_reads_on_where_its_lists_hold_too_few(spark):
+    rng = np.random.default_rng(4)
+    x, y = np.array([1.0] * 4 + [0.0] * 4), np.array([0.0] * 4 + [1.0] * 4)
+    v = np.concatenate([x + rng.normal(size=(640, 8)) / 1000, y + rng.normal(size=(384, 8)) / 1000,
+                        [x + (y - x) * t for t in (0.4, 0.5, 0.55, 0.6)]])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in posting_lists.nearest(df, df.filter("vec_id >= 1024 or vec_id in (0, 700)")).collect():
+        got[r.query_id].append(r.vec_id)
+    assert {q: len(set(ids)) for q, ids in got.items()} == dict.fromkeys([0, 700, *range(1024, 1028)], 10)
+    # k beyond what most lists hold, and beyond the table
+    for k in (700, 2000):
+        n = posting_lists.nearest(df, df.filter("vec_id in (0, 700, 1025)"), k=k).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in n} == dict.fromkeys([0, 700, 1025], min(k, len(v) - 1))
+
+
 def test_mixing(spark, docs):
     weights, seen = (5, 2, 1), {}
     for _ in range(2):
