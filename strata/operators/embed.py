@@ -45,15 +45,16 @@ def separability_pca(df: DataFrame, features: Sequence[str] | str, id_col: str,
 
 
 def decision_grid(df: DataFrame, features: Sequence[str], id_col: str, y: str, n: int = 300,
-                  max_iter: int = 100, kind: str = "logistic", params: dict | None = None) -> DataFrame:
+                  kind: str = "logistic", params: dict | None = None) -> DataFrame:
     """M-10: a model of ``kind`` (logistic | linear_svc | gbt) refit on
     (pc1, pc2) with class weights, scored on an n x n grid over the
-    projected range (gx, gy, p)."""
+    projected range (gx, gy, p).  Without ``params`` the library defaults
+    of the kind hold."""
     from strata.operators import train as TR
 
     proj = separability_pca(df, features, id_col, y)
     b = proj.agg(F.min("pc1"), F.max("pc1"), F.min("pc2"), F.max("pc2")).first()
-    spec = TR.ModelSpec(kind, params or ({"maxIter": max_iter} if kind != "gbt" else {"maxIter": 10}))
+    spec = TR.ModelSpec(kind, params or {})
     model = TR.fit(proj, ["pc1", "pc2"], y, spec, final=True)
     spark = df.sparkSession
     x0, x1, y0, y1 = (float(v) for v in b)

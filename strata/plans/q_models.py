@@ -3,16 +3,16 @@ explanations, embeddings, iterative imputation).
 
 Fits are not SQL-expressible, so most of these have no oracle; their
 properties are covered by tests (SHAP additivity, fold balance, isotonic
-monotonicity, observed cells untouched, CI ordering).  Registered fits use
-small iteration counts (trees <= 10 for boosting) so the check stays fast;
-the library defaults are the reference's (500 trees, 100-tree forests,
-10 / 50 imputation rounds).
+monotonicity, observed cells untouched, CI ordering).  Every fit is
+registered with the library defaults (500 boosted trees, 100-tree forests,
+2000 logistic iterations, 10 / 50 imputation rounds, 5 benchmark repeats).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strata.config import ImputationCfg
 from strata.operators import calibrate as CA
 from strata.operators import embed as EM
 from strata.operators import encode as EN
@@ -25,10 +25,11 @@ from strata.plans.registry import register
 from strata.sources.fixtures import oracle_cte, scored, table
 
 FEATS = QC.ENC_FEATS
-GBT = TR.ModelSpec("gbt", {"maxIter": 10})
-FOREST = TR.ModelSpec("forest", {"numTrees": 20, "maxDepth": 5})
-LOGIT = TR.ModelSpec("logistic", {"maxIter": 100})
-SVC = TR.ModelSpec("linear_svc", {"maxIter": 50})
+GBT = TR.ModelSpec("gbt")
+FOREST = TR.ModelSpec("forest")
+LOGIT = TR.ModelSpec("logistic")
+SVC = TR.ModelSpec("linear_svc")
+MICE_ROUNDS = ImputationCfg.mice_max_iter  # the job's default; the operator alone stops at 10
 
 
 def _train_table(spark, sf):
@@ -177,25 +178,25 @@ def _impute_input(spark, sf):
 
 @register("impute_mice", ops="I-3 I-4 I-6 I-7 F-12 J-8", heavy=True)
 def impute_mice(spark, sf):
-    return IM.impute(_impute_input(spark, sf), QC.ID, FEATS, "mice", max_iter=2, tol=1e-3, n_nearest=30)
+    return IM.impute(_impute_input(spark, sf), QC.ID, FEATS, "mice", max_iter=MICE_ROUNDS, tol=1e-3, n_nearest=30)
 
 
 @register("impute_mice_posterior", ops="I-3 I-5 F-13", heavy=True)
 def impute_mice_posterior(spark, sf):
-    return IM.mice_impute(_impute_input(spark, sf), QC.ID, FEATS, max_iter=1, sample_posterior=True, seed=0,
+    return IM.mice_impute(_impute_input(spark, sf), QC.ID, FEATS, max_iter=MICE_ROUNDS, sample_posterior=True, seed=0,
                           min_value=0.0, add_indicator=True)
 
 
 @register("impute_forest", ops="I-2 I-8", heavy=True)
 def impute_forest(spark, sf):
-    return IM.impute(_impute_input(spark, sf), QC.ID, FEATS, "missforest", max_iter=1, num_trees=10, max_depth=5)
+    return IM.impute(_impute_input(spark, sf), QC.ID, FEATS, "missforest")
 
 
 @register("impute_benchmark", ops="I-9", heavy=True)
 def impute_benchmark(spark, sf):
     return IM.imputation_benchmark(_impute_input(spark, sf).select(QC.ID, *FEATS), QC.ID, FEATS,
-                                   methods=("mice", "missforest"), mask_frac=0.10, repeats=1, seed=42,
-                                   mice={"max_iter": 2}, forest={"max_iter": 1, "num_trees": 10, "max_depth": 5})
+                                   methods=("mice", "missforest"), mask_frac=0.10, repeats=5, seed=42,
+                                   mice={"max_iter": MICE_ROUNDS})
 
 
 # --------------------------------------------------------- V3: documents

@@ -134,3 +134,35 @@ def test_posterior_sampling_deterministic_and_observed_kept(spark):
     j = a.alias("a").join(b.alias("b"), QC.ID).join(c.alias("c"), QC.ID)
     assert j.where(F.col("a.day_num") != F.col("b.day_num")).count() == 0
     assert j.where(F.col("a.day_num") != F.col("c.day_num")).count() > 0
+
+
+def test_registered_fits_use_the_library_defaults(spark, monkeypatch):
+    from strata.operators import embed, impute, train
+    from strata.plans import q_models as Q
+
+    gbt, forest = train.make_learner(Q.GBT), train.make_learner(Q.FOREST)
+    assert (gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize()) == (500, 3, 0.02)
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 10)
+    assert train.make_learner(Q.LOGIT).getMaxIter() == 2000 and train.make_learner(Q.SVC).getMaxIter() == 100
+    calls = []
+    monkeypatch.setattr(Q, "_impute_input", lambda spark, sf: spark.range(1).selectExpr("*", *[f"0 AS `{c}`" for c in {Q.QC.ID, *Q.FEATS} - {"id"}]))
+    for name in ("impute", "mice_impute", "imputation_benchmark"):
+        monkeypatch.setattr(impute, name, lambda *a, _name=name, **kw: calls.append((_name, a[3:], kw)))
+    for query in ("impute_mice", "impute_forest", "impute_mice_posterior", "impute_benchmark"):
+        getattr(Q, query)(spark, SF_SMALL)
+    (_, a1, mice), (_, a2, miss), (_, _, post), (_, _, bench) = calls
+    assert a1 == ("mice",) and mice["max_iter"] == 50 and post["max_iter"] == 50
+    assert a2 == ("missforest",) and not {"max_iter", "num_trees", "max_depth"} & set(miss)
+    assert bench["repeats"] == 5 and bench["mice"] == {"max_iter": 50} and "forest" not in bench
+
+    class Stop(Exception):
+        pass
+
+    def fit(df, features, y, spec, final=True):
+        assert train.make_learner(spec).getMaxIter() == 500
+        raise Stop
+
+    monkeypatch.setattr(train, "fit", fit)
+    df = spark.createDataFrame([(i, float(i), float(i * i % 7), i % 2) for i in range(20)], "id long, a double, b double, y int")
+    with pytest.raises(Stop):
+        embed.decision_grid(df, ["a", "b"], "id", "y", n=3, kind="gbt")
