@@ -118,10 +118,12 @@ def train_stage(spark: SparkSession, cfg: JobCfg, table: DataFrame) -> dict[str,
     }, os.path.join(out, "cv_report"))
     final = TR.fit(table, feats, target, spec, final=True)
     path = TR.save_model(final, os.path.join(out, "final_model"))
-    if t.kind == "gbt":
+    if t.kind in ("gbt", "forest"):
         long = EX.tree_shap(table, final, path, feats, d.id_col)
-        reports.update(IO.write_report({"shap_mean_abs": PR.ordered(EX.mean_abs(long), F.desc("mean_abs_shap"),
-                                                                    "feature")}, os.path.join(out, "shap")))
+    else:
+        long = EX.linear_shap(table, final.coefficients.toArray(), feats, d.id_col)
+    reports.update(IO.write_report({"shap_mean_abs": PR.ordered(EX.mean_abs(long), F.desc("mean_abs_shap"),
+                                                                "feature")}, os.path.join(out, "shap")))
     scores = oof
     if e.do_calibration:
         # M-9: calibrator fitted on out-of-fold scores, saved beside the model

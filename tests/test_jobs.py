@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -51,3 +52,14 @@ def test_reader_rejects_unknown_extension_and_missing_path(spark):
         IO.read_cohort(spark, "/tmp/cohort.xlsx")
     with pytest.raises(Exception):
         IO.read_cohort(spark, "/tmp/definitely-missing-strata/cohort.csv").count()
+
+
+@pytest.mark.parametrize("kind, params", [("forest", {"numTrees": 2, "maxDepth": 8}), ("logistic", {"maxIter": 5})])
+def test_train_stage_reports_shap_of_every_kind(spark, kind, params, tmp_path):
+    # nine distinct rows: no score is without a draw in the bootstrap
+    rows = [(i, float(i % 3), float(i // 3 % 3), int(i % 3 + i % 5 > 3)) for i in range(300)]
+    table = spark.createDataFrame(rows, "id long, a double, b double, target int")
+    cfg = JobCfg(output_dir=str(tmp_path), data=DataCfg(id_col="id", target_col="target"),
+                 training=TrainCfg(kind=kind, params=params, n_splits=2), evaluation=EvalCfg(bootstrap_b=5))
+    reports = jobs.train_stage(spark, cfg, table)["reports"]
+    assert {r["feature"] for r in spark.read.parquet(reports["shap_mean_abs"]).collect()} == {"a", "b"}

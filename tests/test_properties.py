@@ -166,3 +166,47 @@ def test_registered_fits_use_the_library_defaults(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i), float(i * i % 7), i % 2) for i in range(20)], "id long, a double, b double, y int")
     with pytest.raises(Stop):
         embed.decision_grid(df, ["a", "b"], "id", "y", n=3, kind="gbt")
+
+
+def test_shap_of_leaves_with_many_features_against_all_subsets():
+    import itertools
+    import math
+    rng = np.random.default_rng(5)
+    for s in (1, 2, 5, 8, 9):
+        leaves = [{"value": float(rng.normal()), "feats": [(int(f), *sorted(rng.normal(size=2).tolist()), float(rng.uniform(0.1, 0.9)))
+                                                          for f in sorted(rng.choice(10, s, replace=False))]} for _ in range(3)]
+        leaves.append({"value": 0.5, "feats": []})
+        x = rng.normal(size=(4, 10))
+        phi, base = EX.shap_values(x, leaves, 10)
+        want, mean = np.zeros((4, 10)), 0.0
+        for leaf in leaves:
+            r = [f[3] for f in leaf["feats"]]
+            mean += leaf["value"] * math.prod(r)
+            for row in range(4):
+                a = [float(lo < x[row, f] <= hi) for f, lo, hi, _ in leaf["feats"]]
+                for i, (f, *_) in enumerate(leaf["feats"]):
+                    others = [j for j in range(s) if j != i]
+                    for t in range(s):
+                        for sub in itertools.combinations(others, t):
+                            c = math.factorial(t) * math.factorial(s - t - 1) / math.factorial(s)
+                            rest = math.prod(a[j] if j in sub else r[j] for j in others)
+                            want[row, f] += leaf["value"] * c * rest * (a[i] - r[i])
+        assert np.allclose(phi, want, atol=1e-12) and abs(base - mean) < 1e-12
+
+
+def test_shap_of_a_deep_forest(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 12))
+    y = (np.sin(3 * x[:, :6]).sum(axis=1) + x[:, 6] * x[:, 7] > 0).astype(int)
+    names = [f"f{i}" for i in range(12)]
+    df = spark.createDataFrame([(i, *r.tolist(), int(t)) for i, (r, t) in enumerate(zip(x, y))],
+                               "id long, " + ", ".join(f"{n} double" for n in names) + ", y int")
+    spec = TR.ModelSpec("forest", {"numTrees": 4})
+    model = TR.fit(df, names, "y", spec)
+    assert max(t.depth for t in model.trees) > 6
+    path = TR.save_model(model, TR.model_dir(spark, "deep"))
+    some = df.where("id % 50 = 0")
+    got = {int(r["id"]): r["s"] for r in EX.tree_shap(some, model, path, names, "id").groupBy("id").agg(
+        (F.first("base") + F.sum("phi")).alias("s")).collect()}
+    p = {r["id"]: r["p"] for r in TR.score(model, some, names, "forest", "id", "y").collect()}
+    assert len(got) == 30 and all(abs(got[i] - p[i]) < 1e-9 for i in p)
