@@ -19,8 +19,8 @@ def derive_m1_target(grade: str = "grade", out: str = "y") -> Column:
 
 
 def derive_m2_cohort(df: DataFrame, grade: str = "grade", out: str = "y") -> DataFrame:
-    """P-7: keep grade >= 1; severe (grade >= 3) is the positive class."""
-    return df.where(F.col(grade) >= 1).withColumn(out, (F.col(grade) >= 3).cast("int"))
+    """P-7: keep grade >= 1; severe (P-8) is the positive class."""
+    return df.where(F.col(grade) >= 1).withColumn(out, final_label(grade, out))
 
 
 def final_label(grade: str = "grade", out: str = "y") -> Column:

@@ -33,7 +33,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,16 +202,27 @@ def linear_shap(df: DataFrame, weights: Sequence[float], features: Sequence[str]
         .select("id", "r.*")
 
 
-def group_parents(ranking: DataFrame, parents: Sequence[str], value_col: str = "mean_abs_shap") -> DataFrame:
-    """X-4 / F-15 / U-2: sum the scores of one-hot columns named
-    ``<parent>_``, ``<parent>=`` or ``<parent>__`` (case-insensitive) into
-    their parent; other features keep their own score.  Of several parents
-    that fit (``segment`` and ``segment_x``) the longest one counts."""
+def _parent(parents: Sequence[str]) -> Column:
+    """The parent of the column named in ``feature``, null without one: it is
+    ``<parent>_``, ``<parent>=`` or ``<parent>__`` and more (case-insensitive);
+    of several that fit (``segment`` and ``segment_x``) the longest counts."""
     parent, name = F.lit(None).cast("string"), F.lower("feature")
     for p in sorted(parents, key=len):
         fits = name.startswith(f"{p.lower()}_") | name.startswith(f"{p.lower()}=")
         parent = F.when(fits, F.lit(p)).otherwise(parent)
-    return (ranking.withColumn("_parent", F.coalesce(parent, F.col("feature")))
+    return parent
+
+
+def parent_columns(features: DataFrame, parents: Sequence[str]) -> DataFrame:
+    """S-9: (parent, column), a row for each one-hot column of ``feature``."""
+    return features.select(_parent(parents).alias("parent"), F.col("feature").alias("column")) \
+        .where(F.col("parent").isNotNull()).distinct()
+
+
+def group_parents(ranking: DataFrame, parents: Sequence[str], value_col: str = "mean_abs_shap") -> DataFrame:
+    """X-4 / F-15 / U-2: sum the scores of one-hot columns into their parent
+    (S-9); other features keep their own score."""
+    return (ranking.withColumn("_parent", F.coalesce(_parent(parents), F.col("feature")))
             .groupBy(F.col("_parent").alias("feature")).agg(F.sum(value_col).alias(value_col)))
 
 

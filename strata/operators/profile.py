@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.clean import numeric_columns, q, string_columns
+from strata.functions.clean import numeric_columns, q
 from strata.functions.prefix import running_sums
 from strata.session import cut_lineage, spread
 
@@ -55,18 +55,20 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def describe_all(df: DataFrame, exact: bool = True) -> DataFrame:
-    """A-2: count, unique, top, freq (text columns); mean, std, min,
+    """A-2: count, unique, top, freq (columns of any type but numeric, by
+    their text; binary ones by their hexadecimal digits); mean, std, min,
     25/50/75 %, max (numeric columns); one row per column.
 
-    Numeric statistics: one aggregation.  Text statistics: one
-    ``groupBy(feature, value).count()`` over the unpivoted text columns,
+    Numeric statistics: one aggregation.  The others: one
+    ``groupBy(feature, value).count()`` over the unpivoted columns,
     then two aggregations per feature (no window over a feature, since a
     high-cardinality text column such as an id would fill one partition).
     Ties for ``top`` go to the smallest value.
     """
     spark = df.sparkSession
     num = numeric_columns(df)
-    txt = string_columns(df)
+    txt = [c for c in df.columns if c not in num]
+    kinds = dict(df.dtypes)
     parts = []
     if num:
         aggs = []
@@ -84,12 +86,13 @@ def describe_all(df: DataFrame, exact: bool = True) -> DataFrame:
         parts.append(basic.join(F.broadcast(qt), "feature", "left").select(
             "feature", "count", "unique", "top", "freq", "mean", "std", "min", "q25", "q50", "q75", "max"))
     if txt:
-        long = df.select(_rows([F.struct(F.lit(c).alias("feature"), q(c).alias("value")) for c in txt])) \
+        long = df.select(_rows([F.struct(F.lit(c).alias("feature"), (
+            F.hex(q(c)) if kinds[c] == "binary" else q(c).cast("string")).alias("value")) for c in txt])) \
             .select("r.*").where(F.col("value").isNotNull())
         vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
         per = vc.groupBy("feature").agg(F.sum("cnt").alias("count"), F.count(F.lit(1)).alias("unique"),
                                        F.max("cnt").alias("freq"))
-        # per has one row per text column (bounded by the schema): broadcast it
+        # per has one row per column (bounded by the schema): broadcast it
         top = (vc.join(F.broadcast(per.select("feature", F.col("freq").alias("cnt"))), on=["feature", "cnt"])
                .groupBy("feature").agg(F.min("value").alias("top")))
         names = spark.createDataFrame([(c,) for c in txt], "feature string")

@@ -60,13 +60,17 @@ def prepare(spark: SparkSession, cfg: JobCfg, path: str) -> dict[str, str]:
     enc = cut_lineage(enc)
     feats = [c for c in CL.numeric_columns(enc) if c not in (d.id_col, target)]
     text = [c for c in enc.columns if c not in feats and c not in (d.id_col, target)]
-    imp = IM.impute(enc.select(d.id_col, *feats, target), d.id_col, feats, cfg.imputation.method,
-                    **({"max_iter": cfg.imputation.mice_max_iter, "tol": cfg.imputation.mice_tol,
-                        "n_nearest": cfg.imputation.mice_n_nearest, "min_value": cfg.imputation.mice_min_value,
-                        "max_value": cfg.imputation.mice_max_value, "add_indicator": cfg.imputation.add_indicator}
-                       if cfg.imputation.method.lower() == "mice" else
-                       {"max_iter": cfg.imputation.forest_max_iter, "num_trees": cfg.imputation.forest_num_trees,
-                        "max_depth": cfg.imputation.forest_max_depth}))
+    i = cfg.imputation
+    mice = {"max_iter": i.mice_max_iter, "tol": i.mice_tol, "n_nearest": i.mice_n_nearest, "min_value": i.mice_min_value,
+            "max_value": i.mice_max_value}
+    forest = {"max_iter": i.forest_max_iter, "num_trees": i.forest_num_trees, "max_depth": i.forest_max_depth}
+    if i.eval_enabled:
+        arts["imputation_benchmark"] = IO.write_snapshot(
+            IM.imputation_benchmark(enc.select(d.id_col, *feats), d.id_col, feats, mask_frac=i.eval_mask_frac,
+                                    repeats=i.eval_repeats, mice=mice, forest=forest),
+            os.path.join(out, "imputation_benchmark"))
+    imp = IM.impute(enc.select(d.id_col, *feats, target), d.id_col, feats, i.method,
+                    **({**mice, "add_indicator": i.add_indicator} if i.method.lower() == "mice" else forest))
     imp = CL.round_half_even_int(imp, [c for c in d.int_cols if c in imp.columns])
     imp = CL.order_columns(imp, d.id_col, target)
     if text:
@@ -164,7 +168,9 @@ def cascade(spark: SparkSession, cfg: JobCfg, table: DataFrame, m1_path: str, m2
     d, e = cfg.data, cfg.evaluation
     target = CL.target_column(table, d.target_col)
     table = CL.drop_features(table, d.drop_features, d.drop_feature_enable)
-    feats = [c for c in table.columns if c not in (d.id_col, target)]
+    if d.grade_col:
+        table = table.withColumn(target, C.final_label(d.grade_col, target))
+    feats = [c for c in table.columns if c not in (d.id_col, target, d.grade_col)]
     kind = cfg.training.kind
     s1 = TR.score(TR.load_model(kind, m1_path), table, feats, kind, d.id_col, target)
     s2 = TR.score(TR.load_model(kind, m2_path), table, feats, kind, d.id_col, target)

@@ -137,13 +137,23 @@ def _group_sql():
             f"SELECT parent AS feature, sum(s) AS mean_abs_shap FROM ({per} UNION ALL {grade}) GROUP BY parent")
 
 
-@register("shap_group_parents", _group_sql(), dbl=["mean_abs_shap"], ops="X-4 X-5 F-15 U-2 S-9 F-16")
-def shap_group_parents(spark, sf):
+def _one_hot_ranking(spark, sf):
     kept = QC._kept(spark, sf)
     oh = EN.one_hot(kept.select(QC.ID, "grade", *GROUP_PARENTS), GROUP_PARENTS)
     feats = [c for c in oh.columns if c != QC.ID]
-    ranking = EX.mean_abs(EX.linear_shap(oh, [1.0] * len(feats), feats, QC.ID))
-    return EX.group_parents(ranking, GROUP_PARENTS)
+    return EX.mean_abs(EX.linear_shap(oh, [1.0] * len(feats), feats, QC.ID))
+
+
+@register("shap_group_parents", _group_sql(), dbl=["mean_abs_shap"], ops="X-4 X-5 F-15 U-2 F-16")
+def shap_group_parents(spark, sf):
+    return EX.group_parents(_one_hot_ranking(spark, sf), GROUP_PARENTS)
+
+
+@register("shap_parent_columns", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{p}', '{p}_{v}')" for p, values in (("segment", SEGMENTS), ("priority_txt", PRIORITIES)) for v in values) +
+          ") AS t(parent, \"column\")", ops="S-9")
+def shap_parent_columns(spark, sf):
+    return EX.parent_columns(_one_hot_ranking(spark, sf), GROUP_PARENTS)
 
 
 @register("background_sample", oracle_cte("scored") +

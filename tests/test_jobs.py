@@ -63,3 +63,34 @@ def test_train_stage_reports_shap_of_every_kind(spark, kind, params, tmp_path):
                  training=TrainCfg(kind=kind, params=params, n_splits=2), evaluation=EvalCfg(bootstrap_b=5))
     reports = jobs.train_stage(spark, cfg, table)["reports"]
     assert {r["feature"] for r in spark.read.parquet(reports["shap_mean_abs"]).collect()} == {"a", "b"}
+
+
+def test_prepare_runs_the_imputation_benchmark_when_enabled(spark, tmp_path, monkeypatch):
+    csv = IO.write_cohort_csv(cohort_raw(spark, SF_SMALL), str(tmp_path / "cohort.csv"))
+    seen = {}
+
+    def benchmark(df, id_col, cols, **kw):
+        seen.update(kw)
+        return spark.createDataFrame([("mice", 0)], "method string, repeat int")
+
+    monkeypatch.setattr(jobs.IM, "imputation_benchmark", benchmark)
+    cfg = JobCfg(output_dir=str(tmp_path), data=DataCfg(id_col="id", target_col="target", categorical_cols=("segment",)),
+                 imputation=ImputationCfg(method="mice", mice_max_iter=1, eval_enabled=True, eval_mask_frac=0.2, eval_repeats=3))
+    arts = jobs.prepare(spark, cfg, csv)
+    assert spark.read.parquet(arts["imputation_benchmark"]).count() == 1
+    assert (seen["mask_frac"], seen["repeats"], seen["mice"]["max_iter"], seen["forest"]["num_trees"]) == (0.2, 3, 1, 100)
+
+
+def test_cascade_truth_is_derived_from_the_grade(spark, tmp_path, monkeypatch):
+    rows = [(i, float(i % 3), i % 5, 0) for i in range(60)]
+    table = spark.createDataFrame(rows, "id long, a double, grade int, target int")
+    monkeypatch.setattr(jobs.TR, "load_model", lambda kind, path: path)
+
+    def score(model, df, feats, kind, id_col, y):
+        assert feats == ["a"]
+        return df.select("id", F.col(y).alias("y"), (F.col("a") / 3).alias("p"))
+
+    monkeypatch.setattr(jobs.TR, "score", score)
+    cfg = JobCfg(output_dir=str(tmp_path), data=DataCfg(id_col="id", target_col="target", grade_col="grade"))
+    pred = spark.read.parquet(jobs.cascade(spark, cfg, table, "m1", "m2")["Predictions"])
+    assert {r["ID"]: r["y_true"] for r in pred.collect()} == {i: int(g >= 3) for i, _, g, _ in rows}

@@ -238,3 +238,20 @@ def test_quantiles_and_rank_metrics_of_many_buckets_with_null_and_nan(spark, mon
     assert got[0.0] == kept[0] and got[0.5] == (kept[134] + kept[135]) / 2 and got[1.0] != got[1.0]
     row = M.rank_metrics(df, "y", "x").first()
     assert (row["n_pos"], row["n_neg"]) == (150, 150)
+
+
+def test_describe_columns_of_every_type(spark):
+    df = spark.sql("SELECT * FROM VALUES (true, DATE'2024-01-02', TIMESTAMP'2024-01-02 03:04:05', X'FF', array(1, 2)), "
+                   "(true, DATE'2024-01-01', NULL, X'FE', array(1, 2)), (false, DATE'2024-01-02', NULL, X'FE', NULL) AS t(b, d, t, x, a)")
+    got = {r["feature"]: (r["count"], r["unique"], r["top"], r["freq"]) for r in PR.describe_all(df).collect()}
+    assert got == {"b": (3, 2, "true", 2), "d": (3, 2, "2024-01-02", 2), "t": (1, 1, "2024-01-02 03:04:05", 1),
+                   "x": (3, 2, "FE", 2), "a": (2, 1, "[1, 2]", 2)}
+    both = PR.describe_all(df.selectExpr("1.5 AS n", "d")).collect()
+    assert sorted(r["feature"] for r in both) == ["d", "n"]
+
+
+def test_parent_columns(spark):
+    from strata.operators.explain import parent_columns
+    df = spark.createDataFrame([("seg_A",), ("SEG=B",), ("seg_x_C",), ("age",)], "feature string")
+    got = {tuple(r) for r in parent_columns(df, ["seg", "seg_x"]).collect()}
+    assert got == {("seg", "seg_A"), ("seg", "SEG=B"), ("seg_x", "seg_x_C")}

@@ -19,11 +19,11 @@ WHERE = {
     "S-3": "sources/io.py read_cohort (unknown extension, missing path)", "S-4": "sources/io.py write_snapshot",
     "S-5": "sources/io.py write_report/read_report", "S-6": "sources/io.py write_mapping/read_mapping",
     "S-7": "operators/train.py save_model/load_model", "S-8": "operators/calibrate.py save/load_threshold, save/load_calibrator",
-    "S-9": "operators/explain.py group_parents (parents list)", "S-10": "sources/io.py type_columns; functions/clean.py null_tokens_to_null",
+    "S-9": "operators/explain.py parent_columns", "S-10": "sources/io.py type_columns; functions/clean.py null_tokens_to_null",
     "P-1": "functions/clean.py drop_features", "P-2": "functions/clean.py split_xy; operators/train.py prepare",
     "P-3": "functions/clean.py target_column", "P-4": "functions/clean.py numeric_columns",
     "P-5": "functions/clean.py drop_high_row_missing", "P-6": "operators/cascade.py derive_m1_target",
-    "P-7": "operators/cascade.py derive_m2_cohort", "P-8": "operators/cascade.py final_label",
+    "P-7": "operators/cascade.py derive_m2_cohort", "P-8": "operators/cascade.py final_label; plans/jobs.py cascade (data.grade_col)",
     "P-9": "functions/clean.py rescale_for_display", "P-10": "operators/metrics.py predict_label",
     "P-11": "functions/clean.py order_columns", "P-12": "operators/metrics.py pr_points",
     "J-1": "operators/cascade.py keyed_cascade; plans/jobs.py cascade", "J-2": "operators/encode.py apply_mapping",
@@ -58,7 +58,7 @@ WHERE = {
     "I-3": "operators/impute.py mice_impute", "I-4": "operators/impute.py mice_impute (n_nearest)",
     "I-5": "operators/impute.py mice_impute (sample_posterior)", "I-6": "operators/impute.py (tol, max_iter)",
     "I-7": "operators/impute.py (observed kept)", "I-8": "operators/impute.py impute (dispatch)",
-    "I-9": "operators/impute.py imputation_benchmark",
+    "I-9": "operators/impute.py imputation_benchmark; plans/jobs.py prepare (eval_enabled)",
     "M-1": "operators/train.py make_learner (gbt)", "M-2": "operators/train.py _weights",
     "M-3": "operators/train.py cross_validate", "M-4": "operators/train.py fit + save_model",
     "M-5": "operators/train.py (forest)", "M-6": "operators/train.py (logistic)",
