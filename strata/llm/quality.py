@@ -154,8 +154,8 @@ def _backward(net: ByteNet, data: bytes, label: int, grad: dict) -> None:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text",
         id_col: str = "doc_id", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, **params) -> ByteNet:
     """Learn from labelled documents that are not held out: at most ``rows``
-    of each class, in the order of a hash of the id, none longer than
-    ``longest`` bytes.  Rows without id or label teach nothing; an id labelled
+    of each class, in the order of a hash of the id, from the documents of at
+    most ``longest`` bytes; an error where these lack a class of the labels.  Rows without id or label teach nothing; an id labelled
     more than once counts with its smallest label.  The sample holds the
     classes in equal parts; the fitted odds are then moved to those of all
     labels."""
@@ -165,15 +165,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
     known = cut(known)
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = (F.xxhash64("_llm_id"), F.col("_llm_id"))
-    known = cut(known.filter("y = 0").orderBy(*order).limit(rows).union(
-        known.filter("y = 1").orderBy(*order).limit(rows)))
-    # at most 2 x rows ids
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    sample = (docs.select(i.alias("_llm_i"), text.alias("t")).filter(F.octet_length("t") <= longest)
-              .join(F.broadcast(known), F.col("_llm_i") == F.col("_llm_id"))
+    texts = docs.select(i.alias("_llm_i"), text.alias("t"))
+    short = texts.filter(F.octet_length("t") <= longest)
+    fit_for = cut(known.join(short.select("_llm_i"), F.col("_llm_id") == F.col("_llm_i"), "left_semi"))
+    chosen = cut(fit_for.filter("y = 0").orderBy(*order).limit(rows).union(
+        fit_for.filter("y = 1").orderBy(*order).limit(rows)))
+    # at most 2 x rows ids
+    sample = (short.join(F.broadcast(chosen), F.col("_llm_i") == F.col("_llm_id"))
               .groupBy("_llm_id").agg(F.min(F.struct("t", "y")).alias("s")).orderBy(*order)
               .select("s.t", "s.y").collect())
     ys = [int(r["y"]) for r in sample]
+    if len(counts) == 2 and len(set(ys)) < 2 and (
+            ys or not texts.join(known, F.col("_llm_i") == F.col("_llm_id"), "left_semi").isEmpty()):
+        raise ValueError(f"labels have two classes, but the documents of at most {longest} bytes have labels {sorted(set(ys))} only")
     net = train([r["t"] for r in sample], ys, **params)
     if len(set(ys)) == 2:
         net.shift += math.log(counts[1] / counts[0]) - math.log(sum(ys) / (len(ys) - sum(ys)))

@@ -112,6 +112,19 @@ def test_secrets(spark):
     assert secret_scans.scan_secrets(rows.limit(0)).count() == 0
 
 
+def test_quality_chooses_among_the_texts_that_may_teach(spark, monkeypatch):
+    rows = [(i, "good words here " * (2 if i % 5 == 0 else 2000) if i % 2 else "junk ##", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, **kw: seen.append(labels) or quality.ByteNet(None, None, None, 0.0))
+    quality.fit(df, df, rows=15)
+    assert Counter(seen[0]) == {0: 15, 1: 15}
+    for some in (df.filter("quality = 0 or length(text) > 20000"), df.filter("length(text) > 20000")):
+        with pytest.raises(ValueError, match="two classes"):
+            quality.fit(some, df)
+    quality.fit(df.limit(0), df)
+
+
 def test_quality_learns_and_scores_whole_texts(spark):
     good = [prose(30 + k) for k in range(120)]
     bad = [t.replace(" ", "!! ").upper() for t in good]
