@@ -33,6 +33,10 @@ CLASSES = {
 }
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 HEX_ONLY = r"^[0-9A-Fa-f]+$"
+#: Between two separators is a piece of a candidate.
+SEPARATOR = r"[=/_-]+"
+#: A piece with a word of documentation is no entropy finding; what is left of its candidate is judged.
+WORD = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*(?i:example|sample|placeholder|dummy|changeme|your(?=[_-]))[A-Za-z0-9+]*"
 #: Candidates that one of these fits are never entropy findings.
 ALLOWED = (
     r"^[A-Za-z/_=+-]+$",                                                  # words, paths, rules: no digit at all
@@ -113,16 +117,39 @@ def _base_spans(kind: str) -> Column:
     return _ranked(F.filter(f"_llm_{kind}", long_enough), kind)
 
 
-def _entropy_spans(kind: str) -> Column:
-    letters, bits = CLASSES[kind]
-    of_hex = kind == "entropy_hex"
-
-    def high(m):
+def _kind(m: Column, kinds=tuple(CLASSES)) -> Column:
+    """The entropy kind of a match, null when it is no finding."""
+    kind = F.lit(None).cast("string")
+    fine = (F.length(m["match"]) >= WINDOW) & ~m["match"].rlike("|".join(ALLOWED))
+    for name in kinds:
+        letters, bits = CLASSES[name]
+        of_hex = name == "entropy_hex"
         x = F.lower(m["match"]) if of_hex else m["match"]
         mine = m["match"].rlike(HEX_ONLY) if of_hex else ~m["match"].rlike(HEX_ONLY)
-        return F.when(mine, _least_repetition(x, letters) <= most_repetition(bits)).otherwise(F.lit(False))
+        high = F.when(fine & mine, _least_repetition(x, letters) <= most_repetition(bits)).otherwise(F.lit(False))
+        kind = F.when(high, F.lit(name)).otherwise(kind)
+    return kind
+
+
+def _between(m: Column, pattern: str) -> Column:
+    """The parts of a match between the matches of ``pattern`` in it, with
+    their places in the text; short ones are left out."""
+    parts = F.split(m["match"], pattern, -1)
+    lengths = F.zip_with(parts, F.regexp_extract_all(m["match"], F.lit(pattern), F.lit(0)),
+                         lambda p, x: (F.length(p) + F.coalesce(F.length(x), F.lit(0))).cast("long"))
+    placed = F.zip_with(parts, _prefix_sums(lengths), lambda p, o: F.struct(
+        (m["start"] + o).alias("start"), (m["start"] + o + F.length(p)).alias("end"), p.alias("match")))
+    return F.filter(placed, lambda p: F.length(p["match"]) >= WINDOW)
+
+
+def _judged(found: Column, kinds=tuple(CLASSES)) -> Column:
+    return F.transform(found, lambda m: F.struct(m["start"], m["end"], m["match"], _kind(m, kinds).alias("kind")))
+
 
-    return _ranked(F.filter("_llm_candidate", high), kind)
+def _entropy_spans(judged: str) -> Column:
+    rank = lambda m: sum((F.when(m["kind"] == k, KINDS.index(k)).otherwise(0) for k in CLASSES), F.lit(0))
+    return F.transform(F.filter(judged, lambda m: m["kind"].isNotNull()), lambda m: F.struct(
+        m["start"], rank(m).alias("rank"), m["end"], m["kind"].alias("kind")))
 
 
 def _ranked(found: Column, kind: str) -> Column:
@@ -136,7 +163,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", name: str = "spans") -
 
     Base kinds are found by their patterns, leftmost and non-overlapping per
     kind; entropy findings are added and may overlap them; the allow-list
-    only suppresses entropy findings.  Null and empty texts have no spans;
+    only suppresses entropy findings, its words only the piece that holds one.
+    A hexadecimal piece of a candidate that is no finding is judged alone.  Null and empty texts have no spans;
     every input row stays once; an input column of that
     name is replaced.
     """
@@ -145,10 +173,16 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", name: str = "spans") -
     for kind, (pattern, _, _) in BASE.items():
         df = _matches(df, "_llm_text", f"_llm_{kind}", pattern)
     df = _matches(df, "_llm_text", "_llm_candidate", CANDIDATE)
-    df = df.withColumn("_llm_candidate", F.filter("_llm_candidate", lambda m: ~m["match"].rlike("|".join(ALLOWED))))
-    found = F.array_sort(F.concat(*map(_base_spans, BASE), *map(_entropy_spans, CLASSES)))
+    left = F.flatten(F.transform("_llm_candidate", lambda m: F.when(m["match"].rlike(WORD), _between(m, WORD)).otherwise(F.array(m))))
+    df = df.withColumn("_llm_judged", _judged(left))
+    # every window of a piece is one of its candidate: only a hexadecimal
+    # piece, whose class asks for less, can be a finding where the whole is none
+    missed = F.filter("_llm_judged", lambda m: m["kind"].isNull() & m["match"].rlike("[0-9A-Fa-f]{24}"))
+    pieces = F.flatten(F.transform(missed, lambda m: _between(m, SEPARATOR)))
+    df = df.withColumn("_llm_pieces", _judged(pieces, ("entropy_hex",)))
+    found = F.array_sort(F.concat(*map(_base_spans, BASE), *map(_entropy_spans, ("_llm_judged", "_llm_pieces"))))
     spans = F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"]))
-    return df.withColumn(name, spans).drop("_llm_text", "_llm_candidate", *[f"_llm_{k}" for k in BASE])
+    return df.withColumn(name, spans).drop("_llm_text", "_llm_candidate", "_llm_judged", "_llm_pieces", *[f"_llm_{k}" for k in BASE])
 
 
 def span_text(spans: Column) -> Column:

@@ -112,6 +112,18 @@ def test_secrets(spark):
     assert secret_scans.scan_secrets(rows.limit(0)).count() == 0
 
 
+def test_entropy_of_the_pieces_of_a_candidate(spark):
+    key, upper = "q7Zx2Lw9Vb4Nt8Rk1Hs6Yd3Fg5Jm0Pc", "0A1B2C3D4E5F60718293A4B5C6D7E8F9"
+    texts = {f"sample/dir/{key}": key, f"id is example_id={key}, so": key, f"sig={upper}": upper, f"see v1/{upper}/x": upper,
+             f"sample/{upper}": upper, f"x sample{key}": None, "example_of_a_long_name_without_any_key_2": None, f"é dummy_{upper}_dummy": upper}
+    df = spark.createDataFrame(list(texts.items()), "text string, want string")
+    for r in secret_scans.scan_secrets(df).collect():
+        found = [r.text[s.start:s.end] for s in r.spans if s.kind.startswith("entropy")]
+        assert len(found) == (r.want is not None) and all(r.want in f and "sample" not in f and "example" not in f for f in found), (r, found)
+    for r in secret_scans.redact(df).collect():
+        assert r.want is None or r.want not in r.text
+
+
 def test_quality_chooses_among_the_texts_that_may_teach(spark, monkeypatch):
     rows = [(i, "good words here " * (2 if i % 5 == 0 else 2000) if i % 2 else "junk ##", i % 2) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
