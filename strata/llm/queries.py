@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -84,8 +85,33 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.conversations import damaged, digests, repair
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = repair(damaged(rows))
+    found = report.join(digests(repaired).withColumnRenamed("conv", "conv_"), F.col("conv").eqNullSafe(F.col("conv_")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.suffix_tree_lm import score_texts
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) == 0
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from strata.llm.alignment import align_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokenizers(docs, tokenizer_path(), public_tokenizers.path(PIECES))[0]
+
+
 _ALL = (op1_token_counts, op2_url_filters, op3_secret_scans, op4_quality, op5_simhash, op6_nearest, op7_mixing, op8_packing,
-        op9_embedding_dedup, op10_suffix_dedup)
+        op9_embedding_dedup, op10_suffix_dedup, op11_conversation_repair, op12_lm_scores, op13_tokenizer_alignment)
 
 
 def _prepared(query):
