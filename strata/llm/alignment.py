@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import bpe
-from strata.llm.blocks import pack, unpack
+from strata.llm.blocks import pack, parts_for, unpack
 from strata.llm.common import cut, prepare, work_path
 
-BLOCK = 16 << 20      # bytes of texts in a block
-STEP = 2 << 20        # bytes of texts that Arrow aligns at once
+BLOCK = 4 << 20       # bytes of texts in a block
+STEP = 1 << 20        # bytes of texts that Arrow aligns at once
 MAX_KEPT = 400_000    # words whose pieces a worker keeps; beyond, it starts anew
 LONG = 60             # characters; longer words are not kept
 
@@ -192,9 +192,9 @@ def _block(block: int, ids: list, id_type, texts: list[str], a, b) -> pa.RecordB
     row = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type))]
     row += [pa.array([per_doc[k]], pa.list_(pa.int64())) for k in ("n_a", "n_b", "n_groups", "n_links")]
     row += [pa.array([per_doc["groups_sha256"]], pa.list_(pa.string())),
-            pa.array([[{"k": k, "a": p >> 32, "b": p & 0xFFFFFFFF, "n": n}
-                       for k, (p, n) in enumerate(zip(pairs.tolist(), counts["pair_count"].to_pylist()))]],
-                     pa.list_(pa.struct([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))),
+            pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(np.arange(len(pairs))), pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF),
+                 counts["pair_count"].combine_chunks()], ["k", "a", "b", "n"])),
             pa.array([pack(which.to_numpy().astype(np.int64))], pa.binary())]
     return pa.RecordBatch.from_arrays(row, ["block", "ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "which"])
 
@@ -276,9 +276,10 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text_col: str =
     most = counts.groupBy(F.col("b").alias("b_")).agg(F.max("count").alias("most"))
     pairs = counts.join(most, F.col("b") == F.col("b_")).select(
         "a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+    n_parts = parts_for(docs, text_col, BLOCK)
     told = asked.select("block", "k", F.col("a").alias("a_"), F.col("b").alias("b_")).join(
-        pairs, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_"))).groupBy(F.col("block").alias("block_")).agg(
+        pairs, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_"))).repartition(n_parts, "block").groupBy(F.col("block").alias("block_")).agg(
         F.collect_list(F.struct("k", "count", F.col("best").cast("long").alias("best"))).alias("told"))
-    out = blocks.drop("pairs").join(told, F.col("block") == F.col("block_"), "left").drop("block_").mapInArrow(
+    out = blocks.drop("pairs").repartition(n_parts, "block").join(told, F.col("block") == F.col("block_"), "left").drop("block_").mapInArrow(
         _sum_up, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return out.withColumnRenamed("id", id_col), pairs

@@ -10,7 +10,9 @@ most once from a block.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import work_path
 
 SUMS = "block long, bucket long, sums binary, new long"
+TOGETHER = 16         # blocks, and buckets of their keys, that one task may hold
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,19 +100,43 @@ def ask(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarra
                      pa.array([pack_signed(n) for n in np.split(nums, at[1:])], pa.binary())],
                     ["bucket", "block", "keys", "nums"])
 
-    folder = work_path(blocks.sparkSession, "sums")
+    spark = blocks.sparkSession
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // TOGETHER + 1)
+    folder = work_path(spark, "sums")
     blocks.mapInArrow(send, "bucket long, block long, keys binary, nums binary") \
-        .groupBy("bucket").agg(F.collect_list(F.struct("block", "keys", "nums"))) \
+        .repartition(n_parts, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("block", "keys", "nums"))) \
         .mapInArrow(_add_up, SUMS).write.parquet(folder)
-    return blocks.sparkSession.read.schema(SUMS).parquet(folder)
-
-
-def answered(blocks: DataFrame, sums: DataFrame, name: str, n_parts: int) -> DataFrame:
-    """``blocks`` (partitioned by ``block`` in ``n_parts``, so that only the
-    answers move) with the answers as a column of (bucket, sums)."""
-    told = sums.select(F.col("block").alias("block_"), "bucket", "sums").repartition(n_parts, "block_").groupBy("block_").agg(
+    return spark.read.schema(SUMS).parquet(folder)
+
+
+def parts_for(docs: DataFrame, text_col: str, block: int) -> int:
+    """Partitions such that one holds about ``TOGETHER`` blocks."""
+    conf = docs.sparkSession.conf
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
+    return max(int(conf.get("spark.sql.shuffle.partitions")),
+               min(size // (TOGETHER * block) + 1, int(conf.get("spark.sql.sources.bucketing.maxBuckets"))))
+
+
+@contextmanager
+def kept_by_block(blocks: DataFrame, n_parts: int):
+    """``blocks`` written once below the checkpoint folder, bucketed by block,
+    so that joins on the block move only their other side.  The table goes
+    from the catalog in the end."""
+    spark = blocks.sparkSession
+    name = f"strata_blocks_{uuid.uuid4().hex}"
+    blocks.repartition(n_parts, "block").write.bucketBy(n_parts, "block").option("path", work_path(spark, "blocks")) \
+        .option("compression", "none").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def answered(blocks: DataFrame, sums: DataFrame, name: str) -> DataFrame:
+    """``blocks`` with the answers as a column of (bucket, sums)."""
+    told = sums.select(F.col("block").alias("block_"), "bucket", "sums").groupBy("block_").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "sums"))).alias(name))
-    return blocks.join(told, F.col("block") == F.col("block_"), "left").drop("block_")
+    return blocks.join(told.hint("shuffle_hash"), F.col("block") == F.col("block_"), "left").drop("block_")
 
 
 def sums_of(told: list[dict] | None) -> np.ndarray:

@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from strata.llm.blocks import ODD, answered, ask, mixed, pack, sums_of, unpack
-from strata.llm.common import cut, prepare
+from strata.llm.blocks import ODD, answered, ask, kept_by_block, mixed, pack, parts_for, sums_of, unpack
+from strata.llm.common import prepare, work_path
 
-BLOCK = 8 << 20        # bytes of texts in a block
+BLOCK = 4 << 20        # bytes of texts in a block
 KEYS = 1 << 21         # tokens for each bucket of keys
 UNIT = 1 << 20
 END = 0                # stands for the end of a text; no word has this number
@@ -197,12 +197,19 @@ def score_texts(docs: DataFrame, held: Column, text_col: str = "text", id_col: s
     spark = docs.sparkSession
     prepare(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(held, F.lit(True)).alias("held"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
-    blocks = cut(rows.mapInArrow(
+    blocks = rows.mapInArrow(
         _cut_blocks, f"block long, ids array<{kind}>, held binary, ends binary, vocab binary, codes binary, n long, n_train long")
-        .repartition(n_parts, "block"))
+    folder = work_path(spark, "scores")
+    schema = (f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+              "score double")
+    with kept_by_block(blocks, parts_for(docs, text_col, BLOCK)) as kept:
+        _scored(kept, id_col, depth, min_count, min_gain, strength, schema).write.parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _scored(blocks: DataFrame, id_col: str, depth: int, min_count: int, min_gain: float, strength: float, schema: str) -> DataFrame:
     total, n_words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     n_buckets = total // KEYS + 1
     bar = round(min_gain * UNIT)
@@ -217,7 +224,7 @@ def score_texts(docs: DataFrame, held: Column, text_col: str = "text", id_col: s
 
     sums = ask(blocks, lambda row: _Tokens(row, min_count).single(), n_buckets)
     n_distinct = sums.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
-    known = answered(blocks, sums, "c0", n_parts)
+    known = answered(blocks, sums, "c0")
     gains = []
     for level in range(1, depth + 1):
         def wanted(row, level=level):
@@ -229,10 +236,10 @@ def score_texts(docs: DataFrame, held: Column, text_col: str = "text", id_col: s
             t = tokens(row, level)
             return t.gains(level, t.probabilities(n_words, n_distinct, strength)[level - 1], strength)
 
-        known = answered(known, ask(known, wanted, n_buckets), f"c{level}", n_parts)
+        known = answered(known, ask(known, wanted, n_buckets), f"c{level}")
         gains.append(ask(known, diverged, n_buckets))
     for level, g in enumerate(gains, 1):
-        known = answered(known, g, f"g{level}", n_parts)
+        known = answered(known, g, f"g{level}")
 
     def score(batches):
         for b in batches:
@@ -257,5 +264,4 @@ def score_texts(docs: DataFrame, held: Column, text_col: str = "text", id_col: s
                      pa.array(np.add.reduceat(np.log10(best), first))],
                     [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return known.mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                   "base_score double, score double")
+    return known.mapInArrow(score, schema)
