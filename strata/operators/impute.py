@@ -9,9 +9,9 @@
   result is (p+1)^2 numbers.  The tiny solve runs on the driver with numpy
   and the new values are a linear expression in a ``select``.  Lineage is
   cut with a reliable checkpoint every round.
-* ``forest_impute`` (I-2): per column with nulls (ascending null count),
-  a Spark ML ``RandomForestRegressor`` fitted on the observed rows predicts
-  the missing ones; rounds checkpointed.
+* ``forest_impute`` (I-2): forests of all columns with nulls, grown together
+  on binned columns (``operators.forest``); a job to grow, one to predict and
+  one checkpoint a round.
 * ``imputation_benchmark`` (I-9): hash-masked cells per (repeat, id,
   feature), imputed by each method, scored by RMSE/MAE per feature.
 
@@ -22,6 +22,7 @@ Observed cells are never changed (I-7): every method writes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.clean import clip, q
 from strata.functions.hashing import md5_uniform
+from strata.operators.forest import bin_edges, grow_forests, targets_at_once, to_bins
 from strata.session import cut_lineage
 
 
@@ -160,13 +162,16 @@ def _observed(df: DataFrame, cols: Sequence[str], counts) -> list[str]:
 
 
 def forest_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int = 10, num_trees: int = 100,
-                  max_depth: int = 10, seed: int = 42, tol: float = 1e-3) -> DataFrame:
-    """I-2: iterative random-forest imputation (Spark ML regressor per
-    column with nulls, ascending null count).  The reference grows trees to
-    unlimited depth; Spark caps depth at 30, the default here is 10."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
+                  max_depth: int = 10, seed: int = 42, tol: float = 1e-3, max_bins: int = 32,
+                  local_rows: int = 200_000) -> DataFrame:
+    """I-2: iterative random-forest imputation, see ``operators.forest``.
+
+    From the median fill on, each round grows the forests of the columns with
+    nulls from the values of the round before (groups of columns, ascending null
+    count, whose trees fit the driver; a later group sees the earlier ones' new
+    values), and predicts the missing cells.  All columns are binned once, at
+    ``max_bins`` quantiles.  Stops when ``max |new - old| < tol * max |observed|``
+    (I-6).  The reference grows trees to unlimited depth; here ``max_depth``."""
     cols = list(cols)
     counts = df.agg(*[F.sum(q(c).isNull().cast("int")).alias(c) for c in cols]).first()
     cols = _observed(df, cols, counts)
@@ -175,28 +180,53 @@ def forest_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int
         return df
     base = df.select(q(id_col), *[q(c).cast("double").alias(c) for c in cols],
                      *[q(c).isNotNull().alias(f"_o_{c}") for c in cols],
+                     F.xxhash64(F.lit(seed), q(id_col)).alias("_h"),
                      *[q(c) for c in df.columns if c not in cols and c != id_col])
     cur = cut_lineage(median_fill(base, cols))
     scale = max(abs(v) for v in cur.agg(*[F.max(F.abs(q(c))).alias(c) for c in cols]).first() if v is not None) or 1.0
+    edges = bin_edges(cur, cols, max_bins)
+    group = targets_at_once(num_trees, max_depth, local_rows, cur.count())
+    groups = [with_nulls[i:i + group] for i in range(0, len(with_nulls), group)]
     for it in range(max_iter):
-        prev = cur
-        for c in with_nulls:
-            preds = [p for p in cols if p != c]
-            va = VectorAssembler(inputCols=preds, outputCol="_x", handleInvalid="keep")
-            rf = RandomForestRegressor(featuresCol="_x", labelCol=c, predictionCol="_pred", numTrees=num_trees,
-                                       maxDepth=max_depth, seed=seed + it, featureSubsetStrategy="all")
-            model = rf.fit(va.transform(cur.where(F.col(f"_o_{c}"))))
-            scored = model.transform(va.transform(cur))
-            cur = scored.withColumn(c, F.when(F.col(f"_o_{c}"), q(c)).otherwise(F.col("_pred"))).drop("_x", "_pred")
-        cur = cut_lineage(cur)
-        delta = (cur.alias("n").join(prev.alias("o"), on=id_col)
-                 .agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"n.{c}") - F.col(f"o.{c}")) for c in with_nulls])).alias("d"))
-                 .first()["d"])
-        if delta is not None and delta < tol * scale:
+        moved = 0.0
+        for k, some in enumerate(groups):
+            first = (it * len(groups) + k) * num_trees * group
+            cur = cut_lineage(_predicted(cur.drop("_d"), cols, some, edges, grow_forests(
+                cur.drop("_d"), cols, some, edges, num_trees, max_depth, first, local_rows)))
+            moved = max(moved, cur.agg(F.max("_d")).first()[0] or 0.0)
+        if moved < tol * scale:
             break
     return _finish(cur, df, id_col, cols, False)
 
 
+def _predicted(cur: DataFrame, cols: Sequence[str], targets: Sequence[str], edges, forests) -> DataFrame:
+    """``cur`` with the missing cells of ``targets`` predicted; ``_d`` is the
+    largest change in the row."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1)
+            bins = to_bins(x, edges)
+            moved = np.zeros(len(x))
+            new = {}
+            for t in targets:
+                j = cols.index(t)
+                gone = np.flatnonzero(~b.column(f"_o_{t}").to_numpy(zero_copy_only=False))
+                own = bins[gone]
+                own[:, j] = 0
+                y = forests[t].predict(own)
+                moved[gone] = np.maximum(moved[gone], np.abs(y - x[gone, j]))
+                v = x[:, j].copy()
+                v[gone] = y
+                new[t] = pa.array(v)
+            yield pa.RecordBatch.from_arrays([*(new.get(f.name, b.column(i)) for i, f in enumerate(b.schema)), pa.array(moved)],
+                                             [*b.schema.names, "_d"])
+
+    from pyspark.sql import types as T
+    return cur.mapInArrow(run, T.StructType([*cur.schema.fields, T.StructField("_d", T.DoubleType())]))
+
+
 METHODS = {"mice": "mice", "missforest": "forest", "miss_forest": "forest", "miss-forest": "forest",
            "forest": "forest"}
 
@@ -235,17 +265,23 @@ def imputation_errors(imputed: DataFrame, masked: DataFrame, id_col: str, cols:
 
 
 def imputation_benchmark(df: DataFrame, id_col: str, cols: Sequence[str], methods: Sequence[str] = ("mice", "missforest"),
-                         mask_frac: float = 0.10, repeats: int = 5, seed: int = 42, **kw) -> DataFrame:
-    """I-9: (method, repeat, feature, n_masked, rmse, mae)."""
-    parts = []
-    for r in range(repeats):
+                         mask_frac: float = 0.10, repeats: int = 5, seed: int = 42, parallelism: int = 4, **kw) -> DataFrame:
+    """I-9: (method, repeat, feature, n_masked, rmse, mae).  The repeats do not
+    depend on each other; ``parallelism`` of them are submitted at a time, so
+    that the small jobs of one fill the gaps of another."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    def run(r: int) -> list[DataFrame]:
         masked = cut_lineage(mask_cells(df, id_col, cols, mask_frac, r, seed))
         base = masked.select(q(id_col), *[q(c) for c in cols])
-        for m in methods:
-            imp = impute(base, id_col, cols, m, **kw.get(METHODS[m.lower()], {}))
-            parts.append(imputation_errors(imp, masked, id_col, cols)
-                         .select(F.lit(m).alias("method"), F.lit(r).alias("repeat"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return [imputation_errors(impute(base, id_col, cols, m, **kw.get(METHODS[m.lower()], {})), masked, id_col, cols)
+                .select(F.lit(m).alias("method"), F.lit(r).alias("repeat"), "*") for m in methods]
+
+    pool = ThreadPool(max(1, parallelism))
+    try:
+        parts = [p for some in pool.map(inheritable_thread_target(df.sparkSession)(run), range(repeats)) for p in some]
+    finally:
+        pool.close()
+    return reduce(DataFrame.unionByName, parts)
