@@ -3,12 +3,10 @@
 * ``median_fill`` (I-1): exact medians of all columns (by default from
   distinct-value counts and running sums, so no column is buffered in one
   task), then ``coalesce``.
-* ``mice_impute`` (I-3..I-7): chained ridge regressions.  Each step needs
-  only the Gram matrix ``X'X`` / ``X'y`` of the observed rows of one target
-  column over its nearest predictors: one distributed aggregation whose
-  result is (p+1)^2 numbers.  The tiny solve runs on the driver with numpy
-  and the new values are a linear expression in a ``select``.  Lineage is
-  cut with a reliable checkpoint every round.
+* ``mice_impute`` (I-3..I-7): chained Bayesian ridge regressions.  A round
+  sums the Gram matrices of all target columns in one scan
+  (``operators.moments``); the solves, of (p+1)^2 numbers each, run on the
+  driver, one more scan predicts.  Lineage is cut every round.
 * ``forest_impute`` (I-2): forests of all columns with nulls, grown together
   on binned columns (``operators.forest``); a job to grow, one to predict and
   one checkpoint a round.
@@ -28,9 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.clean import clip, q
+from strata.functions.clean import q
 from strata.functions.hashing import md5_uniform
 from strata.operators.forest import bin_edges, grow_forests, targets_at_once, to_bins
+from strata.operators.moments import bayesian_ridge, grams, pair_moments
+from strata.operators.moments import ridge as ridge_fit
 from strata.session import cut_lineage
 
 
@@ -55,97 +55,139 @@ def median_fill(df: DataFrame, cols: Sequence[str], exact: bool | str = "distrib
                        for c in df.columns])
 
 
-def _gram(df: DataFrame, target: str, preds: Sequence[str], observed: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X and X'y (with intercept) over rows where ``target`` was observed."""
-    xs = [F.lit(1.0)] + [q(p) for p in preds]
-    y = q(target)
-    aggs = []
-    for i in range(len(xs)):
-        for j in range(i, len(xs)):
-            aggs.append(F.sum(xs[i] * xs[j]).alias(f"g{i}_{j}"))
-        aggs.append(F.sum(xs[i] * y).alias(f"b{i}"))
-    row = df.where(F.col(observed)).agg(*aggs).first()
-    k = len(xs)
-    G = np.zeros((k, k))
-    b = np.zeros(k)
-    for i in range(k):
-        for j in range(i, k):
-            G[i, j] = G[j, i] = row[f"g{i}_{j}"] or 0.0
-        b[i] = row[f"b{i}"] or 0.0
-    return G, b, int(G[0, 0])
+def initial_fill(df: DataFrame, cols: Sequence[str], strategy: str = "median") -> DataFrame:
+    """The values that chained imputation starts from: each column's median,
+    mean, most frequent value (the least of equally frequent ones) or 0."""
+    if strategy == "median":
+        return median_fill(df, cols)
+    if strategy == "mean":
+        row = df.agg(*[F.avg(q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+        values = {c: row[f"v{i}"] for i, c in enumerate(cols)}
+    elif strategy == "constant":
+        values = dict.fromkeys(cols, 0.0)
+    elif strategy == "most_frequent":
+        cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), q(c).cast("double").alias("v")) for c in cols])).alias("r")) \
+            .select("r.*").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        best = cells.groupBy("c").agg(F.max_by(F.col("v"), F.struct(F.col("n"), -F.col("v"))).alias("v"))
+        values = {r["c"]: r["v"] for r in best.collect()}        # one row a column
+    else:
+        raise ValueError(f"Unknown initial strategy '{strategy}'")
+    return df.select(*[F.coalesce(q(c).cast("double"), F.lit(values.get(c))).alias(c) if c in cols else q(c) for c in df.columns])
+
+
+def imputation_order(with_nulls: Sequence[str], counts, order: str = "ascending", seed: int = 0) -> list[str]:
+    """The order in which a round takes the columns with nulls: by number of
+    nulls, as they stand (roman), from the last one back (arabic), or random."""
+    cols = list(with_nulls)
+    if order in ("ascending", "descending"):
+        return sorted(cols, key=lambda c: (counts[c], c) if order == "ascending" else (-counts[c], c))
+    if order in ("roman", "arabic"):
+        return cols if order == "roman" else cols[::-1]
+    if order == "random":
+        return [cols[i] for i in np.random.default_rng(seed).permutation(len(cols))]
+    raise ValueError(f"Unknown imputation order '{order}'")
 
 
 def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str], max_iter: int = 10, tol: float = 1e-3,
-                ridge: float = 1e-6, n_nearest: int | None = 30, min_value: float | None = None,
-                max_value: float | None = None, add_indicator: bool = False,
-                checkpoint_every: int = 1, sample_posterior: bool = False, seed: int = 0) -> DataFrame:
-    """I-3: chained ridge regressions, ascending null count order.
-
-    Starts from the median fill (I-1); each round re-predicts every column
-    with nulls from its ``n_nearest`` most correlated predictors (I-4,
-    absolute pairwise correlation, deterministic ties by name); stops when
-    ``max |new - old| < tol * max |observed|`` (I-6) or after ``max_iter``.
-    ``sample_posterior`` (I-5) adds Gaussian noise with the residual
-    standard deviation of the fit, drawn per (seed, id, column, round) by
-    Box-Muller from two md5 uniforms, so reruns and retries agree.
+                estimator: str = "bayesian_ridge", ridge: float = 1e-6, n_nearest: int | None = 30, min_value: float | None = None,
+                max_value: float | None = None, add_indicator: bool = False, initial_strategy: str = "median",
+                order: str = "ascending", sample_posterior: bool = False, seed: int = 0) -> DataFrame:
+    """I-3: chained Bayesian ridge regressions (``estimator="ridge"``: least
+    squares with the fixed penalty ``ridge``).
+
+    Starts from ``initial_strategy``; predictors of a column are its
+    ``n_nearest`` most correlated ones (I-4, ties by name).  A round reads the
+    table twice: one scan sums the Gram matrices of all columns with nulls, one
+    predicts them, each from the values that the columns before it in ``order``
+    have just got.  Stops when ``max |new - old| < tol * max |observed|`` (I-6)
+    or after ``max_iter``.  ``sample_posterior`` (I-5) draws each value from the
+    predictive distribution, the variance being that of the noise and that of
+    the slopes, cut off at ``min_value`` and ``max_value``; a draw is a function
+    of (seed, id, column, round), so reruns and retries agree.
     """
     cols = list(cols)
     counts = df.agg(*[F.sum(q(c).isNull().cast("int")).alias(c) for c in cols]).first()
     cols = _observed(df, cols, counts)
-    with_nulls = sorted([c for c in cols if counts[c] > 0], key=lambda c: (counts[c], c))
+    with_nulls = imputation_order([c for c in cols if counts[c] > 0], counts, order, seed)
+    if estimator not in ("bayesian_ridge", "ridge"):
+        raise ValueError(f"Unknown estimator '{estimator}'")
     base = df.select(q(id_col), *[q(c).cast("double").alias(c) for c in cols],
                      *[q(c).isNotNull().alias(f"_o_{c}") for c in cols],
                      *[q(c) for c in df.columns if c not in cols and c != id_col])
-    cur = median_fill(base, cols)
+    cur = initial_fill(base, cols, initial_strategy)
     if not with_nulls:
         return _finish(cur, df, id_col, cols, add_indicator)
-    # I-4: predictors by absolute correlation on the initial fill
-    from strata.operators.profile import _pearson  # null (not an error) on a constant column
-    corr_aggs = [_pearson(q(a), q(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    crow = cur.agg(*corr_aggs).first() if corr_aggs else None
-    absr = {}
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i < j:
-                v = crow[f"{i}_{j}"]
-                absr[(a, b)] = absr[(b, a)] = 0.0 if v is None or np.isnan(v) else abs(v)
+    cur = cut_lineage(cur.withColumn("_h", F.xxhash64(F.lit(seed), q(id_col).cast("string"))))
+    r = np.abs(np.nan_to_num(pair_moments(cur, cols).pearson()))
     scale = max(abs(v) for v in cur.agg(*[F.max(F.abs(q(c))).alias(c) for c in cols]).first() if v is not None) or 1.0
-    cur = cut_lineage(cur)
+    nearest = {}
+    for c in with_nulls:
+        others = sorted((p for p in cols if p != c), key=lambda p: (-r[cols.index(c), cols.index(p)], p))
+        nearest[c] = sorted(others if n_nearest is None else others[:n_nearest], key=cols.index)
     for it in range(max_iter):
-        prev = cur
-        for c in with_nulls:
-            cand = [p for p in cols if p != c]
-            if n_nearest is not None and len(cand) > n_nearest:
-                cand = sorted(cand, key=lambda p: (-absr[(c, p)], p))[:n_nearest]
-            G, b, _ = _gram(cur, c, cand, f"_o_{c}")
-            G = G + ridge * np.eye(len(G)) * np.r_[0.0, np.ones(len(G) - 1)]
-            beta = np.linalg.lstsq(G, b, rcond=None)[0]
-            pred = F.lit(float(beta[0]))
-            for w, p in zip(beta[1:], cand):
-                pred = pred + F.lit(float(w)) * q(p)
-            if sample_posterior:
-                n_obs = max(G[0, 0], 1.0)
-                # residual variance from the normal equations: (y'y - beta'X'y) / n
-                yy = cur.where(F.col(f"_o_{c}")).agg(F.sum(q(c) * q(c))).first()[0] or 0.0
-                sigma = float(np.sqrt(max(yy - float(beta @ b), 0.0) / n_obs))
-                u1 = md5_uniform(seed, q(id_col), F.lit(c), F.lit(it), F.lit("a"))
-                u2 = md5_uniform(seed, q(id_col), F.lit(c), F.lit(it), F.lit("b"))
-                z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * np.pi) * u2)
-                pred = pred + F.lit(sigma) * z
-            pred = clip(pred, min_value, max_value)
-            cur = cur.withColumn(c, F.when(F.col(f"_o_{c}"), q(c)).otherwise(pred))
-        if (it + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-        delta = (cur.alias("n").join(prev.alias("o"), on=id_col)
-                 .agg(F.max(F.greatest(*[F.abs(F.col(f"n.{c}") - F.col(f"o.{c}")) for c in with_nulls])).alias("d"))
-                 .first()["d"]) if len(with_nulls) > 1 else (
-            cur.alias("n").join(prev.alias("o"), on=id_col)
-            .agg(F.max(F.abs(F.col(f"n.{with_nulls[0]}") - F.col(f"o.{with_nulls[0]}"))).alias("d")).first()["d"])
-        if delta is not None and delta < tol * scale:
+        found = grams(cur.drop("_d"), [(c, nearest[c]) for c in with_nulls])
+        fits = {c: bayesian_ridge(g) if estimator == "bayesian_ridge" else ridge_fit(g, ridge)
+                for c, g in zip(with_nulls, found)}
+        cur = cut_lineage(_chained(cur.drop("_d"), cols, nearest, fits, min_value, max_value, it if sample_posterior else None))
+        moved = cur.agg(F.max("_d")).first()[0] or 0.0
+        if moved < tol * scale:
             break
     return _finish(cur, df, id_col, cols, add_indicator)
 
 
+def _uniform(row_hash: np.ndarray, draw: int) -> np.ndarray:
+    """A number in (0, 1) for each row (by its 64-bit hash) and draw."""
+    h = row_hash.view(np.uint64) ^ np.uint64((draw + 1) * 0x9E3779B97F4A7C15 & (2 ** 64 - 1))
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+
+
+def _drawn(mean: np.ndarray, sd: np.ndarray, u: np.ndarray, low: float | None, high: float | None) -> np.ndarray:
+    """Normal values at the quantiles ``u``, cut off at the bounds."""
+    from statistics import NormalDist
+    unit = NormalDist()
+    out = np.empty(len(mean))
+    for i, (m, s, x) in enumerate(zip(mean.tolist(), sd.tolist(), u.tolist())):
+        if s <= 0:
+            out[i] = m
+            continue
+        a = 0.0 if low is None else unit.cdf((low - m) / s)
+        b = 1.0 if high is None else unit.cdf((high - m) / s)
+        x = a + x * (b - a)
+        out[i] = m + s * unit.inv_cdf(min(max(x, 1e-15), 1 - 1e-15))
+    return np.clip(out, -np.inf if low is None else low, np.inf if high is None else high)
+
+
+def _chained(cur: DataFrame, cols: Sequence[str], nearest, fits, low, high, draw_round: int | None) -> DataFrame:
+    """``cur`` with the missing cells predicted column after column; ``_d`` is
+    the largest change in the row."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1)
+            h = b.column("_h").to_numpy()
+            moved = np.zeros(len(x))
+            for k, (c, fit) in enumerate(fits.items()):
+                gone = np.flatnonzero(~b.column(f"_o_{c}").to_numpy(zero_copy_only=False))
+                z = x[gone][:, [cols.index(p) for p in nearest[c]]]
+                y = fit.start + z @ fit.slope
+                if draw_round is not None:
+                    z = z - fit.center
+                    sd = np.sqrt(fit.noise + np.maximum((z @ fit.cov * z).sum(axis=1), 0.0))
+                    y = _drawn(y, sd, _uniform(h[gone], draw_round * len(fits) + k), low, high)
+                y = np.clip(y, -np.inf if low is None else low, np.inf if high is None else high)
+                moved[gone] = np.maximum(moved[gone], np.abs(y - x[gone, cols.index(c)]))
+                x[gone, cols.index(c)] = y
+            new = {c: pa.array(x[:, i].copy()) for i, c in enumerate(cols)}
+            yield pa.RecordBatch.from_arrays([*(new.get(f.name, b.column(i)) for i, f in enumerate(b.schema)), pa.array(moved)],
+                                             [*b.schema.names, "_d"])
+
+    return cur.mapInArrow(run, T.StructType([*cur.schema.fields, T.StructField("_d", T.DoubleType())]))
+
+
 def _finish(cur: DataFrame, df: DataFrame, id_col: str, cols: Sequence[str], add_indicator: bool) -> DataFrame:
     extra = [c for c in df.columns if c not in cols and c != id_col]
     out = [q(id_col), *[q(c) for c in cols]]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.clean import numeric_columns, q
 from strata.functions.prefix import running_sums
+from strata.operators.moments import pair_moments
 from strata.session import cut_lineage, spread
 
 
@@ -239,10 +240,6 @@ def violin_density(df: DataFrame, exclude: Sequence[str] = (), n_bins: int = 20)
 
 
 # ------------------------------------------------------- A-5..A-7, J-5, W-3
-def _pairs(cols: Sequence[str]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(cols)) for j in range(len(cols))]
-
-
 def _pearson(x: Column, y: Column) -> Column:
     """Pairwise-complete Pearson r; null (not an error) when either side is
     constant.  Constancy is tested exactly with min = max: a merged
@@ -254,12 +251,11 @@ def _pearson(x: Column, y: Column) -> Column:
     return F.when(~const, F.try_divide(F.covar_pop(x, y), F.stddev_pop(xm) * F.stddev_pop(ym)))
 
 
-def corr_matrix(df: DataFrame, method: str = "pearson", digits: int = 3,
-                chunk: int = 200) -> DataFrame:
+def corr_matrix(df: DataFrame, method: str = "pearson", digits: int = 3) -> DataFrame:
     """A-5: correlation of every ordered pair of numeric columns, rounded
     half-even to ``digits`` (long form: Feature_1, Feature_2, Correlation).
-    Pearson: all pairs as aggregate expressions of one pass (chunked at
-    ``chunk`` pairs per pass).  Spearman: see :func:`spearman_pairs`."""
+    Pearson: the co-moments of all pairs in one scan.  Spearman: see
+    :func:`spearman_pairs`."""
     cols = numeric_columns(df)
     if method == "spearman":
         return spearman_pairs(df, cols, digits)
@@ -267,25 +263,14 @@ def corr_matrix(df: DataFrame, method: str = "pearson", digits: int = 3,
         raise ValueError(f"unknown method {method!r}")
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "Feature_1 string, Feature_2 string, Correlation double")
-    upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    df = spread(df)
-    parts = []
-    for s in range(0, len(upper), chunk):
-        block = upper[s:s + chunk]
-        a = df.agg(*[_pearson(q(cols[i]).cast("double"), q(cols[j]).cast("double")).alias(f"r{k}")
-                     for k, (i, j) in enumerate(block)])
-        structs = []
-        for k, (i, j) in enumerate(block):
-            structs.append(F.struct(F.lit(cols[i]).alias("Feature_1"), F.lit(cols[j]).alias("Feature_2"),
-                                    F.bround(F.col(f"r{k}"), digits).alias("Correlation")))
-            if i != j:
-                structs.append(F.struct(F.lit(cols[j]).alias("Feature_1"), F.lit(cols[i]).alias("Feature_2"),
-                                        F.bround(F.col(f"r{k}"), digits).alias("Correlation")))
-        parts.append(a.select(_rows(structs)).select("r.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _correlations(df.sparkSession, cols, pair_moments(spread(df), cols).pearson(), digits)
+
+
+def _correlations(spark, cols: Sequence[str], r, digits: int) -> DataFrame:
+    """The matrix in long form; null where it is not a number."""
+    rows = [(a, b, float(r[i][j]) if r[i][j] == r[i][j] else None) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(rows, "Feature_1 string, Feature_2 string, Correlation double").withColumn(
+        "Correlation", F.bround("Correlation", digits))
 
 
 def spearman_pairs(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame:

@@ -62,7 +62,8 @@ def prepare(spark: SparkSession, cfg: JobCfg, path: str) -> dict[str, str]:
     text = [c for c in enc.columns if c not in feats and c not in (d.id_col, target)]
     i = cfg.imputation
     mice = {"max_iter": i.mice_max_iter, "tol": i.mice_tol, "n_nearest": i.mice_n_nearest, "min_value": i.mice_min_value,
-            "max_value": i.mice_max_value}
+            "max_value": i.mice_max_value, "estimator": i.mice_estimator, "order": i.mice_order,
+            "initial_strategy": i.mice_initial_strategy, "seed": i.mice_seed, "sample_posterior": i.sample_posterior}
     forest = {"max_iter": i.forest_max_iter, "num_trees": i.forest_num_trees, "max_depth": i.forest_max_depth}
     if i.eval_enabled:
         arts["imputation_benchmark"] = IO.write_snapshot(
@@ -85,7 +86,7 @@ def prepare(spark: SparkSession, cfg: JobCfg, path: str) -> dict[str, str]:
     arts["final"] = IO.write_snapshot(final, os.path.join(out, f"patient_imputed_{cfg.imputation.method.lower()}"))
     prepared = spark.read.parquet(arts["final"])
     eda = [c for c in prepared.columns if c != d.id_col]
-    arts["dropped_rows"] = IO.write_snapshot(PR.ordered(dropped, F.desc("missing_rate"), "patient_id"),
+    arts["dropped_rows"] = IO.write_snapshot(dropped.orderBy(F.desc("missing_rate"), "patient_id"),
                                              os.path.join(out, "dropped_patients"))
     arts.update(IO.write_report({
         "skewness": PR.ordered(PR.skewness(prepared.select(eda), exclude=[target]), F.desc("skewness"), "feature"),

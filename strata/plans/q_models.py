@@ -10,6 +10,9 @@ registered with the library defaults (500 boosted trees, 100-tree forests,
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.config import ImputationCfg
@@ -18,6 +21,7 @@ from strata.operators import embed as EM
 from strata.operators import encode as EN
 from strata.operators import explain as EX
 from strata.operators import impute as IM
+from strata.operators import moments as MO
 from strata.operators import train as TR
 from strata.operators.metrics import fold_metrics
 from strata.plans import q_cohort as QC
@@ -197,6 +201,61 @@ def impute_mice_posterior(spark, sf):
                           min_value=0.0, add_indicator=True)
 
 
+GRAM_COLS = ["price_txt", "half_num", "twin_num", "grade"]
+
+
+def _gram_sql():
+    """Sums of products of (1, predictors, target) over the rows where the
+    target was seen, after the median fill."""
+    med = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS med_{c}" for c in GRAM_COLS)
+    fill = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), med_{c}) AS {c}, {c} IS NOT NULL AS o_{c}" for c in GRAM_COLS)
+    rows = []
+    for t in GRAM_COLS:
+        z = ["1.0", *[c for c in GRAM_COLS if c != t], t]
+        names = ["(start)", *z[1:]]
+        rows += [f"SELECT '{t}' AS target, '{names[i]}' AS a, '{names[j]}' AS b, sum({z[i]} * {z[j]}) AS total FROM filled WHERE o_{t}"
+                 for i in range(len(z)) for j in range(len(z))]
+    return QC.PIPE + f", filled AS (SELECT {fill} FROM enc, (SELECT {med} FROM enc)) " + " UNION ALL ".join(rows)
+
+
+@register("impute_gram", _gram_sql(), dbl=["total"], ops="I-3 I-1")
+def impute_gram(spark, sf):
+    """The normal equations of a first round: (target, a, b, total)."""
+    enc = QC._encoded(spark, sf).select(QC.ID, *[F.col(c).cast("double") for c in GRAM_COLS])
+    cur = IM.median_fill(enc.select("*", *[F.col(c).isNotNull().alias(f"_o_{c}") for c in GRAM_COLS]), GRAM_COLS)
+    regressions = [(t, [c for c in GRAM_COLS if c != t]) for t in GRAM_COLS]
+    rows = []
+    for (t, ps), g in zip(regressions, MO.grams(cur, regressions)):
+        names = ["(start)", *ps, t]
+        rows += [(t, a, b, float(g[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return spark.createDataFrame(rows, "target string, a string, b string, total double")
+
+
+MASK_COLS = ["price_txt", "day_num", "half_num"]
+
+
+def _masked_sql():
+    from strata.functions.hashing import md5_uniform_sql
+    rows = [f"SELECT {r} AS repeat, '{c}' AS feature, CAST(sum(CASE WHEN {c} IS NOT NULL AND {md5_uniform_sql(42, str(r), 'id', repr(c))} "
+            f"< 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS n_masked, CAST(count({c}) AS BIGINT) AS n_seen FROM enc"
+            for r in range(5) for c in MASK_COLS]
+    return QC.PIPE + " UNION ALL ".join(rows)
+
+
+@register("masked_cells", _masked_sql(), ops="I-9")
+def masked_cells(spark, sf):
+    """The cells that each repeat of the imputation benchmark hides."""
+    enc = QC._encoded(spark, sf).select(QC.ID, *MASK_COLS)
+    parts = []
+    for r in range(5):
+        m = IM.mask_cells(enc, QC.ID, MASK_COLS, 0.10, r, 42)
+        sums = m.agg(*[F.count(f"_true_{c}").alias(f"m_{c}") for c in MASK_COLS],
+                     *[F.count(F.coalesce(F.col(c), F.col(f"_true_{c}"))).alias(f"s_{c}") for c in MASK_COLS])
+        parts += [sums.select(F.lit(r).alias("repeat"), F.lit(c).alias("feature"), F.col(f"m_{c}").alias("n_masked"),
+                              F.col(f"s_{c}").alias("n_seen")) for c in MASK_COLS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("impute_forest", ops="I-2 I-8", heavy=True)
 def impute_forest(spark, sf):
     return IM.impute(_impute_input(spark, sf), QC.ID, FEATS, "missforest")
