@@ -356,3 +356,30 @@ def test_repeats_against_brute_force(spark, monkeypatch, crowd):
            for r in suffix_dedup.remove_repeats(df).collect()]
     assert sorted(got, key=str) == brute_repeats([(i, (t or "").encode()) for i, t in rows])
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_suffix_dedup_places_in_long_texts():
+    """The last smallest of each run of values, in parts and as a whole."""
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 2 ** 64, 3000, dtype=np.uint64)
+    h[rng.integers(0, 3000, 900)] = 5 << 24        # many equal ones
+    for span in (1, 2, 35):
+        got = suffix_dedup._last_smallest(h, span)
+        top = h >> np.uint64(24)
+        want = [i + span - 1 - int(np.argmin(top[i:i + span][::-1])) for i in range(len(h) - span + 1)]
+        assert got.tolist() == want
+    long = np.tile(h, (1 << 24) // 3000 + 40)
+    got = suffix_dedup._last_smallest(long, 35)
+    assert len(got) == len(long) - 34
+    inside = suffix_dedup._last_smallest(long[:6100], 35)
+    for k in range(0, (1 << 24) + 60_000, 1_500_000):      # the same places in every repetition, borders of parts included
+        at = k // 3000 * 3000
+        assert (got[at:at + 3000] - at == inside[:3000]).all()
+    border = (1 << 24) - 35 - ((1 << 24) - 35) % 3000
+    assert (got[border:border + 3000] - border == inside[:3000]).all()
+
+
+def test_suffix_dedup_common_parts():
+    group = [(b"1", b"aaXXXXXXXXXXXXXXXXbb" + b"c" * 40, 1, 2), (b"2", b"zaXXXXXXXXXXXXXXXXbb" + b"c" * 33 + b"d" * 9, 2, 2),
+             (b"3", b"qqXXXXXXXXXXXXXXXXqq" + b"c" * 40, 3, 2)]
+    assert suffix_dedup._common_parts(group) == [(1, 53), (1, 53), (0, 0)]
