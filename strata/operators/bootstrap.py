@@ -119,7 +119,7 @@ def replicate_metrics(df: DataFrame, y: str = "y", p: str = "p", id_col: str = "
         df = df.withColumn(p, F.round(F.col(p).cast("double"), int(score_decimals)))
     g = replicate_score_groups(df, y, p, id_col, B, seed, keys)
     probe = df.select(*keys, p).distinct()
-    curve = M.rank_curve(None, y, p, keys=[*keys, "replicate"], grouped=g, probe=probe, probe_keys=keys)
+    curve = M.rank_curve(None, y, p, keys=[*keys, "replicate"], grouped=g, probe=probe)
     rm = M.rank_metrics_from_curve(curve, [*keys, "replicate"])
     return rm.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
 

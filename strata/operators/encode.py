@@ -12,10 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.clean import numeric_columns, q
+from strata.functions.prefix import sorted_numbers
+from strata.session import cut_lineage
+
+#: columns that a wide one-hot table may get
+WIDEST = 10_000
 
 
 def ordinal_mapping(df: DataFrame, cols: Sequence[str], start_index: int = 1) -> DataFrame:
@@ -26,10 +32,8 @@ def ordinal_mapping(df: DataFrame, cols: Sequence[str], start_index: int = 1) ->
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value"))
                                           for c in cols])).alias("r")).select("r.*")
     distinct = pairs.where(F.col("value").isNotNull()).distinct()
-    # one window partition per categorical column: rows = distinct values of
-    # that column (a categorical's cardinality), not cohort rows
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) + F.lit(start_index - 1)).cast("int"))
+    return sorted_numbers(distinct, ["column"], "value", "code").withColumn(
+        "code", (F.col("code") + F.lit(start_index - 1)).cast("int"))
 
 
 def apply_mapping(df: DataFrame, mapping: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -51,14 +55,16 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], start_index: int = 1) ->
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], mapping: DataFrame | None = None) -> DataFrame:
-    """F-16: ``<col>_<value>`` 0/1 columns for each categorical value (the
-    value list is the small mapping, collected after a size check)."""
+    """F-16: ``<col>_<value>`` 0/1 columns for each categorical value.  A table
+    can only have so many columns: beyond ``WIDEST`` levels use
+    :func:`one_hot_vector`."""
     cols = [c for c in cols if c in df.columns]
     mapping = mapping if mapping is not None else ordinal_mapping(df, cols)
-    if mapping.count() > 10_000:
-        raise ValueError("too many categorical levels for wide one-hot columns; use a vector encoder")
+    rows = mapping.orderBy("column", "code").limit(WIDEST + 1).collect()
+    if len(rows) > WIDEST:
+        raise ValueError(f"over {WIDEST} levels: use one_hot_vector, whose result is one sparse column")
     levels = {}
-    for r in mapping.orderBy("column", "code").collect():
+    for r in rows:
         levels.setdefault(r["column"], []).append(r["value"])
     out = []
     for c in df.columns:
@@ -70,6 +76,44 @@ def one_hot(df: DataFrame, cols: Sequence[str], mapping: DataFrame | None = None
     return df.select(*out)
 
 
+def one_hot_vector(df: DataFrame, cols: Sequence[str], out: str = "one_hot", mapping: DataFrame | None = None
+                   ) -> tuple[DataFrame, DataFrame]:
+    """F-16 for any number of levels: ``cols`` become one sparse vector column
+    ``out`` (a null value has no entry), and the dictionary ``(index, column,
+    value)`` says what each place stands for.  Codes come by join, so nothing
+    but the number of levels of each column reaches the driver."""
+    cols = [c for c in cols if c in df.columns]
+    mapping = cut_lineage(mapping if mapping is not None else ordinal_mapping(df, cols))
+    sizes = {r["column"]: r["n"] for r in mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, n = {}, 0
+    for c in cols:
+        first[c], n = n, n + max(sizes.get(c, 0), 1)
+    start = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(first[c]))])
+    dictionary = mapping.select((start[F.col("column")] + F.col("code") - 1).cast("long").alias("index"), "column", "value")
+    coded = apply_mapping(df.select("*", *[q(c).alias(f"_code_{i}") for i, c in enumerate(cols)]),
+                          mapping.replace({c: f"_code_{i}" for i, c in enumerate(cols)}, subset=["column"]),
+                          [f"_code_{i}" for i in range(len(cols))])
+
+    # a null has the code behind the last one, which the encoder leaves out
+    places = [F.coalesce(F.col(f"_code_{i}") - 1, F.lit(max(sizes.get(c, 0), 1))).cast("double").alias(
+        f"_place_{i}", metadata={"ml_attr": {"type": "nominal", "num_vals": max(sizes.get(c, 0), 1)}}) for i, c in enumerate(cols)]
+    parts = [f"_part_{i}" for i in range(len(cols))]
+    placed = coded.select(*[q(c) for c in df.columns if c not in cols], *places)
+    encoder = OneHotEncoder(inputCols=[f"_place_{i}" for i in range(len(cols))], outputCols=parts, handleInvalid="keep").fit(placed)
+    whole = VectorAssembler(inputCols=parts, outputCol=out).transform(encoder.transform(placed))
+    return whole.select(*[q(c) for c in df.columns if c not in cols], out), dictionary
+
+
+def level_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """X-4 from sparse columns: (parent, value, share) of each level; a 0/1
+    column of share f with coefficient b has the mean absolute linear SHAP
+    value ``2 |b| f (1 - f)``."""
+    n = df.count()
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("parent"), q(c).cast("string").alias("value")) for c in cols])).alias("r"))
+    return pairs.select("r.*").where(F.col("value").isNotNull()).groupBy("parent", "value").agg(
+        (F.count(F.lit(1)) / F.lit(max(n, 1))).alias("share"))
+
+
 def _stats(df: DataFrame, cols: Sequence[str]):
     return df.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
                   *[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(cols)],

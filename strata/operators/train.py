@@ -79,11 +79,10 @@ def make_learner(spec: ModelSpec, features: str = "_x", label: str = "_y", weigh
         args = {"numTrees": 100, "maxDepth": 10, **p}
         return RandomForestClassifier(seed=spec.seed, **common, **args)
     if spec.kind == "logistic":
-        # l2 penalty, 2000 iterations; an inverse strength C maps to regParam = 1 / (C * n_rows)
-        args = {"maxIter": 2000, "regParam": 0.0, "elasticNetParam": 0.0, **p}
+        args = {"maxIter": 2000, "elasticNetParam": 0.0, **p}
         return LogisticRegression(**common, **args)
     if spec.kind == "linear_svc":
-        args = {"maxIter": 100, "regParam": 0.0, **p}
+        args = {"maxIter": 100, **p}
         return LinearSVC(**common, **args)
     raise ValueError(f"unknown model kind {spec.kind!r}")
 
@@ -114,7 +113,34 @@ def prepare(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
 def fit(df: DataFrame, features: Sequence[str], y: str, spec: ModelSpec, final: bool = True):
     """Fit on ``df`` with class weights (M-2/M-4)."""
     data = _weights(prepare(df, features, y), y, final)
-    return make_learner(spec).fit(data)
+    return make_learner(penalised(spec, data)).fit(data)
+
+
+def penalised(spec: ModelSpec, data: DataFrame) -> ModelSpec:
+    """M-6 / M-7: the L2 penalty of an inverse strength ``C`` (default 1).
+    ``C * sum(w * loss) + |b|^2 / 2`` has the minimum of Spark's
+    ``sum(w * loss) / sum(w) + regParam * |b|^2 / 2`` for
+    ``regParam = 1 / (C * sum(w))``, on the columns as they are.  An explicit
+    ``regParam`` stands."""
+    if spec.kind not in ("logistic", "linear_svc"):
+        return spec
+    params = dict(spec.params)
+    strength = float(params.pop("C", 1.0))
+    if "regParam" not in params:
+        total = data.agg(F.sum("_w")).first()[0] or 1.0
+        params.update(regParam=1.0 / (strength * float(total)), standardization=params.get("standardization", False))
+    return ModelSpec(spec.kind, params, spec.seed)
+
+
+def score_stages(df: DataFrame, features: Sequence[str], stages: Sequence[tuple]) -> DataFrame:
+    """C-6: the probabilities of several models on each row, side by side:
+    ``stages`` lists (model, kind, output column).  Narrow, so no join and no
+    shuffle, and a stream is scored like a table."""
+    out = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error").transform(df)
+    for model, kind, name in stages:
+        out = positive_probability(model.transform(out), kind).withColumnRenamed("p", name).drop(
+            "rawPrediction", "probability", "prediction")
+    return out.drop("_x")
 
 
 def score(model, df: DataFrame, features: Sequence[str], kind: str, id_col: str, y: str,

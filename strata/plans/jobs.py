@@ -29,6 +29,7 @@ from strata.operators import thresholds as TH
 from strata.operators import train as TR
 from strata.session import cut_lineage
 from strata.sources import io as IO
+from strata.streaming.score_stream import stream_cascade
 
 
 def prepare(spark: SparkSession, cfg: JobCfg, path: str) -> dict[str, str]:
@@ -152,11 +153,14 @@ def test_stage(spark: SparkSession, cfg: JobCfg, table: DataFrame, model_path: s
     threshold = CA.load_threshold(spark, model_path) if e.do_calibration else e.prob_thr
     model = TR.load_model(cfg.training.kind, model_path)
     scored = TR.score(model, table, feats, cfg.training.kind, d.id_col, target, threshold)
-    if e.do_calibration:
+    if not e.do_calibration:
+        scored = cut_lineage(scored)        # five reports read it
+    else:
         cal = CA.load_calibrator(model_path, e.calib_method)
         scored = CA.apply_calibrator(cal, scored, e.calib_method, "p", "p_cal") \
             .select(d.id_col, "y", F.col("p_cal").alias("p")) \
             .withColumn("pred", (F.col("p") >= F.lit(float(threshold))).cast("int"))
+        scored = cut_lineage(scored)
     return IO.write_report({
         "Metrics": M.stage_test_row(scored, "y", "p", threshold, e.n_bins, e.do_calibration),
         "Predictions": scored, "ROC": M.roc_points(scored, "y", "p"), "PR": M.pr_points(scored, "y", "p"),
@@ -164,6 +168,10 @@ def test_stage(spark: SparkSession, cfg: JobCfg, table: DataFrame, model_path: s
     }, os.path.join(cfg.output_dir, "test_report"))
 
 
+def _stages(kind: str, m1_path: str, m2_path: str) -> list[tuple]:
+    return [(TR.load_model(kind, path), kind, name) for path, name in ((m1_path, "p1"), (m2_path, "p2"))]
+
+
 def cascade(spark: SparkSession, cfg: JobCfg, table: DataFrame, m1_path: str, m2_path: str) -> dict[str, str]:
     """Score every row with both stages, combine, report."""
     d, e = cfg.data, cfg.evaluation
@@ -173,13 +181,30 @@ def cascade(spark: SparkSession, cfg: JobCfg, table: DataFrame, m1_path: str, m2
         table = table.withColumn(target, C.final_label(d.grade_col, target))
     feats = [c for c in table.columns if c not in (d.id_col, target, d.grade_col)]
     kind = cfg.training.kind
-    s1 = TR.score(TR.load_model(kind, m1_path), table, feats, kind, d.id_col, target)
-    s2 = TR.score(TR.load_model(kind, m2_path), table, feats, kind, d.id_col, target)
-    both = s1.select(d.id_col, "y", F.col("p").alias("p1")).join(s2.select(d.id_col, F.col("p").alias("p2")), d.id_col)
-    pred = cut_lineage(C.predictions(both, d.id_col, "y", "p1", "p2", e.prob_thr))
+    both = TR.score_stages(table, feats, _stages(kind, m1_path, m2_path))
+    pred = cut_lineage(C.predictions(both, d.id_col, target, "p1", "p2", e.prob_thr))
     return IO.write_report({
         "Summary": C.cascade_metrics(pred, e.prob_thr, e.n_bins), "Predictions": pred,
         "Agreement_Analysis": C.agreement(pred), "Outcome": C.outcome(pred),
         "ROC": M.roc_points(pred, "y_true", "y_prob"), "PR": M.pr_points(pred, "y_true", "y_prob"),
         "Calibration": M.calibration_curve(pred, "y_true", "y_prob", e.n_bins),
     }, os.path.join(cfg.output_dir, "cascade_report"))
+
+
+def cascade_stream(spark: SparkSession, cfg: JobCfg, source_dir: str, schema: str, m1_path: str, m2_path: str,
+                   out_dir: str | None = None, fmt: str = "parquet") -> str:
+    """C-6 on a stream: both saved models and the threshold are loaded once;
+    each row of the files that arrive is scored by both, combined and written
+    exactly once."""
+    d, e = cfg.data, cfg.evaluation
+    threshold = CA.load_threshold(spark, m2_path) if e.do_calibration else e.prob_thr
+    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+    target = d.target_col if d.target_col in names else names[-1]
+    feats = [c for c in names if c not in (d.id_col, target, d.grade_col, *(d.drop_features if d.drop_feature_enable else ()))]
+    stages = _stages(cfg.training.kind, m1_path, m2_path)
+
+    def derive(raw):
+        rows = raw.withColumn(target, C.final_label(d.grade_col, target)) if d.grade_col else raw
+        return TR.score_stages(rows, feats, stages).select(F.col(d.id_col).alias("id"), F.col(target).alias("y"), "p1", "p2")
+
+    return stream_cascade(spark, source_dir, schema, derive, out_dir, threshold, fmt)

@@ -3,6 +3,8 @@ encoding, scaling and profiling."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from strata.functions import clean as CL
 from strata.operators import encode as EN
 from strata.operators import profile as PR
@@ -136,11 +138,17 @@ def split_xy(spark, sf):
     return CL.split_xy(kept, ID, CL.target_column(kept, TARGET))[0]
 
 
-@register("order_columns", W + "SELECT * FROM cohort_raw", ops="P-11")
+_REVERSED = [c for c in reversed(RAW_COLS) if c not in (ID, TARGET)]
+
+
+@register("order_columns", W + "SELECT " + ", ".join(f"{c} AS c{i:02d}" for i, c in enumerate([ID, *_REVERSED, TARGET]))
+          + " FROM cohort_raw", ops="P-11")
 def order_columns(spark, sf):
-    raw = cohort_raw(spark, sf)
+    """Columns named by their place, so that the order shows in the values."""
+    raw = cohort_raw(spark, sf).select(*RAW_COLS)
     shuffled = raw.select(TARGET, *[c for c in reversed(raw.columns) if c != TARGET])
-    return CL.order_columns(shuffled, ID, TARGET).select(*RAW_COLS)
+    out = CL.order_columns(shuffled, ID, TARGET)
+    return out.toDF(*[f"c{i:02d}" for i in range(len(out.columns))])
 
 
 # ---------------------------------------------------------------- encoding
@@ -339,17 +347,28 @@ def corr_matrix(spark, sf):
     return PR.corr_matrix(cohort_raw(spark, sf), "pearson")
 
 
-_POS = {c: i for i, c in enumerate(RAW_NUM)}
+PAIR_COLS = ["price_txt", "bal_txt", "day_num", "half_num", "twin_num", "signed_num", "grade"]
 
 
-@register("corr_pairs", W + f"SELECT Feature_1, Feature_2, abs(Correlation) AS Correlation FROM ({CORR_SQL}) "
-          f"WHERE CASE Feature_1 " + " ".join(f"WHEN '{c}' THEN {i}" for c, i in _POS.items()) + " END < CASE Feature_2 "
-          + " ".join(f"WHEN '{c}' THEN {i}" for c, i in _POS.items()) + f" END AND abs(Correlation) >= {CORR_THRESHOLD!r}",
-          dbl=["Correlation"], ops="A-6 A-7")
+@register("corr_pairs", PIPE + " UNION ALL ".join(
+    f"SELECT '{a}' AS Feature_1, '{b}' AS Feature_2, Correlation FROM (SELECT abs(round_even({_pearson_sql(a, b)}, 3)) AS Correlation "
+    f"FROM enc) WHERE Correlation >= {CORR_THRESHOLD!r}" for i, a in enumerate(PAIR_COLS) for b in PAIR_COLS[i + 1:]),
+    dbl=["Correlation"], ops="A-6 A-7")
 def corr_pairs(spark, sf):
-    raw = cohort_raw(spark, sf)
-    m = PR.corr_matrix(raw, "pearson")
-    return PR.correlated_pairs(m, CL.numeric_columns(raw), CORR_THRESHOLD)
+    """On the cleaned cohort, where a price and its double are correlated."""
+    enc = _encoded(spark, sf).select(*PAIR_COLS)
+    return PR.correlated_pairs(PR.corr_matrix(enc, "pearson"), PAIR_COLS, CORR_THRESHOLD)
+
+
+@register("one_hot_dictionary", PIPE + "SELECT CAST(code - 1 AS BIGINT) AS \"index\", \"column\", value, "
+          "CAST((SELECT count(*) FROM kept WHERE segment = value) AS BIGINT) AS n FROM map", ops="F-16 W-4")
+def one_hot_dictionary(spark, sf):
+    """The sparse one-hot vectors summed up by place, with the dictionary."""
+    from pyspark.ml.functions import vector_to_array
+    vectors, names = EN.one_hot_vector(_kept(spark, sf).select(ID, *CATEGORICAL), CATEGORICAL)
+    sums = vectors.select(F.posexplode(vector_to_array("one_hot")).alias("at", "v")).groupBy("at").agg(
+        F.sum("v").cast("long").alias("n"))
+    return names.join(sums, F.col("index") == F.col("at")).select("index", "column", "value", "n")
 
 
 def _spearman_sql():
