@@ -220,7 +220,7 @@ def rank_metrics_from_curve(curve: DataFrame, keys: Sequence[str] = ()) -> DataF
     ctp, cfp = F.col("cum__tp"), F.col("cum__fp")
     agg = curve.groupBy(*keys).agg(
         F.sum(fp * (ctp - tp / 2.0)).alias("_auc_num"),
-        F.sum(tp * (ctp / (ctp + cfp))).alias("_ap_num"),
+        F.sum(tp * F.coalesce(F.try_divide(ctp, ctp + cfp), F.lit(0.0))).alias("_ap_num"),  # weights may all be 0 so far
         F.max("tot__tp").alias("n_pos"),
         F.max("tot__fp").alias("n_neg"),
     )

@@ -14,8 +14,9 @@ for large continuous columns.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.clean import numeric_columns, q
@@ -183,7 +184,7 @@ def by_target(df: DataFrame, target: str, exclude: Sequence[str] = (), exact: bo
     basic = g.select(q(target), _rows(structs)).select(target, "r.*")
     med = quantile_table(df, cols, [0.5], ["median"], keys=[target], exact=exact)
     # both sides: one row per (class, feature)
-    return basic.join(F.broadcast(med), [target, "feature"], "left").select(
+    return basic.join(med, [target, "feature"], "left").select(
         target, "feature", "count", "mean", "median", "std", "min", "max")
 
 
@@ -331,16 +332,82 @@ def ordered(report: DataFrame, *order: Column) -> DataFrame:
     return report.coalesce(1).sortWithinPartitions(*order)
 
 
+#: accuracy of the approximate quantiles that bracket the exact ones
+ACCURACY = 10_000
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], fracs: Sequence[float],
                     keys: Sequence[str] = ()) -> DataFrame:
     """Exact, linearly interpolated quantiles (numpy 'linear', Spark
     ``percentile``) without holding a column's values in one buffer:
     (keys, feature, frac, value).
 
-    Distinct values are counted per (keys, feature) (partial aggregation),
-    two-phase running counts give each distinct value its rank range, and the order statistics at ranks
-    floor / ceil of frac * (n - 1) are selected by a filter on that range,
-    so no join and no single-partition step is needed."""
+    Approximate quantiles a little below and above each frac bracket the order
+    statistics at ranks floor / ceil of frac * (n - 1); the values below a
+    bracket are counted, and only those inside (some ``8 / ACCURACY`` of the
+    rows, equal ones once) are shuffled and numbered.  Nulls are left out, NaN
+    is above all numbers, a null key is a key."""
+    keys, fracs = list(keys), [float(f) for f in fracs]
+    cols = list(cols)
+    if not cols or not fracs:
+        return df.sparkSession.createDataFrame([], "feature string, frac double, value double")
+    margin = 4.0 / ACCURACY
+    ends = [x for f in fracs for x in (max(f - margin, 0.0), min(f + margin, 1.0))]
+    aggs = [a for i, c in enumerate(cols) for a in (
+        F.count(q(c).cast("double")).alias(f"_n{i}"), F.percentile_approx(q(c).cast("double"), ends, ACCURACY).alias(f"_e{i}"))]
+    brackets = df.select(*[q(k).alias(f"_k{j}") for j, k in enumerate(keys)], *[q(c) for c in cols if c not in keys],
+                         *[q(k) for k in keys]).groupBy(*[f"_k{j}" for j in range(len(keys))]).agg(*aggs)
+    rows = df.select(*[q(k).alias(f"_r{j}") for j, k in enumerate(keys)],
+                     *[q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    if keys:
+        brackets = cut_lineage(brackets)        # a row a key
+        same = [F.col(f"_r{j}").eqNullSafe(F.col(f"_k{j}")) for j in range(len(keys))]
+        rows = rows.join(brackets, reduce(lambda a, b: a & b, same))
+    else:
+        one = brackets.first()
+        rows = rows.select("*", *[F.lit(one[f"_n{i}"]).alias(f"_n{i}") for i in range(len(cols))],
+                           *[(F.array(*[F.lit(float(v)) for v in one[f"_e{i}"]]) if one[f"_e{i}"] is not None
+                              else F.lit(None).cast("array<double>")).alias(f"_e{i}") for i in range(len(cols))])
+    part = [f"_r{j}" for j in range(len(keys))]
+    at = [(i, j) for i in range(len(cols)) for j in range(len(fracs))]
+    low, high = (lambda i, j: F.col(f"_e{i}")[2 * j]), (lambda i, j: F.col(f"_e{i}")[2 * j + 1])
+    below = rows.groupBy(*part).agg(*[F.sum((F.col(f"_x{i}") < low(i, j)).cast("long")).alias(f"b{i}_{j}") for i, j in at],
+                                    *[F.first(f"_n{i}").alias(f"n{i}") for i in range(len(cols))])
+    item = lambda i, j, *more: F.struct(F.lit(i).alias("c"), F.lit(j).alias("f"), *more)
+    below = below.select(*[F.col(c).alias(f"_b{c}") for c in part], _rows([item(
+        i, j, F.coalesce(F.col(f"b{i}_{j}"), F.lit(0)).alias("below"), F.col(f"n{i}").alias("n")) for i, j in at])).select(
+        *[f"_b{c}" for c in part], F.col("r.c").alias("_c"), F.col("r.f").alias("_f"), "r.below", "r.n").where("n > 0")
+    inside = rows.select(*part, F.explode(F.filter(F.array(*[item(i, j, F.when(
+        (F.col(f"_x{i}") >= low(i, j)) & (F.col(f"_x{i}") <= high(i, j)), F.struct(F.col(f"_x{i}").alias("v"))).alias("x"))
+        for i, j in at]), lambda r: r["x"].isNotNull())).alias("r")).select(*part, "r.c", "r.f", F.col("r.x.v").alias("v"))
+    held = inside.groupBy(*part, "c", "f", "v").agg(F.count(F.lit(1)).alias("times"))
+    w = Window.partitionBy(*part, "c", "f").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("upto", F.sum("times").over(w))
+    same = [F.col(c).eqNullSafe(F.col(f"_b{c}")) for c in part] + [F.col("c") == F.col("_c"), F.col("f") == F.col("_f")]
+    frac = F.element_at(F.array(*[F.lit(f) for f in fracs]), F.col("f") + 1)
+    pos = frac * (F.col("n") - 1)
+    upto, start = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("times")
+    holds = lambda rank: (start <= rank) & (rank < upto)
+    g = held.join(below, reduce(lambda a, b: a & b, same)).groupBy(*part, "c", "f").agg(
+        F.max(F.when(holds(F.floor(pos)), F.col("v"))).alias("lo"), F.max(F.when(holds(F.ceil(pos)), F.col("v"))).alias("hi"),
+        F.first(pos).alias("pos"), F.first(frac).alias("frac"))
+    share = F.col("pos") - F.floor("pos")
+    # equal neighbours return the value itself (an interpolated copy can be
+    # 1 ulp off, which moves data points across bin edges)
+    found = cut_lineage(g.select(
+        *[F.col(c).alias(k) for c, k in zip(part, keys)], F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("c") + 1).alias("feature"),
+        "frac", F.when((share == 0) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(
+            F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value")))
+    n_held = [F.sum((F.col(f"_n{i}") > 0).cast("long")) for i in range(len(cols))]
+    wanted = sum(x or 0 for x in brackets.agg(*n_held).first()) if keys else sum(one[f"_n{i}"] > 0 for i in range(len(cols)))
+    missed = found.agg(F.count("value")).first()[0] < wanted * len(fracs)
+    return _quantiles_by_counts(df, cols, fracs, keys) if missed else found
+
+
+def _quantiles_by_counts(df: DataFrame, cols: Sequence[str], fracs: Sequence[float],
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """:func:`exact_quantiles` by running counts over all distinct values, for
+    quantiles that the brackets miss."""
     keys = list(keys)
     long = df.select(*[q(k) for k in keys], _rows([F.struct(F.lit(c).alias("feature"),
                                                             q(c).cast("double").alias("v")) for c in cols])) \
