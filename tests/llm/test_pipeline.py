@@ -31,6 +31,8 @@ def sf(spark, tmp_path_factory):
     v = np.random.default_rng(1).normal(size=(300, 8))
     spark.createDataFrame([(i, r.tolist(), i % 2) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int") \
         .write.parquet(f"{folder}/embeddings.parquet")
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"Turn {t} of {c}.") for c in range(25) for t in range(c % 7 + 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -64,6 +66,6 @@ def test_run_is_the_chain_of_stages(spark, sf):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_every_query_gives_a_row_for_what_it_reads(spark, sf, name):
     rows = QUERIES[name](spark, sf).collect()
-    reads = {"op2": 20, "op6": 3 * 10, "op9": 300}
+    reads = {"op2": 20, "op6": 3 * 10, "op9": 300, "op11": 25}
     assert len(rows) == reads.get(name.split("_")[0], 123) or name.startswith("op8")
     assert rows
