@@ -86,11 +86,11 @@ def test_cascade_truth_is_derived_from_the_grade(spark, tmp_path, monkeypatch):
     table = spark.createDataFrame(rows, "id long, a double, grade int, target int")
     monkeypatch.setattr(jobs.TR, "load_model", lambda kind, path: path)
 
-    def score(model, df, feats, kind, id_col, y):
-        assert feats == ["a"]
-        return df.select("id", F.col(y).alias("y"), (F.col("a") / 3).alias("p"))
+    def score(df, feats, stages):
+        assert feats == ["a"] and [(model, name) for model, _, name in stages] == [("m1", "p1"), ("m2", "p2")]
+        return df.select("*", (F.col("a") / 3).alias("p1"), (F.col("a") / 3).alias("p2"))
 
-    monkeypatch.setattr(jobs.TR, "score", score)
+    monkeypatch.setattr(jobs.TR, "score_stages", score)
     cfg = JobCfg(output_dir=str(tmp_path), data=DataCfg(id_col="id", target_col="target", grade_col="grade"))
     pred = spark.read.parquet(jobs.cascade(spark, cfg, table, "m1", "m2")["Predictions"])
     assert {r["ID"]: r["y_true"] for r in pred.collect()} == {i: int(g >= 3) for i, _, g, _ in rows}
