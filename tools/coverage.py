@@ -32,7 +32,7 @@ WHERE = {
     "J-7": "operators/explain.py tree_shap (broadcast leaves)", "J-8": "operators/impute.py (coalesce observed)",
     "A-1": "operators/profile.py overview", "A-2": "operators/profile.py describe_all",
     "A-3": "functions/clean.py row_missing_report", "A-4": "functions/clean.py column_missing_report",
-    "A-5": "operators/profile.py corr_matrix", "A-6": "operators/profile.py correlated_pairs",
+    "A-5": "operators/profile.py corr_matrix; operators/moments.py", "A-6": "operators/profile.py correlated_pairs",
     "A-7": "operators/profile.py corr_matrix / correlated_pairs (empty on < 2 columns)",
     "A-8": "operators/profile.py skewness", "A-9": "operators/profile.py outliers_percentile",
     "A-10": "operators/profile.py by_target", "A-11": "operators/profile.py category_by_target",
@@ -41,7 +41,7 @@ WHERE = {
     "A-16": "operators/metrics.py confusion (rollup)", "A-17": "operators/train.py importance_ci",
     "W-1": "operators/folds.py stratified_folds; functions/prefix.py global_row_number",
     "W-2": "operators/metrics.py rank_curve; functions/prefix.py running_sums",
-    "W-3": "operators/profile.py spearman_pairs", "W-4": "operators/encode.py ordinal_mapping",
+    "W-3": "operators/profile.py spearman_pairs", "W-4": "operators/encode.py ordinal_mapping; functions/prefix.py sorted_numbers",
     "O-1": "operators/profile.py ordered (used by plans/jobs.py)", "O-2": "operators/explain.py background_sample",
     "O-3": "operators/bootstrap.py bootstrap_ci (percentile 2.5/97.5)", "U-1": "unionByName in train/metrics",
     "U-2": "operators/explain.py group_parents (features outside any group)",
@@ -53,9 +53,9 @@ WHERE = {
     "F-11": "functions/clean.py sigmoid; operators/train.py positive_probability",
     "F-12": "functions/clean.py clip (mice min/max)", "F-13": "functions/clean.py missing_indicators; impute add_indicator",
     "F-14": "bround in cascade.agreement / profile.corr_matrix", "F-15": "operators/explain.py group_parents",
-    "F-16": "operators/encode.py one_hot", "F-17": "operators/encode.py scale",
-    "I-1": "operators/impute.py median_fill", "I-2": "operators/impute.py forest_impute",
-    "I-3": "operators/impute.py mice_impute", "I-4": "operators/impute.py mice_impute (n_nearest)",
+    "F-16": "operators/encode.py one_hot, one_hot_vector", "F-17": "operators/encode.py scale",
+    "I-1": "operators/impute.py median_fill", "I-2": "operators/impute.py forest_impute; operators/forest.py",
+    "I-3": "operators/impute.py mice_impute; operators/moments.py", "I-4": "operators/impute.py mice_impute (n_nearest)",
     "I-5": "operators/impute.py mice_impute (sample_posterior)", "I-6": "operators/impute.py (tol, max_iter)",
     "I-7": "operators/impute.py (observed kept)", "I-8": "operators/impute.py impute (dispatch)",
     "I-9": "operators/impute.py imputation_benchmark; plans/jobs.py prepare (eval_enabled)",
@@ -78,7 +78,7 @@ WHERE = {
     "E-15": "operators/metrics.py model_compare",
     "C-1": "operators/cascade.py combine", "C-2": "operators/cascade.py cascade_metrics",
     "C-3": "operators/cascade.py agreement", "C-4": "operators/cascade.py cascade_ece",
-    "C-5": "operators/cascade.py predictions", "C-6": "plans/jobs.py cascade; streaming/score_stream.py",
+    "C-5": "operators/cascade.py predictions", "C-6": "plans/jobs.py cascade, cascade_stream; operators/train.py score_stages; streaming/score_stream.py",
     "C-7": "operators/cascade.py outcome",
 }
 
