@@ -21,44 +21,79 @@ from strata.llm.common import cut, prepare
 
 
 class _Stock:
-    """Pieces left of each length, with the index of their sums."""
+    """Pieces left of each length, with an index from sums to the pairs and
+    triples of lengths that make them.
+
+    ``pairs``: for each sum the larger members of its pairs, largest first.
+    ``triples``: for each sum its largest members, largest first; the other
+    two are a pair of the rest, none larger.  A combination of which a length
+    has run out never comes back, so each list keeps a mark of how far its
+    front is used up.  The index holds at most ``capacity ** 2`` small
+    numbers, whatever the number of pieces.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         import numpy as np
         self.np, self.n = np, np.zeros(capacity + 1, np.int64)
         for length, c in counts.items():
             self.n[length] += c
+        held = np.flatnonzero(self.n[:capacity] > 0)
+        pairs, triples = [], []
+        smallest = np.full(capacity + 1, capacity + 1)  # of a sum's pairs, the least larger member
+        for x in held.tolist():
+            small = held[(held <= x) & (held + x <= capacity)]
+            pairs.append((x + small, np.full(len(small), x)))
+            smallest[x + small] = np.minimum(smallest[x + small], x)
+        for x in held.tolist():
+            two = np.flatnonzero(smallest[:capacity - x + 1] <= x)
+            triples.append((x + two, np.full(len(two), x)))
+        self.pairs, self.triples = self._by_sum(pairs, capacity), self._by_sum(triples, capacity)
+
+    def _by_sum(self, found, capacity):
+        """Members by sum, largest first: (members, first of a sum, end of a sum)."""
+        np = self.np
+        sums = np.concatenate([s for s, _ in found]) if found else np.zeros(0, np.int64)
+        large = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+        order = np.lexsort((-large, sums))
+        ends = np.searchsorted(sums[order], np.arange(capacity + 1), "right")
+        return large[order], np.concatenate([[0], ends[:-1]]), ends
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        """The pair of sum ``total`` with the largest member."""
+        large, first, end = self.pairs
+        while first[total] < end[total]:
+            x = int(large[first[total]])
+            if self._enough((x, total - x)):
+                return x, total - x
+            first[total] += 1
+        return None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        """The triple of sum ``total`` with the largest member, of several
+        the one with the next largest."""
+        np = self.np
+        large, first, end = self.triples
+        in_pairs, start, stop = self.pairs
+        while first[total] < end[total]:
+            x = int(large[first[total]])
+            rest = total - x
+            if self.n[x] > 0:
+                self.n[x] -= 1
+                y = in_pairs[start[rest]:stop[rest]]
+                y = y[y <= x]
+                hit = np.flatnonzero((self.n[y] >= np.where(2 * y == rest, 2, 1)) & (self.n[rest - y] > 0))
+                self.n[x] += 1
+                if len(hit):
+                    return x, int(y[hit[0]]), int(rest - y[hit[0]])
+            first[total] += 1
+        return None
 
     def _enough(self, lengths) -> bool:
         return all(self.n[x] >= lengths.count(x) for x in set(lengths))
 
-    def pair(self, total: int, most: int) -> tuple[int, ...] | None:
-        """Two lengths that sum to ``total``, the larger at most ``most`` and
-        as large as can be."""
-        np = self.np
-        if total < 2:
-            return None
-        a = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
-        need = np.where(2 * a == total, 2, 1)
-        hit = np.flatnonzero((self.n[a] >= need) & (self.n[total - a] > 0))
-        return (int(a[hit[0]]), int(total - a[hit[0]])) if len(hit) else None
-
     def complement(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three lengths that sum to ``gap``."""
-        if self.n[gap] > 0:
-            return (gap,)
-        two = self.pair(gap, gap - 1)
-        if two:
-            return two
-        np = self.np
-        held = np.flatnonzero(self.n[1:gap] > 0) + 1
-        for a in held[::-1].tolist():
-            self.n[a] -= 1
-            two = self.pair(gap - a, min(a, gap - a - 1)) if gap - a >= 2 else None
-            self.n[a] += 1
-            if two and self._enough((a, *two)):
-                return (a, *two)
-        return None
+        return (gap,) if self.n[gap] > 0 else self.pair(gap) or self.triple(gap)
 
     def take(self, lengths: tuple[int, ...]) -> int:
         """Consume the combination as often as its lengths last."""
