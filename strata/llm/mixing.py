@@ -58,33 +58,81 @@ def targets(totals: DataFrame, weights: Sequence[float], cap: float) -> DataFram
         "_llm_source", "source_size", "rn", "target")
 
 
-def _normal(*keys: Column) -> Column:
-    """A standard normal value, the same for the same keys."""
-    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(k)), 11) + 0.5) / float(1 << 53)
-    return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * math.pi * unit(2))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _tail(mode: Column, stop: Column, step, state, add) -> Column:
+    """Run ``add(state, x, weight)`` over the outcomes beside the mode, from
+    the nearest to ``stop``; ``step(x)`` is the weight of x over that of its
+    neighbour nearer to the mode (whose own weight is 1)."""
+    start = F.when(stop >= mode, mode + 1).otherwise(mode - 1)
+    xs = F.when(stop == mode, F.array().cast("array<bigint>")).otherwise(F.sequence(start, stop))
+    return F.aggregate(xs, F.struct(F.lit(1.0).alias("w"), state.alias("s")), lambda acc, x: _let(
+        acc["w"] * step(x), lambda w: F.struct(w.alias("w"), add(acc["s"], x, w).alias("s"))), lambda acc: acc["s"])
+
+
+def hypergeometric(rest: Column, held: Column, need: Column, unit: Column) -> Column:
+    """The number of ``held`` blocks among ``need`` drawn without replacement
+    from ``rest``, for a uniform ``unit`` in [0, 1): the inverse of the exact
+    law, its weights found by recurrence from the mode.  Outcomes over nine
+    deviations and 60 away weigh less than the last bit of ``unit``."""
+    def draw(p):
+        n, k, m = p["rest"].cast("double"), p["held"].cast("double"), p["need"].cast("double")
+        up = lambda x: (k - x + 1) * (m - x + 1) / (x * (n - k - m + x))  # noqa: E731  weight of x over that of x - 1
+        down = lambda x: 1 / up(x + 1)
+        plus = lambda s, x, w: s + w
+
+        def search(law):
+            # the mode, then the outcomes above it, then those below
+            found = lambda s, x, w: F.struct((s["left"] - w).alias("left"), F.when(
+                s["at"].isNull() & (s["left"] < w), x).otherwise(s["at"]).alias("at"))
+            begin = F.struct((unit * law["all"] - 1).alias("left"), F.when(unit * law["all"] < 1, p["mode"]).alias("at"))
+            above = _tail(p["mode"], p["high"], up, begin, found)
+            return F.coalesce(_let(above, lambda s: _tail(p["mode"], p["low"], down, s, found))["at"], p["mode"])
+
+        total = 1 + _tail(p["mode"], p["high"], up, F.lit(0.0), plus) + _tail(p["mode"], p["low"], down, F.lit(0.0), plus)
+        return _let(F.struct(total.alias("all")), search)
+
+    share = held / F.greatest(rest, F.lit(1).cast("long"))
+    spread = F.sqrt(F.greatest(need * share * (1 - share) * (rest - need) / F.greatest(rest - 1, F.lit(1).cast("long")),
+                               F.lit(0.0)))
+    least, most = F.greatest(F.lit(0).cast("long"), need - (rest - held)), F.least(held, need)
+    reach = (F.ceil(9 * spread) + 60).cast("long")
+    mode = F.least(F.greatest(F.floor((need + 1.0) * (held + 1.0) / (rest + 2.0)).cast("long"), least), most)
+    return _let(F.struct(rest.alias("rest"), held.alias("held"), need.alias("need"), mode.alias("mode"),
+                         F.greatest(least, mode - reach).alias("low"), F.least(most, mode + reach).alias("high")), draw)
 
 
 def _split(quotas: Column, part: Column, low: Column, seed: int) -> Column:
     """Quotas of the left child: ``part`` of the blocks, drawn without
-    replacement.  Source after source, the draw has the hypergeometric mean
-    and variance (normal form, rounded) and stays inside its exact bounds,
-    so the parts always sum to what the child takes."""
+    replacement: source after source by the hypergeometric law, conditional
+    on the rest, so the parts always sum to what the child takes."""
     total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q)
     state = F.struct(total.alias("rest"), F.floor(total * part).cast("long").alias("need"),
                      F.array().cast("array<bigint>").alias("out"))
 
     def draw(acc, q):
-        rest, need = acc["rest"], acc["need"]
-        share = q / F.greatest(rest, F.lit(1).cast("long"))
-        spread = F.sqrt(F.greatest(need * share * (1 - share) * (rest - need)
-                                   / F.greatest(rest - 1, F.lit(1).cast("long")), F.lit(0.0)))
-        x = F.round(need * share + spread * _normal(F.lit(seed), low, part, F.size(acc["out"]))).cast("long")
-        x = F.least(F.greatest(x, F.lit(0).cast("long"), need - (rest - q)), q, need)
-        return F.struct((rest - q).alias("rest"), (need - x).alias("need"), F.concat(acc["out"], F.array(x)).alias("out"))
+        unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), low, part, F.size(acc["out"])), 11) / float(1 << 53)
+        return _let(hypergeometric(acc["rest"], q, acc["need"], unit), lambda x: F.struct(
+            (acc["rest"] - q).alias("rest"), (acc["need"] - x).alias("need"),
+            F.concat(acc["out"], F.array(x)).alias("out")))
 
     return F.aggregate(quotas, state, draw, lambda acc: acc["out"])
 
 
+def permuted(block: Column, blocks: Column, *key: Column, rounds: int = 24) -> Column:
+    """The place of a block among ``blocks``, by a keyed bijection: each round
+    pairs the places that sum to a drawn number and swaps the pairs that a
+    hash picks."""
+    def swap(x, r):
+        other = F.pmod(F.pmod(F.xxhash64(*key, r), blocks) - x, blocks)
+        return _let(other, lambda y: F.when(F.xxhash64(*key, r, F.greatest(x, y)) % 2 == 0, y).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), block, swap)
+
+
 def shard_quotas(plan: DataFrame, n_shards: int, seed: int) -> DataFrame:
     """``(shard, quotas)``: one array over the sources (by ``rn``) for each
     shard, from ``plan(rn, blocks)``; per source they sum to its blocks."""
@@ -131,7 +179,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
             .groupBy("k").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("by"))
             .select((F.col("k") + 1).alias("rn"), F.aggregate("by", F.array().cast("array<bigint>"), lambda a, s: F.concat(
                 a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + s["quota"]))).alias("ends")))
-    plan = cut(plan.join(ends, "rn").select(F.col("_llm_source").alias("_llm_s"), "source_size", "target", "words", "ends"))
+    plan = cut(plan.join(ends, "rn").select(F.col("_llm_source").alias("_llm_s"), "source_size", "target", "words", "ends",
+                                            "rn", "blocks"))
 
     # exclusive running words in permuted order, in two steps: buckets of the
     # order hash (no larger than ROWS_PER_BUCKET or so, however large the
@@ -155,7 +204,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
         F.least(F.col("size"), F.greatest(F.col("words") - p["at"], F.lit(0).cast("long"))).alias("words")))
     pieces = F.transform(F.filter(taken, lambda p: p["words"] > 0), lambda p: F.struct(
         p["pass"], p["words"],
-        F.size(F.filter("ends", lambda e: e <= F.floor(p["at"] / block_words))).alias("shard"),
+        _let(permuted(F.floor(p["at"] / block_words).cast("long"), F.col("blocks"), F.lit(seed), F.col("rn")),
+             lambda place: F.size(F.filter("ends", lambda e: e <= place))).alias("shard"),
         F.xxhash64(F.col("_llm_order"), p["pass"], F.lit(seed + 1)).alias("place")))
     rows = rows.withColumn("pieces", pieces)
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_llm_order"], "source_size", "target", F.aggregate(
