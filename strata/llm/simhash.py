@@ -2,16 +2,22 @@
 
 A fingerprint is eight positional bytes.  Two fingerprints that differ in at
 most ``max_bits`` bits differ in at most ``max_bits`` bytes, so they share at
-least ``8 - max_bits`` of them: that is the guaranteed number of matches of
-the count filter.  A posting list of one byte would hold 1/256 of all
-fingerprints, and tallying its pairs would be quadratic, so a posting is the
-tuple of the guaranteed number of bytes at fixed positions: every pair that
-reaches the count meets in at least one list, and no other pair meets.  Pairs
-are then tallied and verified by their bit distance inside the join.
+least ``8 - max_bits`` = m of them.  A posting list of one positional byte
+would hold 1/256 of all fingerprints, so a list is kept by several: every set
+of ``width`` positions with its bytes, where ``width`` grows with the number
+of fingerprints so that a list holds about one of them by chance.  The
+matches of a pair are tallied over the lists; a pair that shares m bytes has
+at least C(m, width) of them and a pair that shares fewer has fewer, so the
+pairs that reach this count are retained and verified by their bit distance.
+
+A list that holds many fingerprints (of one kind of text) is split by further
+bytes, up to m: a pair that shares m bytes still meets in a part of it and
+counts it as one match, the others of the list never meet.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -21,6 +27,7 @@ from strata.llm.common import cut, keep_columns, prepare
 from strata.llm.graph import components
 
 BLOCK = 1 << 15  # shingles whose bits are counted at once
+LONG_LIST = 64   # a list of more fingerprints is split by further bytes
 
 
 def _fingerprint(text: str | None, size: int) -> int:
@@ -50,29 +57,50 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text",
     return docs.select("*", fp(F.col(f"`{text_col}`").cast("string")).alias(name))
 
 
-def _bytes_shared(a: str, b: str):
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return sum(F.when(x.bitwiseAND(F.lit(_mask((i,)))) == 0, 1).otherwise(0) for i in range(8))
-
-
 def _mask(positions) -> int:
     m = sum(0xFF << (8 * i) for i in positions)
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+def pairs(nodes: DataFrame, max_bits: int = 2, width: int | None = None, long_list: int = LONG_LIST) -> DataFrame:
+    """``(nodea, fpa, nodeb, fpb)``: every pair of rows of ``nodes(node, fp)``,
+    whose fingerprints are distinct, that differs in at most ``max_bits`` bits,
+    once."""
+    least = max(0, 8 - max_bits)      # bytes that a pair is sure to share
+    if width is None:
+        n = nodes.count()
+        width = next(w for w in range(1, 9) if 256 ** w >= n or w == 8)
+    width = min(width, least)
+    sets, wide = list(combinations(range(8), width)), list(combinations(range(8), least))
+    masks, wide_masks = (F.array(*[F.lit(_mask(c)) for c in some]) for some in (sets, wide))
+    # for each set of positions, the sets of ``least`` positions around it
+    around = F.array(*[F.array(*[F.lit(k) for k, c in enumerate(wide) if set(c) >= set(s)]) for s in sets])
+    posts = nodes.select("node", "fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("place", "held"))
+    long = (posts.groupBy("place", "held").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > long_list)
+            .select(F.col("place").alias("_llm_p"), F.col("held").alias("_llm_h")))
+    posts = posts.join(long, (F.col("place") == F.col("_llm_p")) & (F.col("held") == F.col("_llm_h")), "left")
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.col("held").alias("held")))
+    split = F.transform(around[F.col("place")], lambda k: F.struct(
+        k.alias("part"), F.col("fp").bitwiseAND(wide_masks[k]).alias("held")))
+    lists = posts.select("node", "fp", "place", F.explode(F.when(F.col("_llm_p").isNull(), whole).otherwise(split)).alias("l"))
+    lists = lists.select("node", "fp", "place", "l.part", "l.held")
+    a, b = (lists.select(*[F.col(c).alias(f"{c}{k}") for c in lists.columns]) for k in "ab")
+    met = a.join(b, (F.col("placea") == F.col("placeb")) & (F.col("parta") == F.col("partb"))
+                 & (F.col("helda") == F.col("heldb")) & (F.col("fpa") < F.col("fpb")))
+    # lists in common: a bit a set of positions (70 at most, so in two words),
+    # since the parts of a split list count once
+    bits = [F.expr(f"bit_count(bit_or(if(placea div 35 = {k}, shiftleft(1L, placea % 35), 0L)))") for k in (0, 1)]
+    tally = met.groupBy("nodea", "fpa", "nodeb", "fpb").agg((bits[0] + bits[1]).alias("matches"))
+    return tally.filter((F.col("matches") >= math.comb(least, width))
+                        & (F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))) <= max_bits)).drop("matches")
+
+
 def classes(marked: DataFrame, max_bits: int = 2, id_col: str = "doc_id") -> DataFrame:
     """``(_llm_fp, component_id)`` for every distinct fingerprint of a table
     with columns ``_llm_fp`` and ``id_col``."""
     nodes = cut(marked.groupBy("_llm_fp").agg(F.min(f"`{id_col}`").alias("node")))
-    sets = [_mask(c) for c in combinations(range(8), 8 - max_bits)]
-    # all rows of a list have its bytes, so lists are keyed by these alone
-    posts = nodes.filter("node is not null").select("node", F.col("_llm_fp").alias("fp"), F.posexplode(
-        F.array(*[F.col("_llm_fp").bitwiseAND(F.lit(m)) for m in sets])).alias("place", "held"))
-    a, b = (posts.select(*[F.col(c).alias(f"{c}{k}") for c in posts.columns]) for k in "ab")
-    pairs = a.join(b, (F.col("placea") == F.col("placeb")) & (F.col("helda") == F.col("heldb"))
-                   & (F.col("fpa") < F.col("fpb")) & (_bytes_shared("fpa", "fpb") >= 8 - max_bits)
-                   & (F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))) <= max_bits))
-    roots = components(pairs.select(F.col("nodea").alias("v"), F.col("nodeb").alias("u")))
+    found = pairs(nodes.filter("node is not null").select("node", F.col("_llm_fp").alias("fp")), max_bits)
+    roots = components(found.select(F.col("nodea").alias("v"), F.col("nodeb").alias("u")))
     return cut(nodes.join(roots.withColumnRenamed("node", "_llm_node"), F.col("node") == F.col("_llm_node"), "left")
                .select(F.col("_llm_fp").alias("_llm_f"), F.coalesce("root", "node").alias("component_id")))
 
