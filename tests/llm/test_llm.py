@@ -2,10 +2,12 @@
 empty and long texts, repeated rows, ties, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -181,6 +183,34 @@ def test_simhash_against_brute_force(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width, long_list", [(1, 4), (2, 3), (3, 5), (4, 2), (6, 1), (None, 64)])
+def test_pairs_by_tally_against_all_pairs(spark, width, long_list):
+    rnd = random.Random(9)
+    mask = (1 << 64) - 1
+    # centres that share many bytes, neighbours at 1 to 4 bits, in one byte or in several
+    centre = [rnd.getrandbits(64)]
+    centre += [centre[0] ^ (rnd.getrandbits(8) << (8 * rnd.randrange(8))) for _ in range(12)] + [0, mask]
+    fps = set(centre)
+    for c in centre:
+        for k in (1, 2, 2, 3, 4):
+            fps.add(c ^ sum(1 << b for b in rnd.sample(range(64), k)))
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    nodes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long").repartition(3)
+    want = {(x, y) for (x, a), (y, b) in combinations(enumerate(fps), 2) if ((a ^ b) & mask).bit_count() <= 2}
+    got = [(r.nodea, r.nodeb) for r in simhash.pairs(nodes, 2, width, long_list).collect()]
+    assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == want
+
+
+def test_fingerprint_written_out():
+    from xxhash import xxh64_intdigest
+    for text in ("", None, "One", "a B c d a b C", "ÄRGER ist  Ärger\u00a0hier\x0b\x0cund dort", LONG):
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+        grams = [" ".join(words[k:k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxh64_intdigest(g.encode(), seed=42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash._fingerprint(text, 3) % (1 << 64) == want
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = [rng.normal(size=8).round(2).tolist() for _ in range(700)]
@@ -260,6 +290,31 @@ def test_shard_quotas_are_exact(spark):
     assert min(min(r.quotas) for r in rows) >= 0 and max(sum(r.quotas) for r in rows) - min(sum(r.quotas) for r in rows) <= 3
 
 
+@pytest.mark.parametrize("rest, held, need", [(40, 15, 12), (9, 9, 4), (9, 0, 4), (7, 3, 7), (300, 2, 150), (60, 50, 40)])
+def test_draws_follow_the_hypergeometric_law(spark, rest, held, need):
+    n = 4000
+    long = lambda x: F.lit(x).cast("long")
+    got = [r.x for r in spark.range(n).select(mixing.hypergeometric(
+        long(rest), long(held), long(need), (F.col("id") + 0.5) / n).alias("x")).collect()]
+    law = {x: math.comb(held, x) * math.comb(rest - held, need - x) / math.comb(rest, need)
+           for x in range(max(0, need - rest + held), min(held, need) + 1)}
+    count = Counter(got)
+    assert set(count) <= set(law)
+    # evenly spread units: each outcome as often as the law says, but for its ends
+    assert all(abs(count[x] - n * p) <= 1.01 for x, p in law.items())
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 7, 1000])
+def test_blocks_are_permuted(spark, blocks):
+    rows = spark.range(blocks).select("id", mixing.permuted(
+        F.col("id"), F.lit(blocks).cast("long"), F.lit(3), F.lit(1)).alias("place")).collect()
+    assert sorted(r.place for r in rows) == list(range(blocks))
+    if blocks == 1000:
+        # neighbours part: a run of a tenth of the places draws from the whole stream
+        mean = np.mean([r.id for r in rows if r.place < 100])
+        assert abs(mean - 500) < 100 and sum(abs(r.place - r.id) < 10 for r in rows) < 60
+
+
 def test_packing(spark, docs):
     rows = packing.pack_documents(docs, tokenizer_path()).collect()
     with open(tokenizer_path(), encoding="utf-8") as f:
@@ -297,6 +352,22 @@ def test_plan_uses_every_piece_once(n):
     assert used == counts and bins <= 1.12 * sum(k * c for k, c in counts.items()) / 2048 + 1
 
 
+def test_index_of_sums_against_all_combinations():
+    rnd = random.Random(4)
+    for _ in range(40):
+        counts = {x: rnd.randint(1, 2) for x in rnd.sample(range(1, 40), 9)}
+        stock, pool = packing._Stock(counts, 40), sorted(x for x, c in counts.items() for _ in range(c))
+        while pool:
+            for gap in range(1, 40):
+                # single before pair before triple, the largest members first
+                want = next((max(tuple(sorted(c, reverse=True)) for c in found) for k in (1, 2, 3) if (
+                    found := [c for c in combinations(pool, k) if sum(c) == gap])), None)
+                assert stock.complement(gap) == want
+            gone = rnd.choice(pool)      # the index is kept up as lengths run out
+            stock.n[gone] -= 1
+            pool.remove(gone)
+
+
 def test_links_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(30, 16))
