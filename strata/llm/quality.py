@@ -23,7 +23,7 @@ CHUNK = 512        # bytes of a chunk
 STRIDE = 448       # bytes from chunk to chunk; they overlap by the rest
 BLOCK = 128        # chunks whose responses are held at once
 SAMPLE_ROWS = 1200       # labelled documents of each class that the fit may read
-SAMPLE_BYTES = 16_384    # the fit leaves out longer documents; scoring none
+SAMPLE_BYTES = 16_384    # of a longer document the fit reads chunks that sum to this; scoring reads all
 
 
 def held_out(id_col: str = "doc_id"):
@@ -102,7 +102,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
     if len(set(labels)) < 2:
         net.out[:] = 0
         return net
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
     params = {"conv": net.conv, "bias": net.bias, "out": net.out, "shift": np.array([net.shift])}
     mean = {k: np.zeros_like(v) for k, v in params.items()}
     square = {k: np.zeros_like(v) for k, v in params.items()}
@@ -151,14 +151,28 @@ def _backward(net: ByteNet, data: bytes, label: int, grad: dict) -> None:
         np.add.at(grad["conv"][j], (bytes_at[j], filters[None, :]), g)
 
 
+def _excerpt(text, key, longest: int):
+    """The UTF-8 bytes of a text; of one over ``longest`` bytes as many whole
+    chunks as fit, one at a hashed place of each of as many equal stretches of
+    the whole text."""
+    data, n = F.encode(text, "UTF-8"), max(1, longest // CHUNK)
+    wide = F.floor(F.octet_length(text) / n)
+    chunk = lambda k: F.substring(data, (k * wide + F.pmod(F.xxhash64(key, k), F.greatest(
+        wide - CHUNK, F.lit(0)) + 1) + 1).cast("int"), F.lit(CHUNK))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), chunk)
+    joined = F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x))
+    return F.when(F.octet_length(text) <= longest, data).otherwise(joined)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text",
         id_col: str = "doc_id", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, **params) -> ByteNet:
     """Learn from labelled documents that are not held out: at most ``rows``
-    of each class, in the order of a hash of the id, from the documents of at
-    most ``longest`` bytes; an error where these lack a class of the labels.  Rows without id or label teach nothing; an id labelled
-    more than once counts with its smallest label.  The sample holds the
-    classes in equal parts; the fitted odds are then moved to those of all
-    labels."""
+    of each class, in the order of a hash of the id.  A text of more than
+    ``longest`` bytes teaches by chunks from hashed places of the whole of it.
+    Rows without id or label teach nothing; an id labelled more than once
+    counts with its smallest label.  The sample holds the classes in equal
+    parts; the fitted odds are then moved to those of all labels.  Where the
+    documents lack a class, the network is constant (see ``train``)."""
     i, y = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
     known = labels.filter(i.isNotNull() & y.isin(0, 1) & ~held_out(id_col)).groupBy(i.alias("_llm_id")).agg(
         F.min(y).alias("y"))
@@ -166,20 +180,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = (F.xxhash64("_llm_id"), F.col("_llm_id"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    texts = docs.select(i.alias("_llm_i"), text.alias("t"))
-    short = texts.filter(F.octet_length("t") <= longest)
-    fit_for = cut(known.join(short.select("_llm_i"), F.col("_llm_id") == F.col("_llm_i"), "left_semi"))
+    fit_for = cut(known.join(docs.select(i.alias("_llm_i")), F.col("_llm_id") == F.col("_llm_i"), "left_semi"))
     chosen = cut(fit_for.filter("y = 0").orderBy(*order).limit(rows).union(
         fit_for.filter("y = 1").orderBy(*order).limit(rows)))
-    # at most 2 x rows ids
-    sample = (short.join(F.broadcast(chosen), F.col("_llm_i") == F.col("_llm_id"))
+    # at most 2 x rows ids; rows that repeat an id teach by their smallest excerpt
+    sample = (docs.select(i.alias("_llm_i"), text.alias("t"))
+              .join(F.broadcast(chosen), F.col("_llm_i") == F.col("_llm_id"))
+              .select("_llm_id", "y", _excerpt(F.col("t"), F.col("_llm_id"), longest).alias("t"))
               .groupBy("_llm_id").agg(F.min(F.struct("t", "y")).alias("s")).orderBy(*order)
               .select("s.t", "s.y").collect())
     ys = [int(r["y"]) for r in sample]
-    if len(counts) == 2 and len(set(ys)) < 2 and (
-            ys or not texts.join(known, F.col("_llm_i") == F.col("_llm_id"), "left_semi").isEmpty()):
-        raise ValueError(f"labels have two classes, but the documents of at most {longest} bytes have labels {sorted(set(ys))} only")
-    net = train([r["t"] for r in sample], ys, **params)
+    net = train([bytes(r["t"]) for r in sample], ys, **params)
     if len(set(ys)) == 2:
         net.shift += math.log(counts[1] / counts[0]) - math.log(sum(ys) / (len(ys) - sum(ys)))
     return net

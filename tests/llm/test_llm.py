@@ -126,17 +126,52 @@ def test_entropy_of_the_pieces_of_a_candidate(spark):
         assert r.want is None or r.want not in r.text
 
 
-def test_quality_chooses_among_the_texts_that_may_teach(spark, monkeypatch):
-    rows = [(i, "good words here " * (2 if i % 5 == 0 else 2000) if i % 2 else "junk ##", i % 2) for i in range(400)]
+def test_quality_long_texts_teach(spark, monkeypatch):
+    # every text of class 1 is long; its bytes tell the place they come from
+    long = "".join(f"{k:07d} " for k in range(9000))
+    rows = [(i, long if i % 2 else "junk ##", i % 2) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     seen = []
-    monkeypatch.setattr(quality, "train", lambda texts, labels, **kw: seen.append(labels) or quality.ByteNet(None, None, None, 0.0))
+    plain = quality.train
+    monkeypatch.setattr(quality, "train", lambda texts, labels, **kw: seen.append((texts, labels)) or plain([], []))
     quality.fit(df, df, rows=15)
-    assert Counter(seen[0]) == {0: 15, 1: 15}
-    for some in (df.filter("quality = 0 or length(text) > 20000"), df.filter("length(text) > 20000")):
-        with pytest.raises(ValueError, match="two classes"):
-            quality.fit(some, df)
-    quality.fit(df.limit(0), df)
+    texts, labels = seen[0]
+    assert Counter(labels) == {0: 15, 1: 15}
+    for t, y in zip(texts, labels):
+        if y == 0:
+            assert t == b"junk ##"
+            continue
+        n, wide = quality.SAMPLE_BYTES // quality.CHUNK, len(long) // (quality.SAMPLE_BYTES // quality.CHUNK)
+        assert len(t) == quality.SAMPLE_BYTES
+        for k in range(n):
+            part = t[k * quality.CHUNK:(k + 1) * quality.CHUNK]
+            at = long.encode().find(part)
+            assert k * wide <= at <= (k + 1) * wide - quality.CHUNK
+    assert len({t for t, y in zip(texts, labels) if y}) > 1       # places differ from text to text
+    # documents of one class only, or none: a constant network, no error
+    for some in (df.filter("quality = 0"), df.limit(0)):
+        assert 0 < quality.fit(some, df).score("x") < 1
+
+
+def test_quality_scores_against_plain_convolution(spark):
+    rng = np.random.default_rng(8)
+    net = quality.ByteNet(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)), rng.normal(0, 0.1, quality.FILTERS),
+                          rng.normal(0, 0.5, 2 * quality.FILTERS), 0.2)
+    texts = [None, "", "a", "Ärger " * 3, prose(100), prose(400), "x" * quality.CHUNK, "y" * (quality.CHUNK + 1)]
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(df, net).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        tops = []
+        start = 0
+        while not tops or start + quality.CHUNK - quality.STRIDE < len(data):
+            chunk = [data[start + j] if start + j < len(data) else 0 for j in range(quality.CHUNK + quality.WIDTH - 1)]
+            tops.append([max(sum(net.conv[j, chunk[p + j], f] for j in range(quality.WIDTH)) for p in range(quality.CHUNK))
+                         for f in range(quality.FILTERS)])
+            start += quality.STRIDE
+        act = np.maximum(np.array(tops) + net.bias, 0)
+        want = 1 / (1 + math.exp(-float(np.concatenate([act.max(0), act.mean(0)]) @ net.out + net.shift)))
+        assert got[i][0] == pytest.approx(want, abs=1e-5) and got[i][1] == int(got[i][0] >= 0.5)
 
 
 def test_quality_learns_and_scores_whole_texts(spark):
