@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from strata.functions.clean import numeric_columns, q
 from strata.functions.prefix import running_sums
 from strata.operators.moments import pair_moments
+from strata.operators.ranks import spearman
 from strata.session import cut_lineage, spread
 
 
@@ -255,16 +256,15 @@ def _pearson(x: Column, y: Column) -> Column:
 def corr_matrix(df: DataFrame, method: str = "pearson", digits: int = 3) -> DataFrame:
     """A-5: correlation of every ordered pair of numeric columns, rounded
     half-even to ``digits`` (long form: Feature_1, Feature_2, Correlation).
-    Pearson: the co-moments of all pairs in one scan.  Spearman: see
-    :func:`spearman_pairs`."""
+    Pearson: the co-moments of all pairs in one scan.  Spearman (W-3): see
+    :func:`strata.operators.ranks.spearman`."""
     cols = numeric_columns(df)
-    if method == "spearman":
-        return spearman_pairs(df, cols, digits)
-    if method != "pearson":
+    if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method {method!r}")
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "Feature_1 string, Feature_2 string, Correlation double")
-    return _correlations(df.sparkSession, cols, pair_moments(spread(df), cols).pearson(), digits)
+    r = spearman(df, cols) if method == "spearman" else pair_moments(spread(df), cols).pearson()
+    return _correlations(df.sparkSession, cols, r, digits)
 
 
 def _correlations(spark, cols: Sequence[str], r, digits: int) -> DataFrame:
@@ -274,45 +274,6 @@ def _correlations(spark, cols: Sequence[str], r, digits: int) -> DataFrame:
         "Correlation", F.bround("Correlation", digits))
 
 
-def spearman_pairs(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame:
-    """W-3 + A-5 (spearman): for each pair, average ranks (ties share the
-    mean position) over the rows where both values are present, then
-    Pearson on the ranks.  Ranks come from distinct-value counts and
-    two-phase running sums per pair, joined back on
-    (pair, value): no window over a whole pair."""
-    spark = df.sparkSession
-    names = list(cols)
-    upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    if len(names) < 2:
-        return spark.createDataFrame([], "Feature_1 string, Feature_2 string, Correlation double")
-    long = spread(df).select(_rows([F.struct(F.lit(k).alias("pair"), q(names[i]).cast("double").alias("a"),
-                                             q(names[j]).cast("double").alias("b"))
-                                    for k, (i, j) in enumerate(upper)])) \
-        .select("r.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    # the pair table feeds the counts and both joins: materialise it once
-    long = cut_lineage(long)
-    # both sides of every pair ranked in one grouped pass: (pair, side, value) counts
-    sides = long.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("v")),
-                                                  F.struct(F.lit(1).alias("side"), F.col("b").alias("v")))).alias("s")) \
-        .select("pair", "s.*")
-    cnt = sides.groupBy("pair", "side", "v").agg(F.count(F.lit(1)).alias("c"))
-    rs = running_sums(cnt, "v", ["c"], keys=["pair", "side"], descending=False)
-    ranks = rs.select("pair", "side", "v", (F.col("cum_c") - (F.col("c") - 1) / 2.0).alias("rank"))
-    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("a"), F.col("rank").alias("rank_a"))
-    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("b"), F.col("rank").alias("rank_b"))
-    ranked = long.join(ra, ["pair", "a"]).join(rb, ["pair", "b"])
-    r = ranked.groupBy("pair").agg(_pearson(F.col("rank_a"), F.col("rank_b")).alias("r"))
-    pair_names = spark.createDataFrame([(k, names[i], names[j]) for k, (i, j) in enumerate(upper)],
-                                       "pair int, f1 string, f2 string")
-    full = pair_names.join(r, "pair", "left")
-    both = full.select(F.col("f1").alias("Feature_1"), F.col("f2").alias("Feature_2"),
-                       F.bround("r", digits).alias("Correlation")) \
-        .unionByName(full.where(F.col("f1") != F.col("f2")).select(
-            F.col("f2").alias("Feature_1"), F.col("f1").alias("Feature_2"),
-            F.bround("r", digits).alias("Correlation")))
-    return both
-
-
 def correlated_pairs(matrix: DataFrame, columns_order: Sequence[str], threshold: float = 0.9) -> DataFrame:
     """A-6 / A-7: upper triangle (by column position) of the rounded matrix,
     absolute value, kept when >= threshold."""

@@ -41,7 +41,7 @@ WHERE = {
     "A-16": "operators/metrics.py confusion (rollup)", "A-17": "operators/train.py importance_ci",
     "W-1": "operators/folds.py stratified_folds; functions/prefix.py global_row_number",
     "W-2": "operators/metrics.py rank_curve; functions/prefix.py running_sums",
-    "W-3": "operators/profile.py spearman_pairs", "W-4": "operators/encode.py ordinal_mapping; functions/prefix.py sorted_numbers",
+    "W-3": "operators/ranks.py spearman", "W-4": "operators/encode.py ordinal_mapping; functions/prefix.py sorted_numbers",
     "O-1": "operators/profile.py ordered (used by plans/jobs.py)", "O-2": "operators/explain.py background_sample",
     "O-3": "operators/bootstrap.py bootstrap_ci (percentile 2.5/97.5)", "U-1": "unionByName in train/metrics",
     "U-2": "operators/explain.py group_parents (features outside any group)",
