@@ -15,7 +15,7 @@ from strata.plans import q_cohort as QC
 from strata.plans import q_scored as QS
 from strata.plans.registry import register
 from strata.sources import io as IO
-from strata.sources.fixtures import SCORED_SQL, cohort_raw, oracle_cte, scored
+from strata.sources.fixtures import SCORED_SQL, cohort_raw, oracle_cte, scored, table
 
 _TOK = ", ".join("'" + t.replace("'", "''") + "'" for t in NULL_TOKENS)
 
@@ -51,6 +51,17 @@ def csv_roundtrip(spark, sf):
                                           "segment", "priority_txt")
 
 
+@register("csv_line_breaks", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS digest "
+          "FROM documents", ops="S-1")
+def csv_line_breaks(spark, sf):
+    """Whole texts, line breaks and quotes in them, through the CSV sink and
+    the reader that puts records together from splits."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    path = IO.write_cohort_csv(docs, os.path.join(IO.scratch_dir(spark, "documents-csv"), "d.csv"))
+    back = IO.read_cohort(spark, path, typed=False, multi_line=True)
+    return back.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @register("report_roundtrip", oracle_cte("scored") + f", cp AS ({QS.CASCADE_PRED_SQL}) " + QS._agreement_sql(),
           dbl=["Percent_of_total", "Percent_within_GT"], ops="S-5 O-1 C-3")
 def report_roundtrip(spark, sf):

@@ -95,7 +95,19 @@ def calibrate_platt(spark, sf):
     return CA.calibrate(s, "sigmoid", "y", "p").select("id", "y", "p", "p_cal")
 
 
-@register("calibrate_isotonic", ops="M-9", heavy=True)
+# the fit at a score by the max-min formula: the greatest over the scores up to
+# it of the least mean label from there to any score from it on
+_ISOTONIC_SQL = oracle_cte("scored") + """, g AS (
+  SELECT p1 AS p, row_number() OVER (ORDER BY p1) AS k, sum(count(*)) OVER (ORDER BY p1) AS n,
+         sum(sum(y)) OVER (ORDER BY p1) AS s FROM scored WHERE p1 IS NOT NULL GROUP BY p1),
+means AS (SELECT a.k AS i, b.k AS j, (b.s - coalesce(c.s, 0)) / (b.n - coalesce(c.n, 0)) AS m
+          FROM g a JOIN g b ON b.k >= a.k LEFT JOIN g c ON c.k = a.k - 1),
+least AS (SELECT i, j AS k, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM means),
+fit AS (SELECT k, max(m) AS v FROM least GROUP BY k)
+SELECT id, y, p1 AS p, v AS p_cal FROM scored JOIN g ON g.p = p1 JOIN fit USING (k)"""
+
+
+@register("calibrate_isotonic", _ISOTONIC_SQL, dbl=["p", "p_cal"], ops="M-9", heavy=True)
 def calibrate_isotonic(spark, sf):
     s = scored(spark, sf).select("id", "y", F.col("p1").alias("p"))
     return CA.calibrate(s, "isotonic", "y", "p").select("id", "y", "p", "p_cal")

@@ -21,10 +21,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from strata.functions.clean import NULL_TOKENS, null_tokens_to_null, q, string_columns
 from strata.session import ensure_checkpoint_dir
+from strata.sources import csv_records
 
 # fixed values: integer and general number tokens accepted at load time
 INT_TOKEN = r"^\s*[-+]?\d+\s*$"
@@ -71,8 +71,8 @@ def type_columns(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
 
 def read_cohort(spark: SparkSession, path: str, typed: bool = True, multi_line: bool = False) -> DataFrame:
     """S-1..S-3: read a cohort file by extension.  CSV quotes are doubled
-    inside quoted cells; ``multi_line`` also reads line breaks inside them,
-    at the price that a file is no longer split among tasks."""
+    inside quoted cells; ``multi_line`` also reads line breaks inside them, a
+    large file in many tasks (:mod:`strata.sources.csv_records`)."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     fmt = SUPPORTED.get(ext)
     if fmt is None:
@@ -83,6 +83,8 @@ def read_cohort(spark: SparkSession, path: str, typed: bool = True, multi_line:
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
               .option("escape", '"').option("multiLine", multi_line)
               .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+        if multi_line:
+            df = csv_records.read_csv(spark, path, df.columns)     # Spark has read the header only
         return type_columns(df) if typed else df
     if fmt == "parquet":
         return spark.read.parquet(path)
@@ -124,7 +126,3 @@ def write_mapping(mapping: DataFrame, path: str) -> str:
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("column string, value string, code int").json(path)
-
-
-def all_text(df: DataFrame) -> DataFrame:
-    return df.select(*[q(c).cast(StringType()).alias(c) for c in df.columns])
