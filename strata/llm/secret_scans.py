@@ -19,6 +19,7 @@ from strata.llm.common import keep_columns, prepare, text_of
 
 WINDOW = 24
 SCALE = 1 << 20
+PIECE = 4096       # code points of a text that are cut at once
 #: kind -> pattern, least length of the string judged, group judged
 BASE = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
@@ -56,19 +57,24 @@ def most_repetition(bits: float, window: int = WINDOW) -> int:
     return math.floor(window * (math.log2(window) - bits) * SCALE)
 
 
-def _prefix_sums(lengths: Column, chunk: int = 64) -> Column:
-    """Exclusive running sums of an array, in two levels so that a text with
-    very many matches does not copy a growing array for each of them."""
+def _prefixes(values: Column, op, chunk: int = 64) -> Column:
+    """Exclusive running results of ``op`` over an array, from 0, in two levels
+    so that a text with very many matches does not copy a growing array for
+    each of them."""
     def running(c, first):
-        return F.slice(F.aggregate(c, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))),
+        return F.slice(F.aggregate(c, F.array(first), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x)))),
                        1, F.size(c))
 
-    last = F.floor((F.size(lengths) - 1) / chunk).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(lengths, k * chunk + 1, chunk))
-    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+    last = F.floor((F.size(values) - 1) / chunk).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * chunk + 1, chunk))
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), op))
     return F.flatten(F.zip_with(parts, running(totals, F.lit(0).cast("long")), running))
 
 
+def _prefix_sums(lengths: Column) -> Column:
+    return _prefixes(lengths, lambda a, x: a + x)
+
+
 def _matches(df: DataFrame, text: str, name: str, pattern: str) -> DataFrame:
     """Column ``name``: array of (start, end, match) in code points, from the
     matches and the gaps between them."""
@@ -196,19 +202,20 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     (touching and overlapping spans by one mark).  Texts without a span are
     untouched, a null one too; the columns stay as they are."""
     found = scan_secrets(docs.withColumn("_llm_row", F.col(f"`{text_col}`")), text_col, "_llm_spans")
-    state = "struct<at:bigint,out:string>"
-    text = F.col("_llm_row")
-    # each step takes the text between the last span's end and this start;
-    # spans come in order of their starts, an overlap only moves the end on
-    pairs = F.zip_with("_llm_spans", F.array_repeat(text, F.size("_llm_spans")), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
-    built = F.aggregate(
-        pairs, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(state),
-        lambda acc, p: F.struct(
-            F.greatest(acc["at"], p["s"]["end"]).alias("at"),
-            F.when((p["s"]["start"] > acc["at"]) | (acc["out"] == ""), F.concat(
-                acc["out"], F.substr(p["t"], (acc["at"] + 1).cast("int"), (p["s"]["start"] - acc["at"]).cast("int")),
-                F.lit(mark))).otherwise(acc["out"]).alias("out")).cast(state))
-    found = found.withColumn("_llm_built", F.when(F.size("_llm_spans") > 0, built))
-    text = F.when(F.size("_llm_spans") > 0, F.concat(F.col("_llm_built.out"), F.substr(
-        F.col("_llm_row"), (F.col("_llm_built.at") + 1).cast("int")))).otherwise(F.col("_llm_row"))
+    # pieces of a fixed length, so that a span far into a text is not sought from its start
+    found = found.withColumn("_llm_pieces", F.regexp_extract_all("_llm_row", F.lit("(?s).{1,%d}" % PIECE), F.lit(0)))
+    found = found.withColumn("_llm_before", F.when(F.size("_llm_spans") > 0, _prefixes(
+        F.transform("_llm_spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x))))
+
+    def part(start, end):
+        first = F.floor(start / PIECE).cast("int")
+        some = F.array_join(F.slice("_llm_pieces", first + 1, F.ceil(end / PIECE).cast("int") - first), "")
+        return F.when(end > start, F.substr(some, (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+    # spans come in order of their starts; one that begins within or right behind an earlier one has no mark of its own
+    marked = F.zip_with("_llm_spans", "_llm_before", lambda s, at: F.when(
+        (s["start"] > at) | (at == 0), F.concat(part(at, s["start"]), F.lit(mark))).otherwise(""))
+    end = F.array_max(F.transform("_llm_spans", lambda s: s["end"]))
+    built = F.concat(F.array_join(marked, ""), part(end, F.length("_llm_row").cast("long")))
+    text = F.when(F.size("_llm_spans") > 0, built).otherwise(F.col("_llm_row"))
     return found.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -114,6 +114,20 @@ def test_secrets(spark):
     assert secret_scans.scan_secrets(rows.limit(0)).count() == 0
 
 
+def test_redact_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(secret_scans, "PIECE", 7)
+    key = "token=" + "a1B2c3" * 3
+    texts = {"é😀 " * 40 + "x".join(f" {key}{k} 😀" for k in range(150)): True, key: True, key + " " + key: True,
+             "😀" * 50: False, "AKIA" + "Q7" * 12 + "0123456789abcdef" * 3: True}
+    for r in secret_scans.redact(spark.createDataFrame([(t,) for t in texts], "text string").withColumn("old", F.col("text"))).collect():
+        out, at = "", 0
+        for a, b, _ in brute_spans(r.old):
+            if a > at or not out:
+                out += r.old[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == out + r.old[at:] and ("[SECRET]" in r.text) == texts[r.old]
+
+
 def test_entropy_of_the_pieces_of_a_candidate(spark):
     key, upper = "q7Zx2Lw9Vb4Nt8Rk1Hs6Yd3Fg5Jm0Pc", "0A1B2C3D4E5F60718293A4B5C6D7E8F9"
     texts = {f"sample/dir/{key}": key, f"id is example_id={key}, so": key, f"sig={upper}": upper, f"see v1/{upper}/x": upper,
