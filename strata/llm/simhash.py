@@ -3,12 +3,14 @@
 A fingerprint is eight positional bytes.  Two fingerprints that differ in at
 most ``max_bits`` bits differ in at most ``max_bits`` bytes, so they share at
 least ``8 - max_bits`` = m of them.  A posting list of one positional byte
-would hold 1/256 of all fingerprints, so a list is kept by several: every set
-of ``width`` positions with its bytes, where ``width`` grows with the number
-of fingerprints so that a list holds about one of them by chance.  The
-matches of a pair are tallied over the lists; a pair that shares m bytes has
-at least C(m, width) of them and a pair that shares fewer has fewer, so the
-pairs that reach this count are retained and verified by their bit distance.
+would hold 1/256 of all fingerprints, so a list is kept by four of them, which
+by chance holds one in 2^32: the positions are taken as the points of a cube,
+and a list stands for each of the 14 sets of four whose numbers cancel out
+(XOR 0).  Any three positions lie in one set, so these are spread evenly, and m
+shared bytes hold a fixed least number of sets (6 bytes: 3).  The sets that a
+pair shares are tallied; the pairs that reach this number are retained and
+verified by their bit distance.  Where m is less than five, all sets of up to
+four positions are used.
 
 A list that holds many fingerprints (of one kind of text) is split by further
 bytes, up to m: a pair that shares m bytes still meets in a part of it and
@@ -17,8 +19,9 @@ counts it as one match, the others of the list never meet.
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 from itertools import combinations
+from operator import xor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,16 +65,20 @@ def _mask(positions) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+def _sets(least: int, width: int | None) -> list[tuple[int, ...]]:
+    """The sets of positions that have posting lists."""
+    if width is None and least > 4:
+        return [c for c in combinations(range(8), 4) if reduce(xor, c) == 0]
+    return list(combinations(range(8), min(width or 4, least)))
+
+
 def pairs(nodes: DataFrame, max_bits: int = 2, width: int | None = None, long_list: int = LONG_LIST) -> DataFrame:
     """``(nodea, fpa, nodeb, fpb)``: every pair of rows of ``nodes(node, fp)``,
     whose fingerprints are distinct, that differs in at most ``max_bits`` bits,
-    once."""
+    once.  ``width``: lists for all sets of so many positions instead."""
     least = max(0, 8 - max_bits)      # bytes that a pair is sure to share
-    if width is None:
-        n = nodes.count()
-        width = next(w for w in range(1, 9) if 256 ** w >= n or w == 8)
-    width = min(width, least)
-    sets, wide = list(combinations(range(8), width)), list(combinations(range(8), least))
+    sets, wide = _sets(least, width), list(combinations(range(8), least))
+    sure = min(sum(set(s) <= set(w) for s in sets) for w in wide)      # sets within any such bytes
     masks, wide_masks = (F.array(*[F.lit(_mask(c)) for c in some]) for some in (sets, wide))
     # for each set of positions, the sets of ``least`` positions around it
     around = F.array(*[F.array(*[F.lit(k) for k, c in enumerate(wide) if set(c) >= set(s)]) for s in sets])
@@ -91,7 +98,7 @@ def pairs(nodes: DataFrame, max_bits: int = 2, width: int | None = None, long_li
     # since the parts of a split list count once
     bits = [F.expr(f"bit_count(bit_or(if(placea div 35 = {k}, shiftleft(1L, placea % 35), 0L)))") for k in (0, 1)]
     tally = met.groupBy("nodea", "fpa", "nodeb", "fpb").agg((bits[0] + bits[1]).alias("matches"))
-    return tally.filter((F.col("matches") >= math.comb(least, width))
+    return tally.filter((F.col("matches") >= sure)
                         & (F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))) <= max_bits)).drop("matches")
 
 

@@ -232,7 +232,7 @@ def test_simhash_against_brute_force(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("width, long_list", [(1, 4), (2, 3), (3, 5), (4, 2), (6, 1), (None, 64)])
+@pytest.mark.parametrize("width, long_list", [(1, 4), (2, 3), (3, 5), (4, 2), (6, 1), (None, 64), (None, 2)])
 def test_pairs_by_tally_against_all_pairs(spark, width, long_list):
     rnd = random.Random(9)
     mask = (1 << 64) - 1
@@ -250,6 +250,18 @@ def test_pairs_by_tally_against_all_pairs(spark, width, long_list):
     assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == want
 
 
+def test_sets_of_positions(spark):
+    sets = simhash._sets(6, None)
+    assert len(sets) == 14 and all(sum(set(t) <= set(s) for s in sets) == 1 for t in combinations(range(8), 3))
+    assert min(sum(set(s) <= set(w) for s in sets) for w in combinations(range(8), 6)) == 3
+    rnd, start = random.Random(4), 0x0123456789ABCDEF
+    fps = [start, *{start ^ sum(1 << b for b in rnd.sample(range(64), 1 + k % 5)) for k in range(60)}]
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long")
+    for bits in (0, 1, 3, 4, 5):
+        want = {(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= bits}
+        assert {tuple(sorted((r.nodea, r.nodeb))) for r in simhash.pairs(nodes, bits, None, 8).collect()} == want
+
+
 def test_fingerprint_written_out():
     from xxhash import xxh64_intdigest
     for text in ("", None, "One", "a B c d a b C", "ÄRGER ist  Ärger\u00a0hier\x0b\x0cund dort", LONG):
