@@ -1,4 +1,4 @@
-"""Forest imputation frees its shuffles; Gram sums from few missing rows."""
+"""Forest imputation frees its shuffles; Gram sums leave missing rows out."""
 
 import numpy as np
 
