@@ -71,6 +71,8 @@ GBT_DEFAULTS = {"maxIter": 500, "stepSize": 0.02, "maxDepth": 3, "subsamplingRat
 #: rows of a partition, at least, that boosted trees are fitted on: every tree
 #: costs three jobs, whose tasks must be worth their start
 BOOST_ROWS = 100_000
+#: and at most, where the fit has the cluster to itself
+BOOST_ROWS_MOST = 1_000_000
 
 
 def make_learner(spec: ModelSpec, features: str = "_x", label: str = "_y", weight: str | None = "_w"):
@@ -102,12 +104,14 @@ def positive_probability(scored: DataFrame, kind: str) -> DataFrame:
     return scored.withColumn("p", vector_to_array("probability")[1])
 
 
+def _class_counts(df: DataFrame, y: str) -> tuple[int, int]:
+    row = df.agg(F.sum((q(y) == 0).cast("int")).alias("neg"), F.sum((q(y) == 1).cast("int")).alias("pos")).first()
+    return int(row["neg"] or 0), int(row["pos"] or 0)
+
+
 def _weights(df: DataFrame, y: str, final: bool, counts: tuple[int, int] | None = None) -> DataFrame:
     """``counts`` (negatives, positives) where the caller knows them."""
-    if counts is None:
-        row = df.agg(F.sum((q(y) == 0).cast("int")).alias("neg"), F.sum((q(y) == 1).cast("int")).alias("pos")).first()
-        counts = int(row["neg"] or 0), int(row["pos"] or 0)
-    neg, pos = counts
+    neg, pos = counts or _class_counts(df, y)
     if final and (pos == 0 or neg == 0):
         raise ValueError(f"single-class training table (neg={neg}, pos={pos}); class weight undefined")
     ratio = neg / pos if final else neg / max(pos, 1)
@@ -120,9 +124,30 @@ def prepare(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     return va.transform(df.withColumn("_y", q(y).cast("double")))
 
 
+def dealt_evenly(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` in equal partitions, one for each core (several of at most
+    ``BOOST_ROWS_MOST`` rows where there are more rows), for a boosted fit alone
+    on the cluster: each of its three jobs a tree lasts as long as its largest
+    task, and what joins and scans leave differs in size by a factor of two.  A
+    table of at most ``BOOST_ROWS`` rows stays as it is."""
+    if n_rows <= BOOST_ROWS:
+        return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # no local SparkContext: leave partitioning to the server
+        return df
+    rounds = max(1, math.ceil(n_rows / (cores * BOOST_ROWS_MOST)))
+    return df.repartition(min(cores * rounds, math.ceil(n_rows / BOOST_ROWS)))
+
+
 def fit(df: DataFrame, features: Sequence[str], y: str, spec: ModelSpec, final: bool = True,
         counts: tuple[int, int] | None = None):
-    """Fit on ``df`` with class weights (M-2/M-4)."""
+    """Fit on ``df`` with class weights (M-2/M-4); ``counts`` (negatives,
+    positives) where the caller knows them."""
+    if counts is None:
+        counts = _class_counts(df, y)
+    if spec.kind == "gbt" and final:  # alone on the cluster; the folds of a cross-validation share it
+        df = dealt_evenly(df, sum(counts))
     data = _weights(prepare(df, features, y), y, final, counts)
     return make_learner(penalised(spec, data)).fit(data)
 
