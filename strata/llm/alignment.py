@@ -212,16 +212,19 @@ def _blocks(load: Callable) -> Callable:
                 if size and size + len(t) > BLOCK:
                     yield _block(part + k, ids, batch.schema.field(0).type, texts, a, b)
                     ids, texts, size, k = [], [], 0, k + 1
+                    pa.default_memory_pool().release_unused()   # the joins' tables
                 ids.append(i)
                 texts.append(t)
                 size += len(t) + 1
         if texts:
             yield _block(part + k, ids, batch.schema.field(0).type, texts, a, b)
+        pa.default_memory_pool().release_unused()
     return run
 
 
 def _sum_up(batches):
     """Adds the counts of each document's links up."""
+    _LOADED.clear()     # the worker may have aligned before; nothing is encoded here
     for batch in batches:
         for i in range(batch.num_rows):
             told = batch.column("told")[i].values

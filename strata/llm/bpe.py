@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 
-MAX_KEPT = 800_000     # pre-tokens that a worker keeps; beyond, it starts anew
+MAX_KEPT = 400_000     # pre-tokens that a worker keeps; beyond, it starts anew
 LONG = 40              # characters; longer pre-tokens are not kept
 WHOLE_CHARS = 1 << 20  # characters of the texts encoded whole in one call
 
@@ -97,3 +97,9 @@ def encoder(spec: str) -> Encoder:
         _ENCODERS.clear()
         _ENCODERS[spec] = Encoder(spec)
     return _ENCODERS[spec]
+
+
+def forget() -> None:
+    """Drops the worker's encoder.  A worker lives on after its task, so stages
+    that encode nothing call this, or they run beside its kept pre-tokens."""
+    _ENCODERS.clear()
