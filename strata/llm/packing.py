@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from strata.llm import bpe
 from strata.llm.common import cut, prepare
 
+STEP_ROWS = 512       # documents whose ids a worker holds at once
+
 
 class _Stock:
     """Pieces left of each length, with an index from sums to the pairs and
@@ -166,7 +168,7 @@ def pieces(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[byte
 
         import pyarrow as pa
         run = encode()
-        for b in batches:
+        for b in (whole.slice(i, STEP_ROWS) for whole in batches for i in range(0, whole.num_rows, STEP_ROWS)):
             cols = [[], [], [], [], []]
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc, ids in zip(b.column(0).to_pylist(), run(texts)):
@@ -222,6 +224,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     def place(length, rank):
         import numpy as np
         import pandas as pd
+        bpe.forget()
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         k = np.array(keys, np.int64)[order]
         i = order[np.searchsorted(k, (length.to_numpy() << 44) + rank.to_numpy(), "right") - 1]
