@@ -4,17 +4,18 @@ Both tokenizers' tokens cover a text's bytes, so every overlap of an A and a B
 token is one range between two neighbouring token ends of either.  In a task,
 Arrow does the work for many documents at once: lists of ids are flattened with
 their parent indices, byte lengths become ends by sums segmented by document,
-the two tables of ends are hash-joined on (document, end), and filling the
-gaps backwards gives each range its A and B token.  ``Table.group_by`` counts
-the linked id pairs of a block; Spark adds the counts up over all blocks and
-tells each block the sums of its own pairs.
+and as the ends of either kind ascend by (document, end), merging both gives
+each range the next A and B token.  ``Table.group_by`` counts the linked id
+pairs of a block; Spark adds the counts up over all blocks and tells each block
+the sums of its own pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,15 @@ _WORDS = re.compile(r" *[^ ]+| +\Z")
 _LOADED: dict[tuple, tuple] = {}
 
 
+class _Entries:
+    """The bytes of a vocabulary's tokens, their lengths, and the ids' decimals."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.bytes = pa.array(tokens, pa.binary())
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.decimals = pa.array([str(i) for i in range(len(tokens))], pa.string())
+
+
 class _Bytes:
     """Token ids of byte-level BPE and the bytes of each."""
 
@@ -49,7 +59,7 @@ class _Bytes:
         entries: list[bytes] = [b""] * tok.get_vocab_size()
         for s, i in tok.get_vocab().items():
             entries[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
-        self.entries = pa.array(entries, pa.binary())
+        self.entries = _Entries(entries)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return self.encoder.encode([" " + t if t else "" for t in texts])
@@ -65,23 +75,49 @@ class _Pieces(dict):
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.by_word = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.entries = pa.array([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-                                 for i, p in enumerate(pieces)], pa.binary())
-
-    def __missing__(self, word: str) -> bytes:
-        # the library puts one space before a word itself, but none into an empty text
-        ids = self.model.encode(word[1:]) if word != " " else [self.model.piece_to_id("▁")]
-        ids = np.asarray(ids, "<u4").tobytes()
-        if len(word) <= LONG:
-            if len(self) >= MAX_KEPT:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.entries = _Entries([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
+                                 for i, p in enumerate(pieces)])
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Keeps the ids of words, which the library gives in one call."""
+        # it puts one space before a word itself, but none into an empty text
+        words = [w for w in words if w]
+        self[""] = _u32([self.model.piece_to_id("▁")])[0]
+        self.update(zip(words, _u32(*self.model.encode(words, num_threads=1))))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return [np.asarray(x, "<u4").tobytes() for x in self.model.encode(texts, num_threads=1)]
-        return [b"".join(map(self.__getitem__, _WORDS.findall(" " + t))) if t else b"" for t in texts]
+            return _u32(*self.model.encode(texts, num_threads=1))
+        words = [_words(t) if t else [] for t in texts]
+        used = set().union(*words)
+        new = used.difference(self)
+        if len(self) + len(new) > MAX_KEPT:
+            self.clear()
+            new = used
+        self.learn(new)
+        out = [b"".join(map(self.__getitem__, w)) for w in words]
+        if len(self) > MAX_KEPT:
+            self.clear()
+        else:
+            for w in new:
+                if len(w) > LONG:
+                    del self[w]
+        return out
+
+
+def _words(text: str) -> list[str]:
+    """The words of a text, each without the space before it; spaces beyond
+    one stay at the word that follows, or are a word of their own at the end."""
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return [w[1:] for w in _WORDS.findall(" " + text)]
+    return text.split(" ")
+
+
+def _u32(*lists: list[int]) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit integers."""
+    data = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+    ends = list(accumulate((4 * len(x) for x in lists), initial=0))
+    return [data[i:j] for i, j in pairwise(ends)]
 
 
 def _tokenizers(a: str, b: str):
@@ -99,22 +135,20 @@ def _lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
 
 
-def _ends(lists: pa.Array, entries: pa.Array):
+def _ends(lists: pa.Array, entries: _Entries):
     """Document, id and end (bytes of the document up to it) of each token."""
-    doc = pc.list_parent_indices(lists)
+    doc = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
     ids = lists.flatten()
-    run = pc.cumulative_sum(pc.cast(pc.binary_length(entries.take(ids)), pa.int64()))
+    run = np.cumsum(entries.lengths[ids.to_numpy()])
     # segmented: less the sum before the document's first token
-    first = lists.offsets.to_numpy()[:-1]
-    before = np.concatenate([[0], run.to_numpy()])[first]
-    return doc, ids, pc.subtract(run, pa.array(before).take(doc))
+    return doc, ids, run - np.concatenate([[0], run])[lists.offsets.to_numpy()[:-1]][doc]
 
 
-def _same_bytes(lists: pa.Array, entries: pa.Array, texts: list[bytes]) -> np.ndarray:
+def _same_bytes(lists: pa.Array, entries: _Entries, texts: list[bytes]) -> np.ndarray:
     """For each document, whether its tokens' bytes are its text's."""
-    taken = entries.take(lists.flatten())
-    ends = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy(), dtype=np.int64)])[lists.offsets.to_numpy()]
-    data = taken.buffers()[2]
+    ids = lists.flatten()
+    ends = np.concatenate([[0], np.cumsum(entries.lengths[ids.to_numpy()])])[lists.offsets.to_numpy()]
+    data = entries.bytes.take(ids).buffers()[2]
     got = data.to_pybytes()[:int(ends[-1])] if data is not None else b""
     want = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     if (ends == want).all() and got == b"".join(texts):
@@ -138,27 +172,25 @@ def align(texts: list[str], a, b) -> dict:
         none = pa.array([], la.type.value_type)
         la, lb = (pa.array([x.values if g else none for x, g in zip(some, good)], some.type) for some in (la, lb))
     (doc_a, id_a, end_a), (doc_b, id_b, end_b) = _ends(la, a.entries), _ends(lb, b.entries)
-    key = lambda doc, end: pc.add(pc.shift_left(pc.cast(doc, pa.int64()), pa.scalar(40, pa.int64())), end)
-    ta = pa.table({"key": key(doc_a, end_a), "a": id_a})
-    tb = pa.table({"key": key(doc_b, end_b), "b": id_b})
-    ranges = ta.join(tb, "key", join_type="full outer", use_threads=False).sort_by("key")
-    both = pc.and_(ranges["a"].is_valid(), ranges["b"].is_valid()).combine_chunks()
-    doc = pc.shift_right(ranges["key"], pa.scalar(40, pa.int64())).combine_chunks()
+    # document and byte of each end; both sequences ascend, so merging takes one pass
+    keys = [(doc << 40) + end for doc, end in ((doc_a, end_a), (doc_b, end_b))]
+    order = np.argsort(np.concatenate(keys), kind="stable")
+    merged, of_a = np.concatenate(keys)[order], order < len(keys[0])
+    final = np.concatenate([merged[1:] != merged[:-1], np.ones(min(1, len(merged)), bool)])    # of equal ends the last
+    both = np.concatenate([[False], merged[1:] == merged[:-1]])[:len(merged)][final]
+    upto_a, in_b = np.cumsum(of_a)[final], ~of_a[final]
+    upto_b = np.flatnonzero(final) + 1 - upto_a
+    doc = merged[final] >> 40
     # the range up to an end of one kind lies in the next token of the other
-    links = pa.table({"doc": doc, "a": pc.fill_null_backward(ranges["a"].combine_chunks()),
-                      "b": pc.fill_null_backward(ranges["b"].combine_chunks())})
-
-    shared = ranges["key"].combine_chunks().filter(both)
-    group_doc = pc.shift_right(shared, pa.scalar(40, pa.int64())).to_numpy()
-    strings = []
-    for t, ids in ((ta, id_a), (tb, id_b)):
-        last = pc.index_in(shared, t["key"].combine_chunks()).to_numpy()
-        strings.append(_joined(pc.cast(ids, pa.string()), last + 1, ","))
+    links = pa.table({"doc": doc, "a": id_a.take(pa.array(upto_a - (both | ~in_b))), "b": id_b.take(pa.array(upto_b - in_b))})
+
+    group_doc = doc[both]
+    strings = [_joined(of.entries.decimals.take(ids), upto[both], ",") for of, ids, upto in ((a, id_a, upto_a), (b, id_b, upto_b))]
     groups = pc.binary_join_element_wise(*strings, "|")
     n_groups = np.bincount(group_doc, minlength=len(texts))
     whole = _joined(groups, np.cumsum(n_groups), ";").to_pylist()
     return {"n_a": np.diff(la.offsets.to_numpy()), "n_b": np.diff(lb.offsets.to_numpy()), "n_groups": n_groups,
-            "n_links": np.bincount(doc.to_numpy(), minlength=len(texts)),
+            "n_links": np.bincount(doc, minlength=len(texts)),
             "groups_sha256": [hashlib.sha256(w.encode()).hexdigest() if n else "" for w, n in zip(whole, n_groups)],
             "links": links}
 
@@ -212,7 +244,7 @@ def _blocks(load: Callable) -> Callable:
                 if size and size + len(t) > BLOCK:
                     yield _block(part + k, ids, batch.schema.field(0).type, texts, a, b)
                     ids, texts, size, k = [], [], 0, k + 1
-                    pa.default_memory_pool().release_unused()   # the joins' tables
+                    pa.default_memory_pool().release_unused()   # the aligned tables
                 ids.append(i)
                 texts.append(t)
                 size += len(t) + 1
